@@ -79,8 +79,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, least waste first."""
+def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, width: int, large: bool = False) -> list[tuple[int, ...]]:
+    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, least waste or largest pieces first."""
     found: list[tuple[int, tuple[int, ...]]] = []
     steps = 0
 
@@ -113,22 +113,64 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int,
         return steps > 20_000
 
     descend(0, room, ())
-    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+    found.sort(key=lambda f: ([-x for x in f[1]], f[0]) if large else (f[0], [-x for x in f[1]]))
     return list(dict.fromkeys(c for _, c in found))[:width]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 400, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences). nodes: branches tried after the first descent."""
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over counts: sequences with the same filling are one entry, so only lengths are looped over."""
+    open_: dict[int, list[list]] = {}  # by room left: [filling, number of sequences]
+    done: list[tuple[tuple[int, ...], int]] = []
+    for x in sorted(counts, reverse=True):
+        left = counts[x]
+        while left:
+            room = min((r for r in open_ if r >= x), default=capacity)
+            filling, n = open_[room].pop() if room in open_ else ((), left)
+            if room in open_ and not open_[room]:
+                del open_[room]
+            fit = room // x  # a sequence that got one of this length is the best fit of the next, too
+            m = min(n, left // fit)
+            if m < n and filling:
+                rest = n - m - (1 if left - m * fit else 0)
+                if rest:
+                    open_.setdefault(room, []).append([filling, rest])
+            parts = [(fit, m)] if m else []
+            left -= m * fit
+            if m < n and 0 < left < fit:
+                parts.append((left, 1))
+                left = 0
+            for k, times in parts:
+                now = filling + (x,) * k
+                if room - k * x:
+                    open_.setdefault(room - k * x, []).append([now, times])
+                else:
+                    done.append((now, times))
+    return done + [(f, n) for groups in open_.values() for f, n in groups]
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 200, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, number of such sequences): the best of best-fit decreasing and two searches.
+
+    One search tries fillings by least waste, the other by largest pieces. nodes: branches that each tries after its first
+    descent, unless it reaches the lower bound.
+    """
+    best = best_fit(counts, capacity)
     goal = lower_bound(counts, capacity)
+    for large in (False, True):
+        if sum(m for _, m in best) > goal:
+            best = _search(counts, capacity, best, goal, nodes, width, large)
+    return best
+
+
+def _search(counts: dict[int, int], capacity: int, best: list, goal: int, nodes: int, width: int, large: bool) -> list[tuple[tuple[int, ...], int]]:
+    best_n = sum(m for _, m in best)
     total = sum(x * n for x, n in counts.items())
-    best: list[tuple[tuple[int, ...], int]] = []
-    best_n: int | None = None
-    # A state: counts left, sequences so far, their pattern list, waste so far.
+    # A state: counts left, sequences so far, their patterns, waste so far, and the filling to use next.
     stack: list[tuple[dict[int, int], int, tuple | None, int, tuple[int, ...] | None]] = [(dict(counts), 0, None, 0, None)]
     tried = 0
-    while stack and (best_n is None or (best_n > goal and tried < nodes)):
+    while stack and best_n > goal and tried <= nodes:
         left, n, trail, waste, filling = stack.pop()
-        tried += best_n is not None
+        tried += 1
         while True:
             if filling is not None:
                 m = min(left[x] // filling.count(x) for x in set(filling))
@@ -137,19 +179,19 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 400, width: int = 4
                 left = {x: c for x, c in left.items() if c}
                 n, trail, waste = n + m, (trail, filling, m), waste + m * (capacity - sum(filling))
             if not left:
-                if best_n is None or n < best_n:
+                if n < best_n:
                     best_n, best = n, []
                     while trail:
                         best.append((trail[1], trail[2]))
                         trail = trail[0]
                 break
-            allowed = capacity if best_n is None else (best_n - 1) * capacity - total - waste
+            allowed = (best_n - 1) * capacity - total - waste
             if allowed < 0:
                 break
             top = max(left)
             left[top] -= 1
             lengths = sorted((x for x, c in left.items() if c), reverse=True)
-            options = fillings(left, lengths, capacity - top, allowed, width) or ([()] if allowed >= capacity - top else [])
+            options = fillings(left, lengths, capacity - top, allowed, width, large) or ([()] if allowed >= capacity - top else [])
             left[top] += 1
             if not options:
                 break
