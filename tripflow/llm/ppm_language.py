@@ -62,7 +62,7 @@ class Trees:
                 levels.append((grams, -np.log2(count / (kinds + total)[of]), contexts, -np.log2(kinds / (kinds + total))))
             self.levels.append(levels)
         self.keys = np.unique(np.array([r[1] for r in rows], dtype=np.uint32))
-        self.cost = np.array([self._cost(levels, self.keys) for levels in self.levels], dtype=np.float32).reshape(len(self.languages), -1)
+        self.cost = np.array([self._cost(levels, self.keys) for levels in self.levels], dtype=np.float32)
         self.slots = np.zeros(1 << _SLOTS, dtype=np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(self.keys))
 
