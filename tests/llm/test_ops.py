@@ -54,7 +54,7 @@ def closure(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op6_rendezvous_shards", "op8_decontaminate"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

@@ -115,4 +115,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _op1_sql(), "op8_decontaminate": _op8_sql()}
+def _op6_sql() -> str:
+    crc = "xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295)"
+    return f"""
+WITH steps AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+body AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS MATERIALIZED (SELECT doc_id, octet_length(b) + 8 AS size, list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM body),
+rows AS MATERIALIZED (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({crc} AS BIGINT) AS text_crc32,
+    list_transform(range(25), lambda i: ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || i), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)) AS d
+  FROM bytes, steps),
+placed AS (SELECT *, CAST(list_position(d, list_max(d[1:24])) - 1 AS INT) AS shard, CAST(list_position(d, list_max(d)) - 1 AS INT) AS grown_shard FROM rows)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || text_crc32), 1, 8), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM placed"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": _op1_sql(), "op6_rendezvous_shards": _op6_sql(), "op8_decontaminate": _op8_sql()}

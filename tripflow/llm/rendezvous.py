@@ -3,8 +3,8 @@
 Every shard draws ``ln(u) / weight`` for a row's key, u from a hash of key and shard number; the largest draw
 wins. A shard's draw depends on nothing else, so a further shard takes rows only into itself, about its weight's share.
 
-Slots number a shard's rows without gaps: rows are numbered within (shard, hash bucket) and each bucket starts
-where the earlier ones end, so no task holds a whole shard. Rows with equal keys share a shard; a null key is a
+Slots number a shard's rows without gaps by a hash of key and text. Ranges of that hash are numbered apart and each
+starts where the earlier ones end, so no task holds a whole shard and the slots don't depend on the number of ranges. Rows with equal keys share a shard; a null key is a
 key of its own. Null text has no bytes and CRC 0.
 """
 
@@ -34,7 +34,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> tuple[Column, Column]:
 def assign(docs: DataFrame, weights: Sequence[float], grown_weight: float | None = None, key: str = "doc_id", text: str = "text", buckets: int = 0) -> DataFrame:
     """key, size, text_crc32, shard, slot and grown_shard (with one more shard of grown_weight; else null).
 
-    buckets: hash buckets of a shard that are numbered apart; 0: as many as shuffle partitions.
+    buckets: hash ranges of a shard that are numbered apart; 0: as many as shuffle partitions.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -43,11 +43,12 @@ def assign(docs: DataFrame, weights: Sequence[float], grown_weight: float | None
     rows = docs.select(F.col(key), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), draws.alias("draws"))
     own = F.array_max(F.slice("draws", 1, len(weights)))["shard"]
     grown = F.array_max("draws")["shard"] if grown_weight else F.lit(None).cast("int")
-    rows = rows.select(key, "size", "text_crc32", own.alias("shard"), grown.alias("grown_shard"), F.pmod(F.xxhash64(key, "text_crc32"), F.lit(buckets)).alias("bucket"))
+    place = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("null")), "text_crc32").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = rows.select(key, "size", "text_crc32", own.alias("shard"), grown.alias("grown_shard"), place.alias("place")).withColumn("bucket", F.shiftright(F.col("place") * buckets, 32))
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("shard", "bucket").orderBy(key, "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("place", key, "text_crc32", "size")
     numbered = rows.withColumn("n", F.row_number().over(inside))
     slot = (F.col("begin") + F.col("n") - 1).cast("long")
     return numbered.join(begins, ["shard", "bucket"]).select(key, "size", "text_crc32", "shard", slot.alias("slot"), "grown_shard")
