@@ -45,8 +45,8 @@ def bigrams(normal: Column) -> Column:
 
 def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, license, dice, n_units) for every licence that is the best match of some unit of a document."""
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(k, t) for k, ts in templates.items() for t in ts], "license string, template string")
+    literal = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template")) for k, ts in templates.items() for t in ts])
+    rows = docs.sparkSession.range(1).select(F.inline(literal))
     ratio = threshold / (2 - threshold)
     known = rows.select("license", bigrams(words(F.col("template"))).alias("t")).withColumn("n", F.size("t"))
     bounds = F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.floor(F.col("n") / ratio).cast("int"))
