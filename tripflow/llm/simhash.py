@@ -35,6 +35,7 @@ def fingerprints(texts: pa.Array, shingle: int = 3) -> np.ndarray:
         starts, ends, first = X.spans(data, offsets, X.NOT_SPACE)
         if not len(starts):
             continue
+        step = 1 << 16
         # Words of a row joined by one space each; a space also follows a row's last word.
         length = ends - starts
         joined = np.full(int(length.sum()) + len(length), 0x20, dtype=np.uint8)
@@ -50,11 +51,13 @@ def fingerprints(texts: pa.Array, shingle: int = 3) -> np.ndarray:
         order = np.argsort(row, kind="stable")
         at, to, row = at[order], to[order], row[order]
         text = joined.tobytes()
-        pieces = map(text.__getitem__, map(slice, begin[at].tolist(), (begin[to] + length[to]).tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, len(at))
+        left, right = begin[at], begin[to] + length[to]
+        hashes = np.empty(len(at), dtype=np.uint64)
+        for i in range(0, len(at), step):
+            pieces = map(text.__getitem__, map(slice, left[i : i + step].tolist(), right[i : i + step].tolist()))
+            hashes[i : i + step] = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64)
         rows, where, count = np.unique(row, return_index=True, return_counts=True)
         ones = np.zeros((len(rows), 64), dtype=np.int64)
-        step = 1 << 16
         cuts = np.append(where, len(row))
         i = 0
         while i < len(rows):  # some rows' shingles at once, or the parts of one row
