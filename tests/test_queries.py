@@ -8,8 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tripflow.plans.queries import ORACLE_SQL, QUERIES
+from tripflow.plans import queries as batch
+from tripflow.streaming import queries as streams
 
+ORACLE_SQL, QUERIES = {**batch.ORACLE_SQL, **streams.ORACLE_SQL}, {**batch.QUERIES, **streams.QUERIES}
 SF = os.environ.get("TRIPFLOW_SF", "/root/testdata/sf0.001")
 
 

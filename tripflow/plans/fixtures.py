@@ -72,7 +72,11 @@ def weather_columns() -> dict[str, str]:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return trips_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def trips_of(lines: DataFrame) -> DataFrame:
+    """Trips of line items, batch or streaming."""
     return lines.selectExpr("*", *[f"{e} AS {n}" for n, e in _SECONDS.items()]).selectExpr(*[f"{e} AS {n}" for n, e in trip_columns(SPARK_ADD).items()])
 
 
