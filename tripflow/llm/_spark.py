@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits this session's Arrow batches to BATCH_BYTES if they aren't: texts are long, and each task holds some batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Tables:
     """Written tables of one operator run: they cut lineage and outlive lost executors."""
 

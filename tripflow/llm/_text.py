@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: `[^\x20\x09-\x0D]` and `[0-9A-Za-z]` or any non-ASCII byte.
 NOT_SPACE = np.ones(256, dtype=bool)

@@ -1,6 +1,6 @@
 """Connected components as a distributed union-find.
 
-Each task first contracts the edges it holds (numpy union-find per Arrow batch); alternating large-star and
+Each task first contracts the edges it holds (numpy union-find, half a million at a time); alternating large-star and
 small-star joins then join the tasks' trees. A node's neighbours never meet in one task: minima are partial
 aggregates, and the join back is an equi join whose large partitions Spark may split.
 """
@@ -31,11 +31,22 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[parent]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, root = roots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+def _contract(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def trees() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        node, root = roots(table.column(0).to_numpy(), table.column(1).to_numpy())
         keep = node != root
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield trees()
+            held.clear()
+    if held:
+        yield trees()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -52,21 +63,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one link, and that to a root."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("own"), F.lit(0).alias("root")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("own").alias("own"), F.max("root").alias("root")).where("own + root > 1").isEmpty()
+
+
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(a, b) long links -> (node, root) for every linked node; root is the least node reachable.
 
     Null ends and loops are no links. A node without links is not in the result.
     """
-    print_of = [F.count("*"), F.expr("bit_xor(xxhash64(a, b))")]
     found = tables.save(edges.where("a <> b").mapInArrow(_contract, EDGE).distinct())
-    before = found.agg(*print_of).first()
-    while before[0]:
+    while not _settled(found):
         nxt = tables.save(_star(_star(found, True), False))
-        now = nxt.agg(*print_of).first()
         tables.drop(found)
         found = nxt
-        if now == before:
-            break
-        before = now
     everyone = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return everyone.unionAll(found.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bin_completion, decontaminate, license_scan, line_dedup, pairwise_quality, ppm_language, quality_rules, rendezvous, simhash, suffix_dedup
+from ._spark import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
