@@ -79,10 +79,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, width: int, large: bool = False) -> list[tuple[int, ...]]:
-    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, least waste or largest pieces first."""
+def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, width: int, large: bool, work: list[int]) -> list[tuple[int, ...]]:
+    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, least waste or largest pieces first.
+
+    work: steps left of the search; each call takes its own from it.
+    """
     found: list[tuple[int, tuple[int, ...]]] = []
     steps = 0
+    most = min(2_000, work[0])
 
     def undominated(chosen: tuple[int, ...], left: int) -> bool:
         sums = {*chosen, *(a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :])}
@@ -101,7 +105,7 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int,
             i += 1
         if left and counts.get(left, 0) > chosen.count(left):
             found.append((0, (*chosen, left)))
-            return len(found) >= width or steps > 20_000
+            return len(found) >= width or steps > most
         for j in range(i, len(lengths)):
             x = lengths[j]
             if counts[x] > chosen.count(x):
@@ -110,9 +114,10 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int,
                     return True
         if not fits and left <= waste and undominated(chosen, left):
             found.append((left, chosen))
-        return steps > 20_000
+        return steps > most
 
     descend(0, room, ())
+    work[0] -= steps
     found.sort(key=lambda f: ([-x for x in f[1]], f[0]) if large else (f[0], [-x for x in f[1]]))
     return list(dict.fromkeys(c for _, c in found))[:width]
 
@@ -148,29 +153,28 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return done + [(f, n) for groups in open_.values() for f, n in groups]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 200, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int, steps: int = 150_000, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences): the best of best-fit decreasing and two searches.
 
-    One search tries fillings by least waste, the other by largest pieces. nodes: branches that each tries after its first
-    descent, unless it reaches the lower bound.
+    One search tries fillings by least waste, the other by largest pieces. steps: partial fillings that each may look at,
+    unless it reaches the lower bound before; the plan's time doesn't grow with the corpus.
     """
     best = best_fit(counts, capacity)
     goal = lower_bound(counts, capacity)
     for large in (False, True):
         if sum(m for _, m in best) > goal:
-            best = _search(counts, capacity, best, goal, nodes, width, large)
+            best = _search(counts, capacity, best, goal, steps, width, large)
     return best
 
 
-def _search(counts: dict[int, int], capacity: int, best: list, goal: int, nodes: int, width: int, large: bool) -> list[tuple[tuple[int, ...], int]]:
+def _search(counts: dict[int, int], capacity: int, best: list, goal: int, steps: int, width: int, large: bool) -> list[tuple[tuple[int, ...], int]]:
     best_n = sum(m for _, m in best)
     total = sum(x * n for x, n in counts.items())
     # A state: counts left, sequences so far, their patterns, waste so far, and the filling to use next.
     stack: list[tuple[dict[int, int], int, tuple | None, int, tuple[int, ...] | None]] = [(dict(counts), 0, None, 0, None)]
-    tried = 0
-    while stack and best_n > goal and tried <= nodes:
+    work = [steps]
+    while stack and best_n > goal and work[0] > 0:
         left, n, trail, waste, filling = stack.pop()
-        tried += 1
         while True:
             if filling is not None:
                 m = min(left[x] // filling.count(x) for x in set(filling))
@@ -186,12 +190,12 @@ def _search(counts: dict[int, int], capacity: int, best: list, goal: int, nodes:
                         trail = trail[0]
                 break
             allowed = (best_n - 1) * capacity - total - waste
-            if allowed < 0:
+            if allowed < 0 or work[0] <= 0:
                 break
             top = max(left)
             left[top] -= 1
             lengths = sorted((x for x, c in left.items() if c), reverse=True)
-            options = fillings(left, lengths, capacity - top, allowed, width, large) or ([()] if allowed >= capacity - top else [])
+            options = fillings(left, lengths, capacity - top, allowed, width, large, work) or ([()] if allowed >= capacity - top else [])
             left[top] += 1
             if not options:
                 break
