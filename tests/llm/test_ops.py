@@ -72,6 +72,16 @@ def test_license_scan_cases(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_at_the_threshold(spark):
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    texts = ["Project X: Licensed under the MIT License.", "under the mit license", "a b c d " + notice + " e", "a b c d " + notice + " e f"]
+    short = {"A": ["a b c d e"], "B": ["k l m n o p q"]}
+    got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(frame(spark, texts)).collect()}
+    assert got == {(0, "MIT"): 0.8, (1, "MIT"): 2 * 3 / 7, (2, "CC-BY-4.0"): 2 * 12 / 29, (3, "CC-BY-4.0"): 0.8}
+    got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(frame(spark, ["x y a b c d e", "x y z a b c d e", "k l m n o", "k l m n"]), short).collect()}
+    assert got == {(0, "A"): 0.8, (2, "B"): 0.8}
+
+
 def slow_stats(text):
     text = text or ""
     words = SPACE.findall(text)

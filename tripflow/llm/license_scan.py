@@ -12,6 +12,7 @@ best Dice and the number of such units are returned. Rows that repeat a doc_id a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,10 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, th
     """(doc_id, license, dice, n_units) for every licence that is the best match of some unit of a document."""
     literal = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template")) for k, ts in templates.items() for t in ts])
     rows = docs.sparkSession.range(1).select(F.inline(literal))
-    ratio = threshold / (2 - threshold)
+    exact = Fraction(str(threshold))  # in doubles, 0.8 / 1.2 is above 2/3 and would cut sizes on the bounds
+    low, high = (exact / (2 - exact)).as_integer_ratio()
     known = rows.select("license", bigrams(words(F.col("template"))).alias("t")).withColumn("n", F.size("t"))
-    bounds = F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.floor(F.col("n") / ratio).cast("int"))
+    bounds = F.sequence(F.expr(f"cast((n * {low}L + {high - 1}L) div {high}L as int)"), F.expr(f"cast(n * {high}L div {low}L as int)"))
     known = known.select("license", "t", F.explode(bounds).alias("size"))
     text = F.col("text")
     units = F.when(F.locate("\n", text) > 0, F.concat(F.split(text, "\n"), F.array(text))).otherwise(F.array(text))
