@@ -178,6 +178,15 @@ def test_minhash_recall():
     assert total > 150 and hit >= 0.98 * total
 
 
+def test_repetitive_lines_share_bands():
+    mixed = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    for a, b in (("buy now " * 15, "buy now " * 25), ("=" * 80, "=" * 200), (mixed, mixed + " ok" * 80)):
+        x, y = slow_shingles(a), slow_shingles(b)
+        assert len(x & y) >= 0.8 * len(x | y)
+        keys, at = line_dedup.bands(*X.flat(pa.array([a, "z" * 500, b])))
+        assert set(keys[: at[1]].tolist()) & set(keys[at[2] :].tolist())
+
+
 def test_pairwise_quality_ranks_held_out_rows(spark):
     got = queries.op4_pairwise_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()

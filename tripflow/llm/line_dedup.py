@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared without outer white space. Their sets of 8-character shingles give signatures of 40 minima in
-ten bands of four, which pairs of similarity 0.8 share with a chance above 0.99. Up to 160 shingles a line has 40
+ten bands of four, which pairs of similarity 0.8 share with a chance above 0.99. Up to 160 different shingles a line has 40
 hash functions; from 128 on, where more would only cost time, one hash is split into 40 bins (one-permutation hashing).
 Lines between have both, and lines of similarity 0.8 or more always have one kind in common.
 
@@ -67,12 +67,25 @@ def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return X.span_hash(data, chars[at], chars[end]), edges
 
 
+def _distinct(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of up to 4096 texts with so many hashes each: the sorted different (text, 52-bit hash) codes, and their number by text."""
+    text = np.repeat(np.arange(len(count), dtype=np.uint64), count)
+    codes = np.sort((text << np.uint64(52)) | (hashes >> np.uint64(12)))
+    codes = codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
+    return codes, np.bincount((codes >> np.uint64(52)).astype(np.int64), minlength=len(count))
+
+
 def bands(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of each text and their n + 1 offsets: none if it is empty, ten of one kind, or twenty if it has both."""
     hashes, edges = _shingles(data, offsets)
     n = np.diff(edges)
     fold, slots = np.arange(1, BANDS + 1, dtype=np.uint64), BANDS * ROWS
-    few, many = (n > 0) & (n <= CLASSIC_TO), n > BINNED_FROM
+    sizes = n.copy()
+    long = np.flatnonzero(n > BINNED_FROM)  # only there can repeats change the kind
+    for lo in range(0, len(long), 4096):
+        mine = long[lo : lo + 4096]
+        sizes[mine] = _distinct(hashes[np.repeat(edges[mine] - np.cumsum(n[mine]) + n[mine], n[mine]) + np.arange(n[mine].sum())], n[mine])[1]
+    few, many = (n > 0) & (sizes <= CLASSIC_TO), sizes > BINNED_FROM
     at = np.append(0, np.cumsum(BANDS * (few.astype(np.int64) + many)))
     out = np.zeros(at[-1], dtype=np.uint64)
 
@@ -191,10 +204,7 @@ def _without(data: np.ndarray, offsets: np.ndarray, want: pa.ListArray) -> tuple
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingle sets of up to 4096 texts as sorted (text, 52-bit hash) codes, and their sizes."""
     hashes, edges = _shingles(data, offsets)
-    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(edges))
-    codes = np.sort((text << np.uint64(52)) | (hashes >> np.uint64(12)))
-    codes = codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
-    return codes, np.bincount((codes >> np.uint64(52)).astype(np.int64), minlength=len(offsets) - 1)
+    return _distinct(hashes, np.diff(edges))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
