@@ -150,6 +150,39 @@ def test_line_dedup_against_all_pairs(spark, docs):
     assert abs(sum(r.n_dropped for r in got.values()) - sum(map(len, drop.values()))) <= 0.02 * sum(map(len, drop.values())) + 1
 
 
+def test_line_dedup_compares_all_pairs_of_a_band(spark):
+    # Lines of one template share many bands, but only the planted pairs are similar.
+    rng = random.Random(17)
+
+    def filler(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    head = " ".join(filler(6) for _ in range(15))
+    lines = [head + " " + filler(40) for _ in range(2500)]
+    twins = {i: lines[i][:-2] + "~~" for i in range(0, 2500, 25)}
+    where = list(enumerate(lines)) + [(10_000 + i, x) for i, x in twins.items()]
+    assert all(line_dedup.SIMILARITY > len(slow_shingles(a) & slow_shingles(b)) / len(slow_shingles(a) | slow_shingles(b)) for a, b in zip(lines, lines[1:]))
+    shares = 0
+    for i, x in twins.items():
+        keys, at = line_dedup.bands(*X.flat(pa.array([lines[i], x])))
+        shares += bool(set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist()))
+    got = line_dedup.dedup_lines(spark.createDataFrame(where, "doc_id long, text string")).where("n_dropped > 0").collect()
+    assert {r.doc_id for r in got} <= {10_000 + i for i in twins} and len(got) == shares >= 98
+
+
+def test_block_comparison_is_exact():
+    rng = random.Random(23)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(6)]
+    lines = [b[:k] + "#" * rng.randrange(1, 9) + b[k:] for b in base for _ in range(20) for k in [rng.randrange(90)]]
+    sets = [slow_shingles(x) for x in lines]
+    key = np.arange(len(lines))
+    for blocks, group in ((1, np.zeros(len(lines), np.int64)), (2, np.zeros(len(lines), np.int64)), (1, key // 20)):
+        own = key % blocks
+        pairs = [(i, j) for i in range(len(lines)) for j in range(i) if group[i] == group[j] and (blocks == 1 or own[i] != own[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        a, b = line_dedup._compare(group, own, key, pa.array(lines))
+        assert len(a) and closure(zip(a.tolist(), b.tolist(), strict=True)) == closure(pairs)
+
+
 def test_line_dedup_cases(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(frame(spark, [*ODD, "x y\n  same text here, twice over \nlast", ODD[-1]])).collect()}
     assert got[0] == (0, 0, None) and got[1] == (1, 0, "") and got[3] == (3, 0, "\n\n")

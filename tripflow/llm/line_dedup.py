@@ -5,10 +5,12 @@ ten bands of four, which pairs of similarity 0.8 share with a chance above 0.99.
 hash functions; from 128 on, where more would only cost time, one hash is split into 40 bins (one-permutation hashing).
 Lines between have both, and lines of similarity 0.8 or more always have one kind in common.
 
-Equal lines count as one. Lines of one band are tied to the band's least line and to the next one, every tie is checked by
-exact Jaccard similarity, and what a band still holds apart is tied again by its classes' least lines until no
-tie is new: lines multiply neither by copies nor within a band. A distributed union-find makes classes of the
-checked ties. Of each class the first line by (doc_id, line number) stays.
+Equal lines count as one. Lines of one band are first tied to the band's least line and to the next one, and a distributed
+union-find makes classes of the ties that exact Jaccard similarity confirms. Bands that still hold lines of several
+classes are then compared in all their pairs, by blocks of at most about a thousand lines that are held against each other
+block by block: a task counts shared shingles by matrix products and yields the ties of classes, so
+no pair becomes a row. Every two lines that share a band are so compared or of one class already. Of each
+class the first line by (doc_id, line number) stays.
 
 Lines without a word stay where they are. Null texts stay null. Rows equal in doc_id and text count as one document
 (each keeps the line); a null doc_id comes first. Line keys are 64-bit hashes.
@@ -27,10 +29,12 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from ._spark import Tables, key_runs, sized
-from .components import EDGE, components
+from .components import EDGE, components, roots
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
 CLASSIC_TO, BINNED_FROM = 160, 128
+#: Lines and bytes of a band's block, and lines of a group whose pairs are listed rather than counted in a matrix.
+BLOCK_LINES, BLOCK_SIZE, LISTED = 1_024, 1 << 19, 24
 #: Rows of a key list that may be broadcast (16 to 40 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _SEED = np.random.default_rng(23).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -224,6 +228,133 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
+def _shared(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens every two of n rows share, from sorted distinct (token, row) pairs."""
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    df = np.diff(np.append(starts, len(token)))
+    out = np.zeros((n, n), dtype=np.float32)
+    # Common tokens, of which there are few, as columns of a product; the others by their own pairs.
+    common = np.flatnonzero(df > max(8, n // 16))
+    for lo in range(0, len(common), 2048):
+        part = common[lo : lo + 2048]
+        count = df[part]
+        at = np.repeat(starts[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        dense = np.zeros((n, len(part)), dtype=np.float32)
+        dense[row[at], np.repeat(np.arange(len(part)), count)] = 1
+        out += dense @ dense.T
+    rare = np.repeat(df <= max(8, n // 16), df)
+    row, token = row[rare], token[rare]
+    held: list[np.ndarray] = []
+    for step in range(1, len(row)):
+        same = np.flatnonzero(token[step:] == token[:-step])
+        if len(same):
+            held.append(row[same] * n + row[same + step])
+        if not len(same) or sum(map(len, held)) > 2_000_000:
+            out += _counted(held, n)
+            held = []
+        if not len(same):
+            break
+    return out + _counted(held, n) if held else out
+
+
+def _counted(codes: list[np.ndarray], n: int) -> np.ndarray:
+    """A symmetric matrix of how often each code row * n + column occurs."""
+    if not codes:
+        return np.zeros((n, n), dtype=np.float32)
+    upper = np.bincount(np.concatenate(codes), minlength=n * n).reshape(n, n).astype(np.float32)
+    return upper + upper.T
+
+
+def _compare(group: np.ndarray, own: np.ndarray, root: np.ndarray, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of roots by similar lines of one group: of different own blocks, or of any if the group has just one."""
+    data, offsets = X.flat(lines)
+    hashes, edges = _shingles(data, offsets)
+    row = np.repeat(np.arange(len(group)), np.diff(edges))
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))
+    row, hashes = row[new], hashes[new]
+    size = np.bincount(row, minlength=len(group))
+    first = np.cumsum(size) - size
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stops = np.append(starts[1:], len(group))
+    several = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
+    a_found, b_found = [], []
+
+    # Groups of few lines: their pairs at once.
+    n = stops - starts
+    listed = np.flatnonzero(n <= LISTED)
+    cross = np.zeros(len(group), dtype=bool)
+    for g in np.flatnonzero(several):
+        cross[starts[g] : stops[g]] = True
+    small = np.concatenate([np.arange(0), *(np.arange(starts[g], stops[g]) for g in listed)])
+    end = np.repeat(stops, n)
+    pairs = [(small[small + k < end[small]], k) for k in range(1, LISTED)]
+    left = np.concatenate([i for i, _ in pairs])
+    right = np.concatenate([i + k for i, k in pairs])
+    lo_size, hi_size = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+    keep = (root[left] != root[right]) & (lo_size >= SIMILARITY * hi_size) & (~cross[left] | (own[left] != own[right]))
+    left, right = left[keep], right[keep]
+    total = np.append(0, np.cumsum(size[left] + size[right]))
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 2_000_000, "right")) - 1)
+        both = np.concatenate([left[lo:hi], right[lo:hi]])
+        count = size[both]
+        pair = np.repeat(np.tile(np.arange(hi - lo), 2), count)
+        token = hashes[np.repeat(first[both] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        order = np.lexsort((token, pair))
+        pair, token = pair[order], token[order]
+        shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=hi - lo)
+        same = shared >= SIMILARITY * (size[left[lo:hi]] + size[right[lo:hi]] - shared)
+        a_found.append(root[left[lo:hi]][same])
+        b_found.append(root[right[lo:hi]][same])
+        lo = hi
+
+    for g in np.flatnonzero(n > LISTED):
+        lo, hi = starts[g], stops[g]
+        if (root[lo:hi] == root[lo]).all():
+            continue
+        mine = slice(first[lo], first[hi - 1] + size[hi - 1])
+        r, t = row[mine] - lo, hashes[mine]
+        order = np.argsort(t, kind="stable")
+        shared = _shared(r[order], t[order], hi - lo).astype(np.float64)
+        k = size[lo:hi].astype(np.float64)
+        same = shared >= SIMILARITY * (k[:, None] + k[None, :] - shared)
+        same &= root[lo:hi, None] != root[None, lo:hi]
+        if several[g]:
+            same &= own[lo:hi, None] != own[None, lo:hi]
+        x, y = np.nonzero(np.triu(same, 1))
+        a_found.append(root[lo:hi][x])
+        b_found.append(root[lo:hi][y])
+    a, b = np.concatenate([np.zeros(0, np.int64), *a_found]), np.concatenate([np.zeros(0, np.int64), *b_found])
+    if not len(a):
+        return a, b
+    a, b = roots(a, b)
+    return a[a != b], b[a != b]
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, i, j, own, root, line) sorted by (band, i, j) -> ties (a, b) of the roots of similar lines."""
+    for table in key_runs(batches, 3, 4_096):
+        keys = [table.column(i).to_numpy() for i in range(3)]
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        group = np.cumsum(new) - 1
+        own, root = table.column(3).to_numpy()[order], table.column(4).to_numpy()[order]
+        lines = table.column(5).combine_chunks().take(pa.array(order))
+        size = np.append(0, np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False)))
+        edge = np.append(np.flatnonzero(new), len(group))
+        lo = 0
+        while lo < len(edge) - 1:  # whole groups of about a block's bytes
+            hi = max(lo + 1, int(np.searchsorted(size[edge], size[edge[lo]] + 2 * BLOCK_SIZE, "right")) - 1)
+            part = slice(edge[lo], edge[hi])
+            a, b = _compare(group[part], own[part], root[part], lines.slice(edge[lo], edge[hi] - edge[lo]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            lo = hi
+
+
 def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """All lines as (doc_id, pos, key) and classes of different lines as (key, root)."""
     signed = tables.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, _SIGNED))
@@ -242,19 +373,23 @@ def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]
         both = left.join(texts.select(F.col("key").alias("b"), F.col("line").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_similar, EDGE)
 
-    tried, ties = new, tables.save(check(new))
-    while True:
-        classes = tables.save(components(ties, tables).select(F.col("node").alias("key"), "root"))
-        apart = members.join(classes, "key", "left").groupBy("band", F.coalesce("root", "key").alias("root")).agg(F.min("key").alias("key"))
-        new = tables.save(_ties(apart).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return signed.select("doc_id", "pos", "key"), classes
-        more = tables.save(check(new))
-        if more.isEmpty():  # the classes stay, and so would the ties between them
-            return signed.select("doc_id", "pos", "key"), classes
-        tried = tried.unionAll(new)
+    ties = tables.save(check(new))
+    classes = tables.save(components(ties, tables).select(F.col("node").alias("key"), "root"))
+    # A band of three lines has had all its pairs; so has one whose lines are all of one class, for what classes need.
+    classed = members.join(classes, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    mixed = classed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
+    mixed = tables.save(mixed.select("band"))
+    apart = tables.save(classed.join(sized(mixed, BROADCAST_ROWS), "band").join(texts, "key"))
+    blocks = apart.groupBy("band").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_LINES}), ceil(sum(octet_length(line)) / {BLOCK_SIZE})) as int)").alias("m")).where("m > 1")
+    spread = apart.join(sized(tables.save(blocks), BROADCAST_ROWS), "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    spread = spread.withColumn("own", F.expr("cast(pmod(xxhash64(key), m) as int)")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
+    spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "line")
+    more = tables.save(spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, EDGE).distinct())
+    if not more.isEmpty():
         # The classes so far are links, too, and fewer than all ties.
-        ties = tables.save(classes.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").unionAll(more))
+        links = classes.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").unionAll(more)
+        classes = tables.save(components(links, tables).select(F.col("node").alias("key"), "root"))
+    return signed.select("doc_id", "pos", "key"), classes
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
