@@ -220,6 +220,14 @@ def test_repetitive_lines_share_bands():
         assert set(keys[: at[1]].tolist()) & set(keys[at[2] :].tolist())
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    for key in (None, 7):
+        rows = [(key, "shared line of both\nfirst of its own"), (key, "shared line of both\nsecond, quite unlike"), (key, None), (9, "x shared line\nshared line of both")]
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == 4 and sum(r.n_dropped for r in got) == 2
+        assert sum((r.text or "").split("\n").count("shared line of both") for r in got) == 1
+
+
 def test_pairwise_quality_ranks_held_out_rows(spark):
     got = queries.op4_pairwise_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
@@ -484,6 +492,13 @@ def test_simhash_documents(spark, docs):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    rows = [(None, words[0])] * 30 + [(5, words[1])] * 20 + [(5, words[1].upper()), (None, words[1])] + [(5, words[2]), (4, words[2])]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id or 0, r.text[0].lower()) for r in got) == [(0, "a"), (4, "c"), (5, "b")]
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000 + rng.randrange(200), 5000 + rng.randrange(200)) for _ in range(150)] + [(7, 7)]

@@ -10,7 +10,7 @@ union-find makes classes of the ties that exact Jaccard similarity confirms. Ban
 classes are then compared in all their pairs, by blocks of at most about a thousand lines that are held against each other
 block by block: a task counts shared shingles by matrix products and yields the ties of classes, so
 no pair becomes a row. Every two lines that share a band are so compared or of one class already. Of each
-class the first line by (doc_id, line number) stays.
+class the first line by (doc_id, text hash, line number) stays.
 
 Lines without a word stay where they are. Null texts stay null. Rows equal in doc_id and text count as one document
 (each keeps the line); a null doc_id comes first. Line keys are 64-bit hashes.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,13 +121,13 @@ def bands(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out.view(np.int64), at
 
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All lines with a word; band keys for the first of equal lines of a block."""
     for batch in batches:
-        for lo, _, data, offsets in X.blocks(batch.column(1)):
+        for lo, _, data, offsets in X.blocks(batch.column(2)):
             row, pos, starts, ends, key, _ = _lines(data, offsets)
             _, once = np.unique(key, return_index=True)
             once.sort()
@@ -135,7 +135,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.zeros(len(key), dtype=np.int32)
             size[once] = np.diff(at)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), lists], _SIGNED.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row + lo)) for i in range(2)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), lists], _SIGNED.names)
 
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,17 +355,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
+def _document() -> tuple[Column, Column]:
+    """What tells rows apart, here as in dropped_lines: doc_id and the text's hash, for doc_ids may repeat or be null."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")
+
+
+def _of(lists: DataFrame) -> Column:
+    """The join of documents with lists by (_id, _hash)."""
+    doc_id, text_hash = _document()
+    return (text_hash == lists["_hash"]) & doc_id.eqNullSafe(lists["_id"])
+
+
 def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """All lines as (doc_id, pos, key) and classes of different lines as (key, root)."""
-    signed = tables.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, _SIGNED))
+    """All lines as (doc_id, text_hash, pos, key) and classes of different lines as (key, root)."""
+    signed = tables.save(docs.select(*_document(), "text").mapInArrow(_sign, _SIGNED))
     first = tables.save(_ties(signed.select("key", F.explode("bands").alias("band"))))
     members = tables.save(first.select("band", F.col("a").alias("key")).unionAll(first.select("band", F.col("b").alias("key"))).distinct())
     new = tables.save(first.select("a", "b").distinct())
     wanted = members.select("key").distinct()
-    place = signed.join(sized(tables.save(wanted), BROADCAST_ROWS), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("p"))
-    by_doc = tables.save(place.groupBy("p.doc_id").agg(F.collect_list(F.struct("p.pos", "key")).alias("want")).withColumnRenamed("doc_id", "_id"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    holders = plain.join(sized(by_doc, BROADCAST_ROWS // 4), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "want")
+    place = signed.join(sized(tables.save(wanted), BROADCAST_ROWS), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("p"))
+    by_doc = tables.save(place.groupBy("p.doc_id", "p.text_hash").agg(F.collect_list(F.struct("p.pos", "key")).alias("want")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
+    holders = docs.select("doc_id", "text").join(sized(by_doc, BROADCAST_ROWS // 4), _of(by_doc)).select("text", "want")
     texts = tables.save(holders.mapInArrow(_pick, "key long, line string").dropDuplicates(["key"]))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -389,26 +399,26 @@ def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]
         # The classes so far are links, too, and fewer than all ties.
         links = classes.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").unionAll(more)
         classes = tables.save(components(links, tables).select(F.col("node").alias("key"), "root"))
-    return signed.select("doc_id", "pos", "key"), classes
+    return signed.select("doc_id", "text_hash", "pos", "key"), classes
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, marks): per document, a mark of (line number, line) for each line that an earlier one of its class replaces."""
+    """(doc_id, text_hash, marks): per document, a mark of (line number, line) for each line that an earlier one of its class replaces."""
     tables = Tables(docs.sparkSession, "lines")
     occurrences, classes = line_classes(docs, tables)
-    place = F.struct("doc_id", "pos")
+    place = F.struct("doc_id", "text_hash", "pos")
     by_key = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = by_key.join(classes, "key", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     keys = tables.save(rooted.join(firsts, "root").select("key", "kept"))
     drops = occurrences.join(sized(keys, BROADCAST_ROWS), "key").where(~place.eqNullSafe(F.col("kept")))
-    return tables.save(drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key")).alias("want")))
+    return tables.save(drops.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "key")).alias("want")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its columns, text without the dropped lines, plus n_lines and n_dropped."""
-    drops = dropped_lines(docs).withColumnsRenamed({"doc_id": "_id", "want": "_want"})
-    joined = docs.join(sized(drops, BROADCAST_ROWS // 4), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    drops = dropped_lines(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "want": "_want"})
+    joined = docs.join(sized(drops, BROADCAST_ROWS // 4), _of(drops), "left").drop("_id", "_hash")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index("text")
 

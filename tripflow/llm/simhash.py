@@ -183,16 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their class, with all their columns.
-
-    Rows that repeat a kept doc_id stay only if their text has the same class. A class without any doc_id
-    keeps its rows.
-    """
+    """One row of docs per class, with all its columns: the first by doc_id (null last), text hash and row of the written table."""
     tables = Tables(docs.sparkSession, "simhash")
-    printed = with_fingerprint(docs, "_fp")
-    least = tables.save(printed.groupBy("_fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("_fp", "fp"))
+    # Written once, so that each row keeps its number.
+    printed = tables.save(with_fingerprint(docs, "_fp").withColumn("_row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("_row").alias("row"))
+    least = tables.save(printed.groupBy("_fp").agg(F.min(place).alias("least")).withColumnRenamed("_fp", "fp"))
     node = components(links(least.select("fp"), tables, budget), tables).withColumnRenamed("node", "fp")
-    linked = least.join(node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    firsts = linked.groupBy("root").agg(F.min("least").alias("first"))
-    keep = tables.save(linked.join(firsts, "root").where("least <=> first").select(F.col("fp").alias("_fp"), "first"))
-    return printed.join(keep, "_fp").where("doc_id <=> first").select(*docs.columns)
+    linked = least.join(node, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    keep = tables.save(linked.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row")))
+    return printed.join(keep, "_row", "left_semi").select(*docs.columns)
