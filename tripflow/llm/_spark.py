@@ -13,22 +13,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         named = context.getCheckpointDir() or ""
         if not named:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="tripflow-")
             context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Limits this session's Arrow batches to BATCH_BYTES if they aren't: texts are long, and each task holds some batches."""
+    """Limits this session's Arrow batches to BATCH_BYTES from now on if they aren't: texts are long, and each task holds some batches.
+
+    Spark reads the setting when a plan runs, so it stays after a query has been built.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
@@ -66,22 +71,45 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def sized_lists(df: DataFrame, lists: str, entries: int) -> DataFrame:
+    """The same by the entries of a column of lists, each row counting as one more."""
+    total = df.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(df) if total <= entries else df
+
+
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns that bear one of the names (in any case) called otherwise; together() takes that back."""
+    taken = {n.lower() for n in names}
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c.lower() in taken})
+
+
+def together(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns so named before apart()."""
+    return df.select(*[F.col(f"`_own_{c}`").alias(c) if f"_own_{c}" in df.columns else F.col(f"`{c}`") for c in columns])
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end a reused Python worker gives back what Arrow's pool has kept."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
     """Sorted batches as tables of about so many rows that never split rows equal in the first ``keys`` columns."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, last = 0, None
     for batch in batches:
-        held.append(batch)
-        n += len(batch)
-        if n >= rows:
-            table = pa.Table.from_batches(held)
-            tail = np.ones(len(table), dtype=bool)
-            for i in range(keys):
-                tail &= table.column(i).to_numpy() == table.column(i)[-1].as_py()
-            cut = int(np.argmax(tail))
+        if not len(batch):
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cut = int(np.argmax(np.all([c == c[-1] for c in columns], axis=0)))  # where the last key begins
+        now = tuple(c[-1] for c in columns)
+        if n + cut >= rows and (cut or now != last):
             if cut:
-                yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-            n = len(table) - cut
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n, last = n + len(batch), now
     if n:
         yield pa.Table.from_batches(held)
