@@ -1,17 +1,22 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Pieces of equal length are alike, so the search runs over the counts by length: at most ``capacity`` numbers, whatever
-the corpus. Each step takes the largest length left and enumerates the undominated fillings of the rest of its
-sequence (no unused length could take the place of one or two chosen ones and still fit), within the waste that a
-solution better than the incumbent may still have. A filling is used as often as the counts allow. The first
-descent, always by least waste, is the best-fit solution and the first incumbent; branches that can't beat
-the incumbent go, and an incumbent at the lower bound ends the search. The counts, and so the plan, are bounded; pieces
+the corpus. Each node takes the largest length left and enumerates the undominated fillings of the rest of its
+sequence, least waste first, within the waste that a solution better than the incumbent may still have. A filling is dominated
+if unused lengths could take the place of some of its pieces, which would fit into them, without overfilling the sequence. A filling
+is tried as often as the counts allow, then half as often, down to once, so every solution can be reached. Best-fit decreasing is the
+first incumbent; branches that can't beat the incumbent go, by their waste and by Martello and Toth's bound, and an incumbent
+at the lower bound ends the search. Without the limit of ``steps`` the result is the least number of sequences; with it, it
+is at most that of best-fit decreasing. The counts, and so the plan's time and memory, don't grow with the corpus; pieces
 meet their places by rank within their length, which Spark numbers in hash buckets.
+
+Null and empty texts are the end id alone. Rows are packed one by one, so repeated doc_ids and equal texts are pieces of their own;
+pieces alike in doc_id, number and ids take each other's places in any order. Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,22 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import Tables
+from ._spark import Tables, released
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@functools.cache
 def encoder(path: str):
-    """The byte-level BPE of a ranks file; its ids equal those of the JSON form of the same vocabulary."""
+    """The byte-level BPE of a ranks file; ids, those of added tokens included, equal those of the JSON form beside it."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    for text in added:
+        ranks.pop(text.encode(), None)
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def default_vocabulary() -> str:
@@ -55,7 +64,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: s
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = np.append(encode(text, disallowed_special=()), end_id).astype("<u4") if text else np.array([end_id], dtype="<u4")
+                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4") if text else np.array([end_id], dtype="<u4")
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                     for x, v in zip(out, (doc, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())), strict=True):
@@ -63,63 +72,75 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: s
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: released(cut(batches)), PIECES)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: for each threshold, large items alone and what the middle ones can't fit beside them."""
-    best = 0
-    lengths = sorted(counts)
-    for k in [0, *(x for x in lengths if x <= capacity // 2)]:
-        big = sum(counts[x] for x in lengths if x > capacity - k)
-        half = sum(counts[x] for x in lengths if capacity // 2 < x <= capacity - k)
-        room = half * capacity - sum(counts[x] * x for x in lengths if capacity // 2 < x <= capacity - k)
-        low = sum(counts[x] * x for x in lengths if k <= x <= capacity // 2)
-        best = max(best, big + half + max(0, -(-(low - room) // capacity)))
-    return best
-
-
-def fillings(counts: dict[int, int], lengths: list[int], room: int, waste: int, width: int, large: bool, work: list[int]) -> list[tuple[int, ...]]:
-    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, least waste or largest pieces first.
-
-    work: steps left of the search; each call takes its own from it.
+    if not counts:
+        return 0
+    x = np.array(sorted(counts))
+    n = np.append(0, np.cumsum([counts[i] for i in x.tolist()]))
+    size = np.append(0, np.cumsum(x * np.diff(n)))
+    k = np.append(0, x[x <= capacity // 2])
+    half, big, low = (np.searchsorted(x, v, side) for v, side in ((capacity // 2, "right"), (capacity - k, "right"), (k, "left")))
+    big = np.maximum(big, half)
+    room = (n[big] - n[half]) * capacity - (size[big] - size[half])
+    more = -((room - (size[half] - size[low])) // capacity)
+    return int((n[-1] - n[half] + np.maximum(more, 0)).max())
+
+
+def fillings(counts: dict[int, int], room: int, waste: int, work: list[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Undominated multisets of available lengths (descending) that leave at most ``waste`` of room, and what they leave: least waste, then largest pieces first.
+
+    work: steps left of the search; each length and each partial filling takes one.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-    most = min(2_000, work[0])
-
-    def undominated(chosen: tuple[int, ...], left: int) -> bool:
-        sums = {*chosen, *(a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :])}
-        for s in sums:
-            for y in range(s + 1 if s in chosen else s, s + left + 1):
-                if counts.get(y, 0) > chosen.count(y):
-                    return False
-        return True
-
-    def descend(i: int, left: int, chosen: tuple[int, ...]) -> bool:
-        """Whether the search for this room can end."""
-        nonlocal steps
-        steps += 1
-        fits = False
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if left and counts.get(left, 0) > chosen.count(left):
-            found.append((0, (*chosen, left)))
-            return len(found) >= width or steps > most
+    lengths = sorted((x for x, c in counts.items() if c and x <= room), reverse=True)
+    counts = {x: counts[x] for x in lengths}
+    whole, every = (1 << room + 1) - 1, sum(1 << x for x in lengths)
+    reach = [1]  # sums of lengths[i:], as bits
+    for x in reversed(lengths):
+        bits, left, k = reach[-1], min(counts[x], room // x), 1
+        while left:
+            bits |= bits << min(k, left) * x & whole
+            left, k = left - min(k, left), 2 * k
+        reach.append(bits)
+    reach.reverse()
+    work[0] -= len(lengths)
+
+    def exact(i: int, target: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        work[0] -= 1
+        if not target:
+            yield chosen
+            return
         for j in range(i, len(lengths)):
+            work[0] -= 1
             x = lengths[j]
-            if counts[x] > chosen.count(x):
-                fits = True
-                if descend(j, left - x, (*chosen, x)):
-                    return True
-        if not fits and left <= waste and undominated(chosen, left):
-            found.append((left, chosen))
-        return steps > most
-
-    descend(0, room, ())
-    work[0] -= steps
-    found.sort(key=lambda f: ([-x for x in f[1]], f[0]) if large else (f[0], [-x for x in f[1]]))
-    return list(dict.fromkeys(c for _, c in found))[:width]
+            for k in range(min(counts[x], target // x), 0, -1):
+                if work[0] > 0 and reach[j + 1] >> target - k * x & 1:
+                    yield from exact(j + 1, target - k * x, (*chosen, *(x,) * k))
+            if not reach[j + 1] >> target & 1:
+                return
+
+    def dominated(chosen: tuple[int, ...], left: int) -> bool:
+        one = more = 0  # sums of one, and of two or more chosen pieces
+        for x in chosen:
+            more |= (more | one) << x
+            one |= 1 << x
+        work[0] -= len(chosen)
+        free = every
+        for x in set(chosen):
+            if counts[x] == chosen.count(x):
+                free ^= 1 << x
+        near, width = free >> 1, 1  # within 1 to left above a sum
+        while width < left:
+            near |= near >> min(width, left - width)
+            width *= 2
+        return bool(more & free) or left > 0 and bool((1 | one | more) & near)
+
+    for left in range(min(room, waste) + 1):
+        if work[0] > 0 and reach[0] >> room - left & 1:
+            yield from ((f, left) for f in exact(0, room - left, ()) if not dominated(f, left))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -153,55 +174,67 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return done + [(f, n) for groups in open_.values() for f, n in groups]
 
 
-def plan(counts: dict[int, int], capacity: int, steps: int = 150_000, width: int = 4) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences): the best of best-fit decreasing and two searches.
+def plan(counts: dict[int, int], capacity: int, steps: int = 600_000) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, number of such sequences): the better of best-fit decreasing and the search.
 
-    One search tries fillings by least waste, the other by largest pieces. steps: partial fillings that each may look at,
-    unless it reaches the lower bound before; the plan's time doesn't grow with the corpus.
+    steps: lengths and partial fillings that the search may look at before its incumbent is taken, unless it ends before.
     """
     best = best_fit(counts, capacity)
-    goal = lower_bound(counts, capacity)
-    for large in (False, True):
-        if sum(m for _, m in best) > goal:
-            best = _search(counts, capacity, best, goal, steps, width, large)
-    return best
-
-
-def _search(counts: dict[int, int], capacity: int, best: list, goal: int, steps: int, width: int, large: bool) -> list[tuple[tuple[int, ...], int]]:
-    best_n = sum(m for _, m in best)
+    best_n, goal = sum(m for _, m in best), lower_bound(counts, capacity)
     total = sum(x * n for x, n in counts.items())
-    # A state: counts left, sequences so far, their patterns, waste so far, and the filling to use next.
-    stack: list[tuple[dict[int, int], int, tuple | None, int, tuple[int, ...] | None]] = [(dict(counts), 0, None, 0, None)]
-    work = [steps]
-    while stack and best_n > goal and work[0] > 0:
-        left, n, trail, waste, filling = stack.pop()
-        while True:
-            if filling is not None:
-                m = min(left[x] // filling.count(x) for x in set(filling))
-                for x in filling:
-                    left[x] -= m
-                left = {x: c for x, c in left.items() if c}
-                n, trail, waste = n + m, (trail, filling, m), waste + m * (capacity - sum(filling))
-            if not left:
-                if n < best_n:
-                    best_n, best = n, []
-                    while trail:
-                        best.append((trail[1], trail[2]))
-                        trail = trail[0]
-                break
-            allowed = (best_n - 1) * capacity - total - waste
-            if allowed < 0 or work[0] <= 0:
-                break
-            top = max(left)
-            left[top] -= 1
-            lengths = sorted((x for x, c in left.items() if c), reverse=True)
-            options = fillings(left, lengths, capacity - top, allowed, width, large, work) or ([()] if allowed >= capacity - top else [])
-            left[top] += 1
-            if not options:
-                break
-            for other in options[:0:-1]:
-                stack.append((dict(left), n, trail, waste, (top, *other)))
-            filling = (top, *options[0])
+    left, work, seen = dict(counts), [steps], {}
+
+    def options(waste: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """(filling, how often, waste of one) for the largest length left."""
+        top, now = max(left), dict(left)
+        allowed = (best_n - 1) * capacity - total - waste
+        for rest, lost in fillings({**now, top: now[top] - 1}, capacity - top, allowed, work):
+            filling = (top, *rest)
+            m = min(now[x] // filling.count(x) for x in set(filling))
+            m = min(m, allowed // lost) if lost else m
+            while m:
+                yield filling, m, lost
+                m //= 2
+
+    # Of a node: its options (dropped far up, and then made again), how many are done, and the step that led to it.
+    path: list[list] = [[None, 0, (), 0]]
+    n = waste = 0
+    while path and best_n > goal and work[0] > 0:
+        node = path[-1]
+        if node[0] is None:
+            node[0] = itertools.islice(options(waste), node[1], None)
+        node[1] += 1
+        work[0] -= 8
+        step = next(node[0], None)
+        if step is None:
+            _, _, filling, m = path.pop()
+            for x in filling:
+                left[x] = left.get(x, 0) + m
+            n, waste = n - m, waste - m * (capacity - sum(filling)) if filling else waste
+            continue
+        filling, m, lost = step
+        if (best_n - 1) * capacity - total - waste - m * lost < 0:
+            continue
+        for x in filling:
+            left[x] -= m
+        rest = {x: c for x, c in left.items() if c}
+        if not rest and n + m < best_n:
+            best_n, best = n + m, [(f, k) for _, _, f, k in path[1:]] + [(filling, m)]
+        state = tuple(sorted(rest.items())) if len(rest) <= 32 else None
+        known = rest and n + m + lower_bound(rest, capacity) < best_n and seen.get(state, n + m + 1) > n + m
+        if known:
+            if state:
+                seen[state] = n + m
+            for x in set(filling):
+                if not left[x]:
+                    del left[x]
+            n, waste = n + m, waste + m * lost
+            path.append([None, 0, filling, m])
+            if len(path) > 64:
+                path[-65][0] = None
+        else:
+            for x in filling:
+                left[x] += m
     return best
 
 
