@@ -1,15 +1,21 @@
-"""Quality rules whose cutoffs carry a guarantee.
+"""Quality rules whose cutoffs carry a guarantee for the verdict of all of them.
 
-Each rule is one rate per document with a fixed list of cutoffs from lenient to strict. On the labelled rows of
-a stratum an exact binomial test asks, cutoff by cutoff, whether the share of good documents it would reject
-can exceed ``alpha``; the first cutoff that isn't certified ends the list (fixed-sequence testing, which needs no
-correction within a rule), and ``delta`` is divided by the number of strata times rules (Bonferroni). With
-probability 1 - delta, no chosen cutoff rejects more than alpha of the good documents of its stratum. Of the
-certified cutoffs the one that separates best is taken: share of bad rejected less ``care`` times share of good
-rejected, ties to the most lenient. A stratum without a certified cutoff rejects nothing by that rule.
+Each rule is one rate per document with a fixed list of cutoffs from lenient to strict. Labelled rows are parted by a hash of
+doc_id: two fifths select, two fifths certify, one fifth only measures. On the selecting rows of a stratum a path is
+laid from no cutoffs at all to the strictest of every rule: each step tightens the rule that rejects the most bad documents for
+the good ones it costs. On the certifying rows, which had no part in the path, an exact binomial test asks step by step whether the
+rules together can reject more than ``alpha`` of the good documents; the first step that isn't certified ends the list (fixed-sequence
+testing, which needs no correction within a stratum), and ``delta`` is divided by the number of strata (Bonferroni). With
+probability 1 - delta, in no stratum does the verdict of all rules reject more than alpha of the good documents that pass the base
+rule. Of the certified steps the one that separates best on the selecting rows is taken: share of bad rejected less ``care`` times
+share of good rejected, ties to the most lenient. A stratum without a certified step rejects nothing but by the base rule.
+
+What is counted per stratum is a histogram over the rules' levels (at most the product of the lists' lengths), so it doesn't grow with
+the corpus. The measuring rows' good and rejected documents come with the cutoffs.
 
 Null text counts as empty: no words, so it fails the base rule. A null stratum is a stratum. Labels whose doc_id
-repeats count once, as good if any says so. Rows with a repeated doc_id are each judged by their own text.
+repeats count once, as good if any says so; a labelled document whose doc_id repeats counts once, by its greatest stratum and levels.
+Rows with a repeated doc_id are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -18,15 +24,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import _text as X
-from ._spark import Tables, small
+from ._spark import Tables, apart, released, small, together
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -85,7 +89,7 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
             found = text_stats(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(names)))], [*batch.schema.names, *names])
 
-    return rest.mapInArrow(add, schema)
+    return rest.mapInArrow(lambda batches: released(add(batches)), schema)
 
 
 def rates(prefix: str = "") -> dict[str, Column]:
@@ -112,25 +116,64 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(log.max()) * np.exp(log - log.max()).sum()))
 
 
+def path_choice(levels: np.ndarray, part: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, limit: float, care: float) -> tuple[list[int], int, int] | None:
+    """The chosen step of one stratum: each rule's cutoff index (-1: none), and the measuring rows' good documents and those rejected.
+
+    levels: how many of each rule's cutoffs a histogram row exceeds; good, bad: its documents; limit: the level of the test.
+    """
+    sizes = np.array([len(c) for c in RULES.values()])
+    select, certify, measure = part < 2, (part == 2) | (part == 3), part == 4
+
+    def rejected(config: np.ndarray) -> np.ndarray:
+        return ((config >= 0) & (config + levels >= sizes)).any(axis=1)
+
+    def gain(config: np.ndarray) -> float:
+        out = rejected(config) & select
+        return float(bad[out].sum() / max(bad[select].sum(), 1) - care * good[out].sum() / max(good[select].sum(), 1))
+
+    config, path = np.full(len(sizes), -1), []
+    while (config < sizes - 1).any():
+        steps = [config + (np.arange(len(sizes)) == r) for r in range(len(sizes)) if config[r] < sizes[r] - 1]
+        config = max(steps, key=gain)  # the first of equals
+        path.append(config)
+    certified = []
+    for config in path:
+        if binomial_tail(int(good[certify & rejected(config)].sum()), int(good[certify].sum()), alpha) > limit:
+            break
+        certified.append(config)
+    best = max(certified, key=gain, default=None)
+    if best is None or gain(best) <= 0:
+        return None
+    return best.tolist(), int(good[measure].sum()), int(good[measure & rejected(best)].sum())
+
+
 def cutoffs(labelled: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05, care: float = 5.0, prefix: str = "") -> DataFrame:
-    """(stratum, rule, cutoff): the chosen cutoffs. labelled: statistics, stratum and ``good`` (0 or 1), one row a document."""
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), (rates(prefix)[r] > c).alias("out")) for r, cs in RULES.items() for i, c in enumerate(cs)])
-    each = labelled.where(~base_failed(prefix)).select(F.col(stratum).alias("stratum"), "good", F.explode(steps).alias("s")).select("stratum", "good", "s.*")
-    counts = each.groupBy("stratum", "rule", "step", "cutoff").agg(
-        F.sum("good").alias("n"), F.sum(F.col("good") * F.col("out").cast("long")).alias("k"),
-        F.sum(1 - F.col("good")).alias("n_bad"), F.sum((1 - F.col("good")) * F.col("out").cast("long")).alias("k_bad"))
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), alpha) for a, b in zip(k, n, strict=True)])
-
-    strata = counts.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
-    tested = counts.crossJoin(F.broadcast(strata)).withColumn("fails", (tail("k", "n") > delta / (F.col("strata") * len(RULES))).cast("int"))
-    upto = Window.partitionBy("stratum", "rule").orderBy("step")
-    gain = F.col("k_bad") / F.greatest("n_bad", F.lit(1)) - care * F.col("k") / F.greatest("n", F.lit(1))
-    certified = tested.withColumn("fails", F.max("fails").over(upto)).where("fails = 0").withColumn("gain", gain).where("gain > 0")
-    best = F.max_by("cutoff", F.struct("gain", (-F.col("step")).alias("o")))
-    return certified.groupBy("stratum", "rule").agg(best.alias("cutoff"))
+    """(stratum, rule, cutoff, measured_good, measured_rejected): the chosen cutoffs, and what they do to rows that chose nothing.
+
+    labelled: doc_id, statistics, stratum and ``good`` (0 or 1).
+    """
+    names = [f"l{i}" for i in range(len(RULES))]
+    level = [sum(((rates(prefix)[r] > c).cast("int") for c in cs), F.lit(0)).alias(n) for n, (r, cs) in zip(names, RULES.items(), strict=True)]
+    once = labelled.where(~base_failed(prefix)).groupBy("doc_id").agg(F.max("good").alias("good"), F.max(F.struct(F.col(stratum).alias("stratum"), *level)).alias("s"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)).cast("int").alias("part")
+    each = once.select("good", part, "s.*")
+    counts = each.groupBy("stratum", "part", *names).agg(F.sum("good").cast("long").alias("n_good"), F.sum(1 - F.col("good")).cast("long").alias("n_bad"))
+    strata = each.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
+    rules = list(RULES.items())
+    kind = labelled.schema[stratum].dataType
+    schema = T.StructType([T.StructField("stratum", kind), T.StructField("rule", T.StringType()), T.StructField("cutoff", T.DoubleType()), T.StructField("measured_good", T.LongType()), T.StructField("measured_rejected", T.LongType())])
+
+    def choose(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("part", *names)])
+        stratum = rows.column("stratum")[0].as_py()
+        levels = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
+        found = path_choice(levels, *(rows.column(c).to_numpy() for c in ("part", "n_good", "n_bad")), alpha, delta / rows.column("strata")[0].as_py(), care)
+        picked = [(*rules[r], i) for r, i in enumerate(found[0]) if i >= 0] if found else []
+        types = [rows.schema.field("stratum").type, pa.string(), pa.float64(), pa.int64(), pa.int64()]
+        columns = [[stratum] * len(picked), [p[0] for p in picked], [p[1][p[2]] for p in picked], *([x] * len(picked) for x in (found[1:] if found else (0, 0)))]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=schema.names)
+
+    return counts.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInArrow(choose, schema)
 
 
 def judge(stats: DataFrame, chosen: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
@@ -159,6 +202,9 @@ def rule_table(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limi
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits: float) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
     tables = Tables(docs.sparkSession, "rules")
-    stats = with_stats(docs.select("doc_id", "text", stratum)).drop("text")
-    chosen = tables.save(cutoffs(stats.join(good_labels(labels), "doc_id"), stratum, **limits))
-    return judge(with_stats(docs, prefix="_rule_"), chosen, stratum, "_rule_").where("kept").select(*docs.columns)
+    names = [f"_rule_{s}" for s in STATS]
+    # Measured once and written with the rows: the labelled ones choose the cutoffs, then all are judged.
+    rows = tables.save(with_stats(apart(docs, *names, "kept", "base_failed", "_stratum", *(f"_{r}" for r in RULES)), prefix="_rule_"))
+    labelled = rows.select("doc_id", stratum, *names).join(good_labels(labels), "doc_id")
+    chosen = tables.save(cutoffs(labelled, stratum, prefix="_rule_", **limits))
+    return together(judge(rows, chosen, stratum, "_rule_").where("kept"), docs.columns)
