@@ -5,7 +5,7 @@ ten bands of four, which pairs of similarity 0.8 share with a chance above 0.99.
 hash functions; from 128 on, where more would only cost time, one hash is split into 40 bins (one-permutation hashing).
 Lines between have both, and lines of similarity 0.8 or more always have one kind in common.
 
-Equal lines count as one. Lines of one band are first tied to the band's least line and to the next one, and a distributed
+Equal lines count as one; a task signs them once, so a line that is everywhere reaches its bands once a task. Lines of one band are first tied to the band's least line and to the next one, and a distributed
 union-find makes classes of the ties that exact Jaccard similarity confirms. Bands that still hold lines of several
 classes are then compared in all their pairs, by blocks of at most about a thousand lines that are held against each other
 block by block: a task counts shared shingles by matrix products and yields the ties of classes, so
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from ._spark import Tables, key_runs, sized
+from ._spark import Tables, apart, key_runs, released, sized, sized_lists, together
 from .components import EDGE, components, roots
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
@@ -37,6 +37,8 @@ CLASSIC_TO, BINNED_FROM = 160, 128
 BLOCK_LINES, BLOCK_SIZE, LISTED = 1_024, 1 << 19, 24
 #: Rows of a key list that may be broadcast (16 to 40 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Keys that a task remembers to have signed (a power of 2; eight bytes each).
+SEEN = 1 << 18
 _SEED = np.random.default_rng(23).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -125,12 +127,16 @@ _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("te
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines with a word; band keys for the first of equal lines of a block."""
+    """All lines with a word. Band keys go with the first of a task's equal lines, but for those that `seen` has forgotten."""
+    seen = np.zeros(SEEN, dtype=np.uint64)
     for batch in batches:
         for lo, _, data, offsets in X.blocks(batch.column(2)):
             row, pos, starts, ends, key, _ = _lines(data, offsets)
             _, once = np.unique(key, return_index=True)
             once.sort()
+            slot = (key[once] & np.uint64(SEEN - 1)).astype(np.int64)
+            once, slot = (x[seen[slot] != key[once]] for x in (once, slot))
+            seen[slot] = key[once]
             found, at = bands(*_join(data, starts[once], ends[once]))
             size = np.zeros(len(key), dtype=np.int32)
             size[once] = np.diff(at)
@@ -139,24 +145,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key) sorted -> (band, a, b): every key of a band tied to the least and to the one before."""
-    for table in key_runs(batches, 1, 100_000):
-        band, key = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.lexsort((key, band))
-        band, key = band[order], key[order]
-        new = np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]))
-        band, key = band[new], key[new]
-        head = np.append(True, band[1:] != band[:-1])
-        least = key[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-        inner = np.flatnonzero(~head)
-        star = pa.RecordBatch.from_arrays([pa.array(band[inner]), pa.array(least[inner]), pa.array(key[inner])], ["band", "a", "b"])
-        chain = inner[~head[inner - 1]]
-        yield star
-        yield pa.RecordBatch.from_arrays([pa.array(band[chain]), pa.array(key[chain - 1]), pa.array(key[chain])], ["band", "a", "b"])
+    """(band, key) sorted -> (band, a, b): every key of a band tied to the least and to the one before. Holds one batch, however large a band."""
+    band = least = last = np.zeros(0, np.int64)  # of the row before
+    for batch in batches:
+        if not len(batch):
+            continue
+        bands_, keys = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((band, last)))
+        head = np.append(True, bands_[1:] != bands_[:-1])
+        first = keys[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
+        if len(least):
+            first[np.cumsum(head) == 1] = least[0]  # the band that began in an earlier batch
+        new = np.append(False, (bands_[1:] == bands_[:-1]) & (keys[1:] != keys[:-1]))
+        at = np.flatnonzero(new)
+        chain = at[first[at] != keys[at - 1]]
+        for a, b in ((first[at], at), (keys[chain - 1], chain)):
+            yield pa.RecordBatch.from_arrays([pa.array(bands_[b]), pa.array(a), pa.array(keys[b])], ["band", "a", "b"])
+        band, least, last = bands_[-1:], first[-1:], keys[-1:]
 
 
 def _ties(members: DataFrame) -> DataFrame:
-    return members.select("band", "key").repartition("band").sortWithinPartitions("band").mapInArrow(_tie, "band long, a long, b long")
+    return members.select("band", "key").repartition("band").sortWithinPartitions("band", "key").mapInArrow(_tie, "band long, a long, b long")
 
 
 def _wanted(data: np.ndarray, offsets: np.ndarray, want: pa.ListArray) -> tuple[np.ndarray, ...]:
@@ -368,14 +376,14 @@ def _of(lists: DataFrame) -> Column:
 
 def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """All lines as (doc_id, text_hash, pos, key) and classes of different lines as (key, root)."""
-    signed = tables.save(docs.select(*_document(), "text").mapInArrow(_sign, _SIGNED))
+    signed = tables.save(docs.select(*_document(), "text").mapInArrow(lambda batches: released(_sign(batches)), _SIGNED))
     first = tables.save(_ties(signed.select("key", F.explode("bands").alias("band"))))
     members = tables.save(first.select("band", F.col("a").alias("key")).unionAll(first.select("band", F.col("b").alias("key"))).distinct())
     new = tables.save(first.select("a", "b").distinct())
     wanted = members.select("key").distinct()
     place = signed.join(sized(tables.save(wanted), BROADCAST_ROWS), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("p"))
     by_doc = tables.save(place.groupBy("p.doc_id", "p.text_hash").agg(F.collect_list(F.struct("p.pos", "key")).alias("want")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
-    holders = docs.select("doc_id", "text").join(sized(by_doc, BROADCAST_ROWS // 4), _of(by_doc)).select("text", "want")
+    holders = docs.select("doc_id", "text").join(sized_lists(by_doc, "want", BROADCAST_ROWS), _of(by_doc)).select("text", "want")
     texts = tables.save(holders.mapInArrow(_pick, "key long, line string").dropDuplicates(["key"]))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -408,17 +416,19 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     occurrences, classes = line_classes(docs, tables)
     place = F.struct("doc_id", "text_hash", "pos")
     by_key = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    rooted = by_key.join(classes, "key", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    # Written, so that a class of many different lines may be split in the join.
+    rooted = tables.save(by_key.join(classes, "key", "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")))
+    firsts = sized(tables.save(rooted.groupBy("root").agg(F.min("first").alias("kept"))), BROADCAST_ROWS)
     keys = tables.save(rooted.join(firsts, "root").select("key", "kept"))
     drops = occurrences.join(sized(keys, BROADCAST_ROWS), "key").where(~place.eqNullSafe(F.col("kept")))
     return tables.save(drops.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "key")).alias("want")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with its columns, text without the dropped lines, plus n_lines and n_dropped."""
+    """docs with its columns, text without the dropped lines, plus n_lines and n_dropped; columns that were so named are replaced."""
+    docs = docs.drop("n_lines", "n_dropped")
     drops = dropped_lines(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "want": "_want"})
-    joined = docs.join(sized(drops, BROADCAST_ROWS // 4), _of(drops), "left").drop("_id", "_hash")
+    joined = docs.join(sized_lists(drops, "_want", BROADCAST_ROWS), _of(drops), "left").drop("_id", "_hash")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index("text")
 
@@ -436,11 +446,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns = [texts if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(dropped)], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lambda batches: released(cut(batches)), schema)
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs without dropped lines; a document that thereby loses its last line with a word goes."""
-    names = {c: f"_own_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
-    kept = dedup_lines(docs.withColumnsRenamed(names)).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
-    return kept.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    own = ("n_lines", "n_dropped", "_id", "_hash", "_want")
+    kept = dedup_lines(apart(docs, *own)).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    return together(kept, docs.columns)
