@@ -8,7 +8,8 @@ suffix carries a hash of every passage of min_words that it stands for, i.e. of
 the rest to its right, and those that a neighbour has too are repeats. Overlapping repeats of a document join to maximal spans.
 
 Copies inside one Arrow batch are matched there and only one of them is sorted with the rest, so a passage that a third of all
-rows hold reaches the sort once per batch. Null texts have no words. Rows that repeat a doc_id are texts of
+rows hold reaches the sort once per batch. Keys are counted first: a phrase that starts more than ``hot_rows`` suffixes, with whatever texts around
+it, is not brought together; its passages are, each by its own hash. Null texts have no words. Rows that repeat a doc_id are texts of
 their own and are reported together. A passage that repeats within one document counts.
 """
 
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import key_runs
+from ._spark import Tables, key_runs, released, sized
 
+#: Crowded keys that may be broadcast (8 bytes each).
+BROADCAST_KEYS = 1_000_000
 _KEPT = 6  # bytes of a passage hash that are sorted; the key before it has 8 more
 
 
@@ -76,8 +79,11 @@ def _runs(repeated: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[n
     return owner[first], place[first], place[last]
 
 
-def spans(docs: DataFrame, min_words: int = 50, width: int = 32) -> DataFrame:
-    """(doc_id, start_word, end_word): maximal spans covered by passages of min_words that occur elsewhere too."""
+def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int = 100_000) -> DataFrame:
+    """(doc_id, start_word, end_word): maximal spans covered by passages of min_words that occur elsewhere too.
+
+    hot_rows: suffixes of one key that may meet in one task; those of larger keys are matched passage by passage.
+    """
     if not 4 <= width <= min_words - 3:
         raise ValueError("width must leave four words of a passage")
 
@@ -110,7 +116,13 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32) -> DataFrame:
             yield _batch(key[once].view(np.int64), ids.take(pa.array(row[once])), begin[once], count[once], packed)
 
     schema = "key long, doc_id long, begin int, n int, passages binary"
-    kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keep, schema)
+    kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: released(keep(batches)), schema)
+    tables = Tables(docs.sparkSession, "suffixes")
+    hot = tables.save(kept.where("key is not null").groupBy("key").count().where(F.col("count") > hot_rows).select("key"))
+    some = not hot.isEmpty()
+    if some:
+        marked = kept.join(sized(hot.withColumn("hot", F.lit(True)), BROADCAST_KEYS), "key", "left")
+        crowd, kept = marked.where("hot").drop("hot"), marked.where("hot is null").select(*kept.columns)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, 1, 50_000):
@@ -122,19 +134,39 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32) -> DataFrame:
                 yield _spans(ids.filter(pa.array(done)), begin[done], begin[done] + n[done] - 1 + min_words)
             ids, begin, n, key = ids.filter(pa.array(~done)), begin[~done], n[~done].astype(np.int64), key[~done].astype(np.int64).view(np.uint64)
             raw, _ = X.flat(known.filter(pa.array(~done)))
-            wide = np.zeros((len(raw) // _KEPT, 8), dtype=np.uint8)
-            wide[:, :_KEPT] = raw.reshape(-1, _KEPT)
-            owner = np.repeat(np.arange(len(n)), n)
-            place = np.repeat(begin, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            o, a, b = _runs(_repeats(key, wide.view(np.uint64).ravel(), owner), owner, place)
+            owner, place, passage = _placed(begin, n, raw)
+            o, a, b = _runs(_repeats(key, passage, owner), owner, place)
             yield _spans(ids.take(pa.array(o)), a, b + min_words)
 
     # Spans that are known go along under keys of their own, spread by document.
     keyed = kept.withColumn("key", F.coalesce("key", F.xxhash64("doc_id", "begin")))
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "doc_id long, start_word int, end_word int")
+    if some:
+        found = found.unionAll(_crowded(crowd, tables, min_words))
     return merged(found)
 
 
+def _placed(begin: np.ndarray, n: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every packed passage of some suffixes: its suffix, its first word and its hash."""
+    wide = np.zeros((len(raw) // _KEPT, 8), dtype=np.uint8)
+    wide[:, :_KEPT] = raw.reshape(-1, _KEPT)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.repeat(begin, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), wide.view(np.uint64).ravel()
+
+
+def _crowded(crowd: DataFrame, tables: Tables, min_words: int) -> DataFrame:
+    """Spans of the suffixes of keys that too many share: a row for each passage, so that no key has to fit one task."""
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, _ = X.flat(batch.column(4))
+            owner, place, passage = _placed(batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64), raw)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(owner)) for i in range(2)), pa.array(passage.view(np.int64)), pa.array(place.astype(np.int32))], ["key", "doc_id", "passage", "start_word"])
+
+    each = tables.save(crowd.mapInArrow(single, "key long, doc_id long, passage long, start_word int"))
+    repeated = tables.save(each.groupBy("key", "passage").count().where("count > 1").drop("count"))
+    return each.join(repeated, ["key", "passage"], "left_semi").select("doc_id", "start_word", (F.col("start_word") + min_words).alias("end_word"))
+
+
 def merged(found: DataFrame) -> DataFrame:
     """Overlapping or touching spans of a document joined."""
     each = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("s")).select("doc_id", "s.start_word", "s.end_word")
