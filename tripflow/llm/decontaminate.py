@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from ._spark import Tables, apart, released, together
 
-INDEX_BYTES = 32 << 20
+#: Bytes of items' text in one index. The index takes about 25 times that on the driver and in every Python worker (measured).
+INDEX_BYTES = 4 << 20
 _FILTER = 1 << 20
 
 
@@ -36,49 +38,70 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 class Windows:
-    """The windows of some items, their shingles and, once counted, their prefixes."""
-
-    def __init__(self, ids: list, texts: pa.Array, window: int, shingle: int):
-        data, starts, ends, first = _words(texts)
-        word = X.span_hash(data, starts, ends)
-        raw = data.tobytes()
-        self.items: list[list[str]] = []
-        self.words: list[bytes] = []
-        self.size: list[int] = []
-        seen: dict[bytes, int] = {}
-        at: list[int] = []
-        for i, item in enumerate(ids):
-            n = int(first[i + 1] - first[i])
-            size = min(n, window)
-            for w in range(first[i], first[i + 1] - size + 1) if n else ():
-                key = b" ".join(raw[starts[x] : ends[x]] for x in range(w, w + size))
-                j = seen.setdefault(key, len(seen))
-                if j == len(at):
-                    at.append(w)
-                    self.words.append(key)
-                    self.size.append(size)
-                    self.items.append([])
-                self.items[j].append(str(item))
-        self.at, self.n = np.array(at, dtype=np.int64), np.array(self.size, dtype=np.int64)
+    """The different windows of some items, packed in arrays: their words, their shingles and, once counted, their prefixes."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, window: int, shingle: int):
+        data, self.starts, self.ends, first = _words(texts)
+        self.raw = data.tobytes()
+        word = X.span_hash(data, self.starts, self.ends)
+        words = np.diff(first)
+        size = np.minimum(words, window)
+        count = np.where(words > 0, words - size + 1, 0)
+        item = np.repeat(np.arange(len(words)), count)
+        at = first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        n = size[item]
+        value = np.zeros(len(at), dtype=np.uint64)
+        for k in np.unique(n):
+            value[n == k] = X.gram_hash(word, int(k))[at[n == k]]
+        # Windows of one hash and size are one if their words are equal, too; hashes that lie come apart by a further number.
+        value, kept, own = self._distinct(value, at, n)
+        order = np.lexsort((item, own))
+        once = np.append(True, (own[order][1:] != own[order][:-1]) | (item[order][1:] != item[order][:-1]))[: len(order)]
+        self.ids = ids
+        self.item, self.item_first = item[order[once]].astype(np.int32), np.searchsorted(own[order[once]], np.arange(len(kept) + 1))
+        self.at, self.n, self.hash = at[kept], n[kept], value[kept]
         self.k = np.minimum(self.n, shingle)
-        self.lengths = sorted(set(self.k.tolist()))
-        grams = {k: X.gram_hash(word, k) for k in self.lengths}
-        self.shingles = [grams[k][a : a + n - k + 1] for a, n, k in zip(self.at.tolist(), self.n.tolist(), self.k.tolist(), strict=True)]
-        self.hash = np.array([X.gram_hash(word[a : a + n], n)[0] for a, n in zip(self.at.tolist(), self.n.tolist(), strict=True)], dtype=np.uint64)
-        self.all = {k: np.unique(np.concatenate([s for s, x in zip(self.shingles, self.k, strict=True) if x == k])) for k in self.lengths}
-
-    def choose(self, count: dict[tuple[int, int], int]) -> None:
-        """Takes the rarest shingle of each window as its prefix; ties to the least hash."""
-        prefix: dict[int, list[tuple[int, int, int]]] = {k: [] for k in self.lengths}
-        for w, (k, shingles) in enumerate(zip(self.k.tolist(), self.shingles, strict=True)):
-            offset = min(range(len(shingles)), key=lambda i: (count.get((k, int(shingles[i])), 0), int(shingles[i])))
-            prefix[k].append((int(shingles[offset]), w, offset))
+        self.lengths = np.unique(self.k).tolist()
+        self.grams = {k: X.gram_hash(word, k) for k in self.lengths}
+        self.all = {k: np.unique(self.grams[k][self._shingles(k)[0]]) for k in self.lengths}
+
+    def _distinct(self, value: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes, the first of each different window, and every window's number among those."""
+        order = np.lexsort((np.arange(len(at)), value, n))
+        new = np.ones(len(order), dtype=bool)
+        for i in range(1, len(order)):
+            a, b = order[i - 1], order[i]
+            new[i] = value[a] != value[b] or n[a] != n[b] or self.words(at[a], n[a]) != self.words(at[b], n[b])
+        own = np.empty(len(order), dtype=np.int64)
+        own[order] = np.cumsum(new) - 1
+        return value, order[new], own
+
+    def words(self, at: int, n: int) -> bytes:
+        return b" ".join(self.raw[a:b] for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True))
+
+    def _shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the k-word shingles of the windows that have such, their windows and their places in those."""
+        mine = np.flatnonzero(self.k == k)
+        count = self.n[mine] - k + 1
+        window = np.repeat(mine, count)
+        place = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
+        return self.at[window] + place, window, place
+
+    def choose(self, count: dict[int, np.ndarray]) -> None:
+        """Takes the rarest shingle of each window as its prefix; ties to the least hash. count: by length, of each of ``all``."""
         self.prefix = {}
-        for k, rows in prefix.items():
-            rows.sort()
-            key = np.array([r[0] for r in rows], dtype=np.uint64)
-            self.prefix[k] = key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        self.shingles = []
+        for k in self.lengths:
+            at, window, place = self._shingles(k)
+            gram = self.grams[k][at]
+            often = count[k][np.searchsorted(self.all[k], gram)]
+            order = np.lexsort((place, gram, often, window))
+            best = order[np.append(True, window[order][1:] != window[order][:-1])]
+            best = best[np.argsort(gram[best], kind="stable")]
+            self.prefix[k] = gram[best], window[best].astype(np.int32), place[best].astype(np.int32)
+        self.grams = self.all = None
+
+    def items(self, window: int) -> list[str]:
+        return self.ids.take(pa.array(self.item[self.item_first[window] : self.item_first[window + 1]])).to_pylist()
 
 
 def _members(hashes: np.ndarray, keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -99,8 +122,9 @@ def _document_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return data, starts, ends, first, X.span_hash(data, starts, ends)
 
 
-def _count_shingles(docs: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    shared = docs.sparkSession.sparkContext.broadcast(windows.all)
+def _count_shingles(docs: DataFrame, known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each of some shingle hashes, sorted by length of the shingle, occurs in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
@@ -112,13 +136,20 @@ def _count_shingles(docs: DataFrame, windows: Windows) -> dict[tuple[int, int],
                 for k, v in keys.items():
                     at, _ = X.grams_in_rows(first, k)
                     grams = X.gram_hash(word, k)[at]
-                    total[k] += np.bincount(np.searchsorted(v, grams[_members(grams, v, tables[k])]), minlength=len(v))
+                    found = np.searchsorted(v, grams[_members(grams, v, tables[k])])
+                    if len(found):
+                        total[k] += np.bincount(found, minlength=len(v))
         for k, v in total.items():
             some = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(keys[k][some].view(np.int64)), pa.array(v[some])], ["k", "h", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect()
-    return {(r.k, r.h % 2**64): r.n for r in rows}
+    rows = docs.select("text").mapInArrow(lambda batches: released(count(batches)), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow()
+    kind, h, n = (rows.column(i).to_numpy() for i in range(3))
+    out = {k: np.zeros(len(v), dtype=np.int64) for k, v in known.items()}
+    for k, v in known.items():
+        mine = kind == k
+        out[k][np.searchsorted(v, h[mine].view(np.uint64))] = n[mine]
+    return out
 
 
 def _find(windows: Windows, tables: dict[int, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +171,7 @@ def _find(windows: Windows, tables: dict[int, np.ndarray], data: np.ndarray, off
             mine = mine[X.gram_hash(word, int(n))[begin[mine]] == windows.hash[w[mine]]]
             for i in mine:
                 raw = raw or data.tobytes()
-                if b" ".join(raw[starts[x] : ends[x]] for x in range(begin[i], begin[i] + n)) == windows.words[w[i]]:
+                if b" ".join(raw[starts[x] : ends[x]] for x in range(begin[i], begin[i] + n)) == windows.words(windows.at[w[i]], n):
                     found.append((w[i], begin[i], row[i]))
     w, begin, row = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ([], [], [])))
     return first, w, begin, row, X.covered(begin, begin + windows.n[w], len(starts))
@@ -165,7 +196,7 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                 at: list[list] = [[] for _ in range(hi - lo)]
                 ids: list[set[str]] = [set() for _ in range(hi - lo)]
                 for i, r in zip(w.tolist(), row.tolist(), strict=True):
-                    ids[r].update(index.items[i])
+                    ids[r].update(index.items(i))
                 for r in set(row.tolist()):
                     at[r] = np.flatnonzero(mask[first[r] : first[r + 1]]).tolist()
                 hits += at
@@ -173,26 +204,38 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
             n = np.concatenate(n_words) if n_words else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names, *_ADDED.names])
 
-    return rest.mapInArrow(add, T.StructType([*rest.schema.fields, *_ADDED.fields]))
+    return rest.mapInArrow(lambda batches: released(add(batches)), T.StructType([*rest.schema.fields, *_ADDED.fields]))
 
 
 def mark_contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs plus n_words, hit_words and item_ids against all windows of items (item_id, text)."""
+    """docs plus n_words, hit_words and item_ids against all windows of items (item_id, text); columns that were so named are replaced."""
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // index_bytes) or 1
     ids = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block"))
-    out = docs
-    for b in range(n_blocks):
-        rows = ids.where(F.col("block") == b).select("item_id", "text").toArrow().combine_chunks()
-        texts = rows.column("text")
-        windows = Windows(rows.column("item_id").to_pylist(), texts, window, shingle)
-        windows.choose(_count_shingles(docs, windows) if len(windows.size) else {})
-        if b == 0:
-            out = _scan(docs, windows)
-        else:
-            before = out.withColumnsRenamed({"hit_words": "_hits", "item_ids": "_items"})
-            out = _scan(before, windows).withColumns({"hit_words": F.array_sort(F.array_union("hit_words", "_hits")), "item_ids": F.array_sort(F.array_union("item_ids", "_items"))}).drop("_hits", "_items")
-    return out
+
+    def index(block: int) -> Windows:
+        rows = ids.where(F.col("block") == block).select("item_id", "text").toArrow().combine_chunks()
+        item_ids, texts = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows.column("item_id"), rows.column("text")))
+        windows = Windows(item_ids, texts, window, shingle)
+        windows.choose(_count_shingles(docs, windows.all) if len(windows.n) else {k: np.zeros(len(v), np.int64) for k, v in windows.all.items()})
+        return windows
+
+    if n_blocks == 1:
+        return _scan(docs, index(0))
+    # Each block is held against the rows of one written table, and what it finds goes to a table of its own.
+    tables = Tables(docs.sparkSession, "blocks")
+    rows = tables.save(docs.drop(*_ADDED.names).withColumn("_row", F.monotonically_increasing_id()))
+    parts = [tables.save(_scan(rows.select("_row", "text"), index(b)).where(F.size("hit_words") > 0).select("_row", "hit_words", "item_ids")) for b in range(n_blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionAll(part)
+
+    def joined(name: str) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+
+    found = found.groupBy("_row").agg(joined("hit_words"), joined("item_ids"))
+    counted = rows.withColumn("n_words", F.size(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long"))
+    return counted.withColumn("n_words", F.coalesce(F.greatest("n_words", F.lit(0)), F.lit(0))).join(found, "_row", "left").drop("_row").withColumns({c: F.coalesce(c, F.array().cast(_ADDED[c].dataType)) for c in ("hit_words", "item_ids")})
 
 
 def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
@@ -204,6 +247,4 @@ def report(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
     """The rows of docs without any hit, with all their columns."""
-    text = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in _ADDED.names})
-    kept = mark_contamination(text, items, **options).where(F.size("hit_words") == 0).drop(*_ADDED.names)
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in docs.columns if c in _ADDED.names}).select(*docs.columns)
+    return together(mark_contamination(apart(docs, *_ADDED.names, "_row"), items, **options).where(F.size("hit_words") == 0), docs.columns)
