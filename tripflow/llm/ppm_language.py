@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from ._spark import released, sized
 
 ORDER = 3
+#: Languages whose shares of the sample are broadcast; more are joined.
+LANGUAGES = 10_000
 _SLOTS = 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -115,7 +118,8 @@ def train(labelled: DataFrame, rows_per_language: int = 1000) -> Trees:
     rows = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(rows_per_language)) / F.col("count") * 2**31).alias("limit"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.col("limit")).select("lang", "text")
+    # The shares meet the rows before any shuffle if there are few languages, so texts stay where they are read.
+    picked = rows.join(sized(share, LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.col("limit")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +140,7 @@ def _has_letter(data: bytes) -> bool:
 
 
 def predict(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs plus the predicted language and its score."""
+    """docs plus the predicted language and its score; columns that were so named are replaced."""
     rest = docs.drop(pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = T.StructType([*rest.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
@@ -146,7 +150,7 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lang
         names = np.array([*model.languages, "und"], dtype=object)
         for batch in batches:
             best, posterior = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
-            for lo, hi, data, offsets in X.blocks(batch.column(batch.schema.get_field_index(text)), 1 << 20):
+            for lo, hi, data, offsets in X.blocks(batch.column(batch.schema.get_field_index(text))):
                 if not model.languages or not len(data):
                     continue
                 bits = model.code_lengths(data, offsets)
@@ -156,4 +160,4 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", pred: str = "lang
                 posterior[lo:hi][mine] = (1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1))[mine]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(posterior)], [*batch.schema.names, pred, score])
 
-    return rest.mapInArrow(add, schema)
+    return rest.mapInArrow(lambda batches: released(add(batches)), schema)
