@@ -39,6 +39,7 @@ BLOCK_LINES, BLOCK_SIZE, LISTED = 1_024, 1 << 19, 24
 BROADCAST_ROWS = 1_000_000
 #: Keys that a task remembers to have signed (a power of 2; eight bytes each).
 SEEN = 1 << 18
+_LOW = np.uint64((1 << 52) - 1)
 _SEED = np.random.default_rng(23).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -277,12 +278,11 @@ def _compare(group: np.ndarray, own: np.ndarray, root: np.ndarray, lines: pa.Arr
     """Ties of roots by similar lines of one group: of different own blocks, or of any if the group has just one."""
     data, offsets = X.flat(lines)
     hashes, edges = _shingles(data, offsets)
-    row = np.repeat(np.arange(len(group)), np.diff(edges))
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))
-    row, hashes = row[new], hashes[new]
-    size = np.bincount(row, minlength=len(group))
+    count = np.diff(edges)
+    parts = [_distinct(hashes[edges[lo] : edges[min(lo + 4096, len(group))]], count[lo : lo + 4096]) for lo in range(0, len(group), 4096)]
+    hashes = np.concatenate([codes & _LOW for codes, _ in parts])
+    size = np.concatenate([n for _, n in parts])
+    row = np.repeat(np.arange(len(group)), size)
     first = np.cumsum(size) - size
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stops = np.append(starts[1:], len(group))
@@ -306,14 +306,12 @@ def _compare(group: np.ndarray, own: np.ndarray, root: np.ndarray, lines: pa.Arr
     total = np.append(0, np.cumsum(size[left] + size[right]))
     lo = 0
     while lo < len(left):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 2_000_000, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(total, total[lo] + 1_000_000, "right")) - 1), lo + 4096)
         both = np.concatenate([left[lo:hi], right[lo:hi]])
         count = size[both]
-        pair = np.repeat(np.tile(np.arange(hi - lo), 2), count)
-        token = hashes[np.repeat(first[both] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        order = np.lexsort((token, pair))
-        pair, token = pair[order], token[order]
-        shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=hi - lo)
+        pair = np.repeat(np.tile(np.arange(hi - lo, dtype=np.uint64), 2), count)
+        codes = np.sort(pair << np.uint64(52) | hashes[np.repeat(first[both] - np.cumsum(count) + count, count) + np.arange(count.sum())])
+        shared = np.bincount((codes[1:][codes[1:] == codes[:-1]] >> np.uint64(52)).astype(np.int64), minlength=hi - lo)
         same = shared >= SIMILARITY * (size[left[lo:hi]] + size[right[lo:hi]] - shared)
         a_found.append(root[left[lo:hi]][same])
         b_found.append(root[right[lo:hi]][same])
@@ -325,8 +323,13 @@ def _compare(group: np.ndarray, own: np.ndarray, root: np.ndarray, lines: pa.Arr
             continue
         mine = slice(first[lo], first[hi - 1] + size[hi - 1])
         r, t = row[mine] - lo, hashes[mine]
-        order = np.argsort(t, kind="stable")
-        shared = _shared(r[order], t[order], hi - lo).astype(np.float64)
+        if hi - lo <= 4096:
+            codes = np.sort(t << np.uint64(12) | r.astype(np.uint64))
+            r, t = (codes & np.uint64(4095)).astype(np.int64), codes >> np.uint64(12)
+        else:
+            order = np.argsort(t, kind="stable")
+            r, t = r[order], t[order]
+        shared = _shared(r, t, hi - lo).astype(np.float64)
         k = size[lo:hi].astype(np.float64)
         same = shared >= SIMILARITY * (k[:, None] + k[None, :] - shared)
         same &= root[lo:hi, None] != root[None, lo:hi]

@@ -203,8 +203,8 @@ def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **
     """The rows of docs that no rule rejects, with all their columns."""
     tables = Tables(docs.sparkSession, "rules")
     names = [f"_rule_{s}" for s in STATS]
-    # Measured once and written with the rows: the labelled ones choose the cutoffs, then all are judged.
-    rows = tables.save(with_stats(apart(docs, *names, "kept", "base_failed", "_stratum", *(f"_{r}" for r in RULES)), prefix="_rule_"))
-    labelled = rows.select("doc_id", stratum, *names).join(good_labels(labels), "doc_id")
+    # Measured twice, for the cutoffs and for the verdict: cheaper than a written copy of all texts.
+    labelled = with_stats(docs.select("doc_id", "text", stratum), prefix="_rule_").drop("text").join(good_labels(labels), "doc_id")
     chosen = tables.save(cutoffs(labelled, stratum, prefix="_rule_", **limits))
+    rows = with_stats(apart(docs, *names, "kept", "base_failed", "_stratum", *(f"_{r}" for r in RULES)), prefix="_rule_")
     return together(judge(rows, chosen, stratum, "_rule_").where("kept"), docs.columns)

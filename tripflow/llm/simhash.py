@@ -30,6 +30,8 @@ from ._spark import Tables, apart, key_runs, released, sized, together
 from .components import EDGE, components, roots
 
 
+#: Row numbers that may be broadcast (8 bytes each); beyond that the kept rows are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Node pairs of one level that the walk holds at once.
 FRONTIER = 1 << 20
 
@@ -223,4 +225,4 @@ def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
     node = components(links(least.select("fp"), tables, budget), tables).withColumnRenamed("node", "fp")
     linked = least.join(node, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     keep = tables.save(linked.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row")))
-    return together(printed.join(keep, "_row", "left_semi"), docs.columns)
+    return together(printed.join(sized(keep, BROADCAST_ROWS), "_row", "left_semi"), docs.columns)
