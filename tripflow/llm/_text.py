@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 #: `[^\x20\x09-\x0D]` and `[0-9A-Za-z]` or any non-ASCII byte.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -23,15 +23,22 @@ LOWER[0x41:0x5B] += 32
 
 _BYTE = np.random.default_rng(61).integers(0, 2**64, 256, dtype=np.uint64)
 _MUL = 0x9E3779B97F4A7C15
-_power = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+_power: list[np.ndarray] = []
+
+
+def _cumulated(m: int, n: int) -> np.ndarray:
+    p = np.full(n, m, dtype=np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64, out=p)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        for i, m in enumerate((_MUL, pow(_MUL, -1, 2**64))):
-            p = np.full(n, m, dtype=np.uint64)
-            p[:1] = 1
-            _power[i] = np.cumprod(p, dtype=np.uint64)
+    """Powers of _MUL and of its inverse. Those for a block are kept; a longer text gets its own."""
+    both = _MUL, pow(_MUL, -1, 2**64)
+    if n > 2 * BLOCK_BYTES:
+        return _cumulated(both[0], n), _cumulated(both[1], n)
+    if not _power:
+        _power.extend(_cumulated(m, 2 * BLOCK_BYTES) for m in both)
     return _power[0][:n], _power[1][:n]
 
 
