@@ -1,23 +1,33 @@
 """Licence scans by Dice coefficient over word bigrams, with DataFrame functions only.
 
-Units are a document's lines and the document itself. A unit is lower-cased, other characters than a-z and 0-9 become
-spaces, and its set of word bigrams (or its single word) is held against each template's. Dice >= t needs set sizes within
-t / (2 - t) of each other, so a unit meets only the templates whose admissible sizes hold its own: an equi join on
-size with the templates' bounded list, which is a parameter and not data.
+A text is lower-cased and other characters than a-z and 0-9 become spaces. Its units are its lines and itself; with
+``windows`` also every run of a template's number of words that has one of the template's anchors where the template has it, so notices
+that wrap over lines or stand inside a longer one are found. A unit's set of word bigrams (or its single word) is held against each
+template's. Dice >= t needs set sizes within t / (2 - t) of each other, so a unit meets only the templates whose admissible sizes hold its own.
+
+It needs, too, that so many of a template's bigrams are in the unit that one of its anchors is: the longest bigrams, as many as
+can be missing and one more. One search for all anchors tells which texts can have a match at all; the others are not cut up.
 
 Null or wordless texts have no units. A unit counts for its best licence, ties to the first by name; per document and licence the
-best Dice and the number of such units are returned. Rows that repeat a doc_id are reported as one document.
+best Dice and the number of such lines and texts are returned, and the same of windows. Rows that repeat a doc_id are scanned row by row and
+reported as one document. Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import math
+import re
+from collections.abc import Callable, Mapping, Sequence
 from fractions import Fraction
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short licence notices in common use, by SPDX identifier.
+from ._spark import Tables
+
+#: Licence notices, headers and texts in common use, by SPDX identifier.
 TEMPLATES: Mapping[str, Sequence[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "This work is licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
@@ -32,34 +42,136 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
 }
 
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software."""
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+either version {} of the License, or (at your option) any later version."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/."""
+
+#: The operative text of licences and their usual headers.
+TEXTS: Mapping[str, Sequence[str]] = {
+    "Apache-2.0": [_APACHE], "BSD-2-Clause": [_BSD2], "BSD-3-Clause": [_BSD2 + _BSD3], "GPL-2.0": [_GPL.format(2)], "GPL-3.0": [_GPL.format(3)],
+    "ISC": [_ISC], "MIT": [_MIT], "MPL-2.0": [_MPL],
+}
+
+
 def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def bigrams(normal: Column) -> Column:
     """The set of word bigrams of a normalised text; of its single word if it has no more."""
-    w = F.split(normal, " ")
+    return _grams(F.split(normal, " "))
+
+
+def _grams(w: Column) -> Column:
     n = F.size(w) - 1
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.when(n > 0, pairs).otherwise(w))
 
 
-def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, license, dice, n_units) for every licence that is the best match of some unit of a document."""
-    literal = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template")) for k, ts in templates.items() for t in ts])
-    rows = docs.sparkSession.range(1).select(F.inline(literal))
+class Template(NamedTuple):
+    license: str
+    words: list[str]
+    grams: list[str]
+    anchors: list[tuple[str, int]]  # with places
+
+    @classmethod
+    def of(cls, license: str, text: str, threshold: Fraction) -> Template:
+        w = re.findall("[a-z0-9]+", text.lower())
+        placed = [" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 1))]
+        grams = list(dict.fromkeys(placed))
+        needed = math.ceil(threshold / (2 - threshold) * len(grams))
+        rare = set(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1])
+        return cls(license, w, grams, [(g, i) for i, g in enumerate(placed) if g in rare])
+
+
+def known(templates: Sequence[Mapping[str, Sequence[str]]], threshold: float) -> list[Template]:
+    """All templates that have words, by licence."""
     exact = Fraction(str(threshold))  # in doubles, 0.8 / 1.2 is above 2/3 and would cut sizes on the bounds
-    low, high = (exact / (2 - exact)).as_integer_ratio()
-    known = rows.select("license", bigrams(words(F.col("template"))).alias("t")).withColumn("n", F.size("t"))
-    bounds = F.sequence(F.expr(f"cast((n * {low}L + {high - 1}L) div {high}L as int)"), F.expr(f"cast(n * {high}L div {low}L as int)"))
-    known = known.select("license", "t", F.explode(bounds).alias("size"))
-    text = F.col("text")
-    units = F.when(F.locate("\n", text) > 0, F.concat(F.split(text, "\n"), F.array(text))).otherwise(F.array(text))
-    normal = docs.select("doc_id", F.posexplode(units).alias("unit", "body")).select("doc_id", "unit", words(F.col("body")).alias("w")).where("w <> ''")
-    sized = normal.select("doc_id", "unit", bigrams(F.col("w")).alias("u")).withColumn("size", F.size("u"))
-    matched = sized.join(F.broadcast(known), "size")
-    dice = 2.0 * F.size(F.array_intersect("u", "t")) / (F.size("u") + F.size("t"))
-    hits = matched.select("doc_id", "unit", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-    # Of a unit's licences the best counts, ties to the first by name.
-    best = hits.groupBy("doc_id", "unit", "license").agg(F.max("dice").alias("dice")).groupBy("doc_id", "unit").agg(F.min(F.struct((-F.col("dice")).alias("o"), "license")).alias("b"))
-    return best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max(-F.col("b.o")).alias("dice"), F.count("*").alias("n_units"))
+    found = [Template.of(k, t, exact) for each in templates for k, ts in each.items() for t in ts]
+    return sorted((t for t in found if t.words), key=lambda t: t.license)
+
+
+def anchor_pattern(templates: Sequence[Template]) -> str:
+    """A pattern of lower-case text that has one of the templates' anchors."""
+    by_letter: dict[str, list[str]] = {}
+    for g in sorted({g for t in templates for g, _ in t.anchors}):
+        by_letter.setdefault(g[0], []).append(g[1:].replace(" ", "[^a-z0-9]+"))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in by_letter.items()) + ")(?![a-z0-9])"
+
+
+def _literal(rows: Sequence[Sequence], schema: str) -> Column:
+    """A constant array of structs, folded once when the plan is made."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return F.from_json(F.lit(json.dumps([dict(zip(names, row, strict=True)) for row in rows])), f"array<struct<{schema.replace(' ', ': ')}>>".replace(",: ", ", "))
+
+
+def _best(u: Column, templates: Column, fits: Callable[[Column], Column]) -> Column:
+    """(-dice, license) of the best of the templates that fit."""
+    def measured(x: Column) -> Column:
+        return F.struct((-2.0 * F.size(F.array_intersect(u, x["t"])) / (F.size(u) + F.size(x["t"]))).alias("o"), x["license"].alias("license"))
+
+    return F.array_min(F.transform(F.filter(templates, fits), measured))
+
+
+def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = 0.8, windows: bool = False, texts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(doc_id, license, dice, n_units) for every licence that is the best match of some unit of a document.
+
+    windows: also look for templates, and for texts if given, in runs of words, and return (window_dice, n_windows).
+    """
+    found = known([templates, *([texts] if texts else [])], threshold)
+    low, high = (Fraction(str(threshold)) / (2 - Fraction(str(threshold)))).as_integer_ratio()
+    sizes = [(t.license, t.grams, -(-len(t.grams) * low // high), len(t.grams) * high // low, len(t.words)) for t in found]
+    rows = _literal(sizes, "license string, t array<string>, lo int, hi int, n int")
+    lower = F.lower("text")
+    body = F.regexp_replace(lower, "[^a-z0-9\n]+", " ")
+    whole = F.trim(F.regexp_replace(body, "[ \n]+", " "))
+    # Written, so that the search for anchors runs once: few texts have any.
+    near = Tables(docs.sparkSession, "licences").save(docs.where(lower.rlike(anchor_pattern(found)) if found else F.lit(False)).select("doc_id", body.alias("body"), whole.alias("whole")))
+    units = F.when(F.contains("body", F.lit("\n")), F.concat(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), F.array("whole"))).otherwise(F.array("whole"))
+    grams = near.select("doc_id", F.explode(units).alias("w")).where("w <> ''").select("doc_id", F.explode(F.array(bigrams(F.col("w")))).alias("u"))
+    best = grams.select("doc_id", _best(F.col("u"), rows, lambda x: F.size("u").between(x["lo"], x["hi"])).alias("b")).where(F.col("b.o") <= -threshold)
+    out = best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max(-F.col("b.o")).alias("dice"), F.count("*").alias("n_units"))
+    if not windows:
+        return out
+    # A generated column is computed once a row; an expression would be, once a lambda call.
+    split = near.select("doc_id", F.explode(F.array(F.split("whole", " "))).alias("w"))
+    runs = split.select("doc_id", F.explode(_runs(F.col("w"), found)).alias("r")).select("doc_id", "r.*")
+    inside = runs.select("doc_id", _best(F.col("u"), rows, lambda x: x["n"] == F.col("n")).alias("b")).where(F.col("b.o") <= -threshold)
+    more = inside.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max(-F.col("b.o")).alias("window_dice"), F.count("*").alias("n_windows"))
+    both = out.withColumns({"window_dice": F.lit(None).cast("double"), "n_windows": F.lit(0).cast("long")}).unionByName(more.withColumns({"dice": F.lit(None).cast("double"), "n_units": F.lit(0).cast("long")}))
+    return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("n_units").alias("n_units"), F.max("window_dice").alias("window_dice"), F.sum("n_windows").alias("n_windows"))
+
+
+def _runs(w: Column, templates: Sequence[Template]) -> Column:
+    """Of a text's words: (n, u) of the different runs that an anchor proposes, n words long with bigrams u."""
+    anchors = _literal(sorted({(g, q, len(t.words)) for t in templates for g, q in t.anchors}), "g string, q int, n int")
+    alone = any(len(t.words) == 1 for t in templates)
+    names = sorted({g for t in templates for g, _ in t.anchors})
+    last = F.size(w) - (1 if alone else 2)
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def gram(p: Column) -> list[Column]:
+        pair = F.concat_ws(" ", F.slice(w, p + 1, 2))
+        return [pair, F.element_at(w, p + 1)] if alone else [pair]
+
+    hits = F.filter(F.flatten(F.transform(places, lambda p: F.array(*[F.struct(p.alias("p"), g.alias("g")) for g in gram(p)]))), lambda h: h["g"].isin(names))
+
+    def proposed(h: Column) -> Column:
+        fits = F.filter(anchors, lambda a: (a["g"] == h["g"]) & (h["p"] >= a["q"]) & (h["p"] - a["q"] + a["n"] <= F.size(w)))
+        return F.transform(fits, lambda a: F.struct((h["p"] - a["q"]).alias("s"), a["n"].alias("n")))
+
+    runs = F.array_distinct(F.flatten(F.transform(hits, proposed)))
+    return F.transform(runs, lambda r: F.struct(r["n"].alias("n"), _grams(F.slice(w, r["s"] + 1, r["n"])).alias("u")))

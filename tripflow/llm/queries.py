@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), windows=True, texts=license_scan.TEXTS)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,21 +78,35 @@ def _op1_sql() -> str:
     def normal(c: str) -> str:
         return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 
-    grams = "list_distinct(CASE WHEN len(w) > 1 THEN [x[1] || ' ' || x[2] FOR x IN list_zip(w[1:len(w) - 1], w[2:len(w)])] ELSE w END)"
-    known = ", ".join(f"({text(k)}, {text(t)})" for k, ts in license_scan.TEMPLATES.items() for t in ts)
+    def grams(w: str) -> str:
+        return f"list_distinct(CASE WHEN len({w}) > 1 THEN [x[1] || ' ' || x[2] FOR x IN list_zip({w}[1:len({w}) - 1], {w}[2:len({w})])] ELSE {w} END)"
+
+    templates = license_scan.known([license_scan.TEMPLATES, license_scan.TEXTS], 0.8)
+    known = ", ".join(f"({text(k)}, {text(t)})" for each in (license_scan.TEMPLATES, license_scan.TEXTS) for k, ts in each.items() for t in ts)
+    anchors = ", ".join(f"({text(g)}, {q}, {n})" for g, q, n in sorted({(g, q, len(t.words)) for t in templates for g, q in t.anchors}))
+    dice = "2.0::DOUBLE * len(list_intersect(u, t)) / (len(u) + len(t))"
     return f"""
-WITH known AS (SELECT license, {grams} AS t FROM (SELECT license, string_split({normal("template")}, ' ') AS w FROM (VALUES {known}) v(license, template))),
+WITH known AS (SELECT license, len(w) AS n, {grams("w")} AS t FROM (SELECT license, string_split({normal("template")}, ' ') AS w FROM (VALUES {known}) v(license, template))),
+anchors AS (SELECT * FROM (VALUES {anchors}) v(g, q, n)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS body,
-    unnest(range(CASE WHEN contains(text, chr(10)) THEN len(string_split(text, chr(10))) + 1 ELSE 1 END)) AS unit
-  FROM documents WHERE text IS NOT NULL),
-split AS MATERIALIZED (SELECT doc_id, unit, string_split(w, ' ') AS w FROM (SELECT doc_id, unit, {normal("body")} AS w FROM units) WHERE w <> ''),
-sets AS MATERIALIZED (SELECT doc_id, unit, {grams} AS u FROM split),
-hits AS (
-  SELECT doc_id, unit, license, max(2.0::DOUBLE * len(list_intersect(u, t)) / (len(u) + len(t))) AS dice
-  FROM sets JOIN known ON len(u) * 3 >= len(t) * 2 AND len(u) * 2 <= len(t) * 3 GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS n FROM hits WHERE dice >= 0.8)
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM best WHERE n = 1 GROUP BY doc_id, license"""
+  SELECT r, doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS body,
+    unnest(range(CASE WHEN contains(text, chr(10)) THEN len(string_split(text, chr(10))) + 1 ELSE 1 END)) AS unit FROM docs),
+split AS MATERIALIZED (SELECT r, doc_id, unit, string_split(w, ' ') AS w FROM (SELECT r, doc_id, unit, {normal("body")} AS w FROM units) WHERE w <> ''),
+sets AS MATERIALIZED (SELECT r, doc_id, unit, {grams("w")} AS u FROM split),
+hits AS (SELECT r, doc_id, unit, license, {dice} AS dice FROM sets JOIN known ON len(u) * 3 >= len(t) * 2 AND len(u) * 2 <= len(t) * 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, license) AS n FROM hits WHERE dice >= 0.8),
+whole AS MATERIALIZED (SELECT r, doc_id, string_split(w, ' ') AS w FROM (SELECT r, doc_id, {normal("text")} AS w FROM docs)),
+pairs AS (SELECT r, p, w[p + 1] || ' ' || w[p + 2] AS g, len(w) AS words FROM (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM whole)),
+runs AS MATERIALIZED (SELECT DISTINCT r, p - q AS s, n FROM pairs JOIN anchors USING (g) WHERE p >= q AND p - q + n <= words),
+run_sets AS (SELECT r, doc_id, s, n, {grams("v")} AS u FROM (SELECT r, doc_id, s, n, w[s + 1:s + n] AS v FROM runs JOIN whole USING (r))),
+run_hits AS (SELECT r, doc_id, s, n, license, {dice} AS dice FROM run_sets JOIN known USING (n)),
+run_best AS (SELECT *, row_number() OVER (PARTITION BY r, s, n ORDER BY dice DESC, license) AS k FROM run_hits WHERE dice >= 0.8),
+found AS (
+  SELECT doc_id, license, dice, 1 AS n_units, NULL AS window_dice, 0 AS n_windows FROM best WHERE n = 1
+  UNION ALL SELECT doc_id, license, NULL, 0, dice, 1 FROM run_best WHERE k = 1)
+SELECT doc_id, license, max(dice) AS dice, CAST(sum(n_units) AS BIGINT) AS n_units, max(window_dice) AS window_dice, CAST(sum(n_windows) AS BIGINT) AS n_windows
+FROM found GROUP BY doc_id, license"""
 
 
 def _op8_sql() -> str:
