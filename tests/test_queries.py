@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def duck():
 
 def rows(frame):
     def plain(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or pd.isna(x) is True:
             return None
         if isinstance(x, bool) or type(x).__name__ == "bool":
             return bool(x)

@@ -122,7 +122,7 @@ def model_versions(predictions_: DataFrame) -> DataFrame:
 
 DUCK_TRIPS = f"k AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _SECONDS.items())} FROM lineitem), trips AS (SELECT {', '.join(f'{e} AS {n}' for n, e in trip_columns(DUCK_ADD).items())} FROM k)"
 DUCK_WEATHER = (
-    f"weather AS (SELECT zone_id, {DUCK_ADD.format('i * 900')} AS window_end, {', '.join(f'{e} AS {n}' for n, e in weather_columns().items())} "
+    f"weather AS MATERIALIZED (SELECT zone_id, {DUCK_ADD.format('i * 900')} AS window_end, {', '.join(f'{e} AS {n}' for n, e in weather_columns().items())} "
     f"FROM (SELECT CAST(z.range + 1 AS INT) AS zone_id, s.range AS i FROM range({N_ZONES}) z, range({SLOTS}) s) WHERE (zone_id + i) % 17 <> 0)")
 
 
@@ -130,4 +130,4 @@ def duck_predictions() -> str:
     k, columns = prediction_columns("epoch(window_end)", "window_end + INTERVAL 5 MINUTES")
     best = ", ".join(f"proba_{i}" for i in range(N_CLASSES))
     return (f"pk AS (SELECT zone_id, window_end, requests_60m, {k} AS k FROM gold WHERE requests_60m > 0), "
-            f"pp AS (SELECT {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM pk), predictions AS (SELECT *, greatest({best}) AS pred_confidence FROM pp)")
+            f"pp AS (SELECT {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM pk), predictions AS MATERIALIZED (SELECT *, greatest({best}) AS pred_confidence FROM pp)")

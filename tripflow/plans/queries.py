@@ -41,7 +41,7 @@ def _r(*names: str) -> str:
 
 # DuckDB views.
 
-CLEAN = f"{fixtures.DUCK_TRIPS}, clean AS (SELECT * FROM trips WHERE {cleaning.CLEAN})"
+CLEAN = f"{fixtures.DUCK_TRIPS}, clean AS MATERIALIZED (SELECT * FROM trips WHERE {cleaning.CLEAN})"
 
 
 def _slots(ts: str, n: int = 4, slide: int = 15) -> str:
@@ -69,10 +69,10 @@ PARTS = ", ".join([
     _per_zone("dropoff", _DROPOFF, "DOLocationID", "dropoff_datetime"), _per_zone("stats", _STATS, "PULocationID", "dropoff_datetime", "valid")])
 _METRICS = [*COUNTS[:6], "pickup_delay_mean", "pickup_delay_std", *COUNTS[6:], *STATS]
 _FILLED = ", ".join(f"coalesce({c}, 0) AS {c}" if c in COUNTS or c == "pickup_delay_std" else c for c in _METRICS)
-GOLD = f"{PARTS}, gold AS (SELECT zone_id, window_end, {_FILLED} FROM demand FULL JOIN pickup USING (zone_id, window_end) FULL JOIN dropoff USING (zone_id, window_end) FULL JOIN stats USING (zone_id, window_end))"
+GOLD = f"{PARTS}, gold AS MATERIALIZED (SELECT zone_id, window_end, {_FILLED} FROM demand FULL JOIN pickup USING (zone_id, window_end) FULL JOIN dropoff USING (zone_id, window_end) FULL JOIN stats USING (zone_id, window_end))"
 GRID = (f"{GOLD}, span AS (SELECT min(window_end) AS lo, max(window_end) AS hi FROM gold), grid AS (SELECT zone_id, window_end FROM (SELECT DISTINCT zone_id FROM gold), "
         "(SELECT unnest(generate_series(lo, hi, INTERVAL '15 minutes')) AS window_end FROM span)), "
-        f"filled AS (SELECT zone_id, window_end, {', '.join(f'coalesce({c}, 0) AS {c}' if c in COUNTS else c for c in _METRICS)} FROM grid LEFT JOIN gold USING (zone_id, window_end))")
+        f"filled AS MATERIALIZED (SELECT zone_id, window_end, {', '.join(f'coalesce({c}, 0) AS {c}' if c in COUNTS else c for c in _METRICS)} FROM grid LEFT JOIN gold USING (zone_id, window_end))")
 EDGES = f"edges AS (SELECT z AS zone_id, n AS neighbor_zone_id FROM (SELECT range AS z, unnest([range - 1, range + 1]) AS n FROM range(1, {N_ZONES + 1})) WHERE z % 46 <> 0 AND n BETWEEN 1 AND {N_ZONES})"
 _AREA = "(0.5 + (zone_id * 7) % 40 / 10.0)"
 _IMBALANCE = f"coalesce(pow(greatest(coalesce(pickup_delay_mean, 0), 0), 1.2) * requests_60m / {_AREA}, 0)"
