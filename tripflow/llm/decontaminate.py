@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import _text as X
 from ._spark import Tables, apart, released, together
 
-#: Bytes of items' text in one index. The index takes about 25 times that on the driver and in every Python worker (measured).
+#: Bytes of items' text in one index. The packed index is estimated at some 25 times that on the driver and in every Python worker.
 INDEX_BYTES = 4 << 20
 _FILTER = 1 << 20
 
