@@ -360,6 +360,24 @@ def test_suffix_spans(spark, docs):
     assert {tuple(r) for r in suffix_dedup.spans(df.repartition(3), hot_rows=1).collect()} == want
 
 
+@pytest.mark.parametrize("width", [4, 8, 32])
+def test_suffix_spans_where_the_best_match_is_no_neighbour(spark, width):
+    rng = random.Random(width)
+    word = lambda: str(rng.randrange(10**6))
+    common = [word() for _ in range(20)]
+    sides = [[[word() for _ in range(n)] for n in (5, 20, 31, 45)] for _ in range(2)]
+    texts = {}
+    for i in range(120):  # each text: some of a shared left side, the phrase, some of a shared right side, then words of its own
+        left, right = rng.choice(sides[0]), rng.choice(sides[1])
+        left, right = left[rng.randrange(len(left)) :], right[: rng.randrange(len(right))]
+        texts[i] = " ".join([word(), *left, *common, *right, word(), word()])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = slow_spans(texts)
+    assert len(want) > 20
+    assert {tuple(r) for r in suffix_dedup.spans(df.repartition(5), width=width).collect()} == want
+    assert {tuple(r) for r in suffix_dedup.spans(df.repartition(5), width=width, hot_rows=10).collect()} == want
+
+
 def test_suffix_spans_of_repeated_ids(spark):
     passage = " ".join(f"v{i}" for i in range(60))
     rows = [(None, passage), (None, "x " + passage), (3, "y y " + passage), (3, None), (3, passage)]

@@ -1,16 +1,20 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes start at words. Only those at minimisers are kept: in every ``width`` consecutive starts the one whose four words
-hash least, so two equal passages of ``min_words`` keep the same suffixes wherever they stand. The suffixes are
-sorted by the hashes of their first min_words - width + 1 words (any order of words serves; Spark's shuffle and sort
-do it), and equal neighbours are matches of that length. A match is then extended word by word: each
-suffix carries a hash of every passage of min_words that it stands for, i.e. of up to width - 1 words to its left and
-the rest to its right, and those that a neighbour has too are repeats. Overlapping repeats of a document join to maximal spans.
-
-Copies inside one Arrow batch are matched there and only one of them is sorted with the rest, so a passage that a third of all
-rows hold reaches the sort once per batch. Keys are counted first: a phrase that starts more than ``hot_rows`` suffixes, with whatever texts around
-it, is not brought together; its passages are, each by its own hash. Null texts have no words. Rows that repeat a doc_id are texts of
-their own and are reported together. A passage that repeats within one document counts.
+hash least, so two equal passages of ``min_words`` keep the same suffixes wherever they stand. A suffix's first
+min_words - width + 1 words make its key. Each further word to the right, and each word to the left, has a code of 24 bits
+that depends on all words between it and the suffix's start too, so that equal codes mean equal words up to there. Spark deals
+suffixes by key and sorts them by key and codes to the right: a suffix array of each key, its words in the order of their
+codes (any total order of words serves). Neighbours are compared code by code; the length of their common prefix tells for
+every depth which suffixes agree that far right. Matches are then extended to the left, word by word, among
+those that still agree on enough words to the right. Overlapping repeats of a document join to maximal spans.
+
+A passage is taken for equal wrongly only if keys of 64 bits collide, or a word at the passage's edge by 24 bits.
+
+Wholly equal suffixes inside one Arrow batch are matched there and only one of them is sorted with the rest, so a passage that a
+third of all rows hold reaches the sort once per batch. Keys are counted first: a phrase that starts more than ``hot_rows``
+suffixes, with whatever texts around it, is not brought together; its passages are, each by its own hash. Null texts have no
+words. Rows that repeat a doc_id are texts of their own and are reported together. A passage that repeats within one document counts.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from ._spark import Tables, key_runs, released, sized
 
 #: Crowded keys that may be broadcast (8 bytes each).
 BROADCAST_KEYS = 1_000_000
-_KEPT = 6  # bytes of a passage hash that are sorted; the key before it has 8 more
+_CODE = 3  # bytes of a word's code
 
 
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -41,42 +45,81 @@ def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _codes_of(word: np.ndarray, at: np.ndarray, step: int, known: np.ndarray, extent: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ``most`` words from each ``at`` on, going by ``step``, and a 64-bit hash of the first ``extent`` of them."""
+    total = known.copy()
+    codes = np.empty((len(at), most, _CODE), dtype=np.uint8)
+    for i in range(most):
+        grown = X.mix(total + word[np.clip(at + i * step, 0, len(word) - 1)])
+        codes[:, i] = grown.view(np.uint8).reshape(-1, 8)[:, :_CODE]
+        total = np.where(i < extent, grown, total)
+    return codes, total
+
+
+def _packed(codes: np.ndarray, extent: np.ndarray) -> pa.Array:
+    raw = codes[np.arange(codes.shape[1]) < extent[:, None]]
+    edges = np.append(0, np.cumsum(extent * _CODE)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(extent), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def _unpacked(column: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of each row, padded to ``most``, and their number."""
+    raw, edges = X.flat(column)
+    extent = np.diff(edges) // _CODE
+    wide = np.zeros((len(raw) // _CODE, 4), dtype=np.uint8)
+    wide[:, :_CODE] = raw.reshape(-1, _CODE)
+    out = np.zeros((len(extent), most), dtype=np.uint32)
+    out[np.arange(most) < extent[:, None]] = wide.view(np.uint32).ravel()
+    return out, extent
+
+
 def _suffixes(data: np.ndarray, offsets: np.ndarray, min_words: int, width: int) -> tuple[np.ndarray, ...]:
-    """Of each kept suffix: row, word, first passage that it stands for and their number; then key, and all passages' hashes."""
+    """Of each kept suffix: row, first passage that it stands for, their number, key, hash of all its words; then codes and extent to the left and right."""
     starts, ends, first = X.spans(data, offsets, X.NOT_SPACE)
     word = X.span_hash(data, starts, ends)
     begin, row = X.grams_in_rows(first, min_words)
+    most = width - 1
     if not len(begin):
-        none = np.empty(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        none, codes = np.empty(0, np.int64), np.empty((0, most, _CODE), np.uint8)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), codes, none, codes, none
     anchor = minimisers(X.gram_hash(word, 4), width)[begin]
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     count = np.diff(np.append(new, len(begin)))
-    key = X.gram_hash(word, min_words - width + 1)[anchor[new]]
-    # A passage's hash also holds how far left of the suffix it begins.
-    passage = X.mix(X.gram_hash(word, min_words)[begin] + (anchor - begin).astype(np.uint64))
-    return row[new], anchor[new] - first[row[new]], begin[new] - first[row[new]], count, key, passage
-
-
-def _repeats(key: np.ndarray, passage: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether each passage's (key of owner, hash) occurs twice or more."""
-    own = X.mix(passage + X.mix(key[owner]))
-    order = np.argsort(own, kind="stable")
-    same = own[order][1:] == own[order][:-1]
-    out = np.zeros(len(own), dtype=bool)
-    out[order[1:][same]] = out[order[:-1][same]] = True
+    row, begin, anchor = row[new], begin[new], anchor[new]
+    key = X.gram_hash(word, min_words - most)[anchor]
+    to_left, to_right = anchor - begin, most - (anchor - begin) + count - 1
+    left, left_hash = _codes_of(word, anchor - 1, -1, key, to_left, most)
+    right, right_hash = _codes_of(word, anchor + min_words - most, 1, key, to_right, most)
+    whole = X.mix(left_hash + X.mix(right_hash + (to_left * width + to_right).astype(np.uint64)))
+    return row, begin - first[row], count, key, whole, left, to_left, right, to_right
+
+
+def _repeats(key: np.ndarray, left: np.ndarray, to_left: np.ndarray, right: np.ndarray, to_right: np.ndarray) -> np.ndarray:
+    """Of suffixes in order, whether the passage that begins width - 1 - j words left of the suffix is a neighbour's too, for j from 0 to width - 1."""
+    most = right.shape[1]
+    same = (np.arange(most) < np.minimum(to_right[1:], to_right[:-1])[:, None]) & (right[1:] == right[:-1])
+    common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    common[key[1:] != key[:-1]] = -1
+    common = np.append(-1, common)
+    out = np.zeros((len(key), most + 1), dtype=bool)
+    grown = np.zeros(len(key), dtype=np.uint64)
+    for i in range(most + 1):  # i words to the left, the rest of a passage to the right
+        if i:
+            grown = X.mix(grown + left[:, i - 1])
+        at = np.flatnonzero((to_left >= i) & (to_right >= most - i))
+        agree = np.cumsum(common < most - i)[at]
+        both = X.mix(grown[at] + X.mix(agree.astype(np.uint64)))
+        order = np.argsort(both, kind="stable")
+        twice = both[order][1:] == both[order][:-1]
+        out[at[order[1:][twice]], most - i] = out[at[order[:-1][twice]], most - i] = True
     return out
 
 
-def _runs(repeated: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of repeated passages of one owner: owner, first place, last place."""
-    hit = np.flatnonzero(repeated)
-    if not len(hit):
-        return hit, hit, hit
-    cut = np.append(True, (np.diff(hit) > 1) | (owner[hit][1:] != owner[hit][:-1]))
-    first = hit[cut]
-    last = hit[np.append(np.flatnonzero(cut)[1:] - 1, len(hit) - 1)]
-    return owner[first], place[first], place[last]
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of the runs of True."""
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
 
 def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int = 100_000) -> DataFrame:
@@ -96,26 +139,16 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int =
                 parts.append((row + lo, *rest))
             if not parts:
                 continue
-            row, _, begin, count, key, passage = (np.concatenate(x) for x in zip(*parts, strict=True))
-            owner = np.repeat(np.arange(len(row)), count)
-            # Known here already: repeats within the batch, as spans with key null.
-            place = np.repeat(begin, count) + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            o, a, b = _runs(_repeats(key, passage, owner), owner, place)
-            if len(o):
-                yield _batch(None, ids.take(pa.array(row[o])), a, b - a + 1, None)
-            # Of suffixes with equal passages, one goes on.
-            total = np.zeros(len(passage) + 1, dtype=np.uint64)
-            np.cumsum(X.mix(passage), dtype=np.uint64, out=total[1:])
-            stop = np.cumsum(count)
-            _, once = np.unique(X.mix(total[stop] - total[stop - count]) ^ key, return_index=True)
+            row, begin, count, key, whole, left, to_left, right, to_right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # Suffixes equal in all words that they carry repeat each other: known here, as spans with key null. One of them goes on.
+            _, once, which, copies = np.unique(whole ^ key, return_index=True, return_inverse=True, return_counts=True)
+            known = np.flatnonzero(copies[which] > 1)
+            if len(known):
+                yield _batch(None, ids.take(pa.array(row[known])), begin[known], count[known], None, None)
             once.sort()
-            picked = np.isin(owner, once)
-            raw = passage[picked].view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
-            edges = np.append(0, np.cumsum(count[once] * _KEPT)).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(once), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(raw)])
-            yield _batch(key[once].view(np.int64), ids.take(pa.array(row[once])), begin[once], count[once], packed)
+            yield _batch(key[once].view(np.int64), ids.take(pa.array(row[once])), begin[once], count[once], _packed(left[once], to_left[once]), _packed(right[once], to_right[once]))
 
-    schema = "key long, doc_id long, begin int, n int, passages binary"
+    schema = "key long, doc_id long, begin int, n int, left binary, right binary"
     kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: released(keep(batches)), schema)
     tables = Tables(docs.sparkSession, "suffixes")
     hot = tables.save(kept.where("key is not null").groupBy("key").count().where(F.col("count") > hot_rows).select("key"))
@@ -126,41 +159,47 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int =
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, 1, 50_000):
-            known = table.column(4).combine_chunks()
-            key, begin, n = (table.column(i).to_numpy() for i in (0, 2, 3))
-            ids = table.column(1).combine_chunks()
-            done = np.asarray(known.is_null())
+            done = np.asarray(table.column(5).combine_chunks().is_null())
             if done.any():
-                yield _spans(ids.filter(pa.array(done)), begin[done], begin[done] + n[done] - 1 + min_words)
-            ids, begin, n, key = ids.filter(pa.array(~done)), begin[~done], n[~done].astype(np.int64), key[~done].astype(np.int64).view(np.uint64)
-            raw, _ = X.flat(known.filter(pa.array(~done)))
-            owner, place, passage = _placed(begin, n, raw)
-            o, a, b = _runs(_repeats(key, passage, owner), owner, place)
-            yield _spans(ids.take(pa.array(o)), a, b + min_words)
+                ids, begin, n = (table.column(i).combine_chunks().filter(pa.array(done)) for i in (1, 2, 3))
+                yield _spans(ids, begin.to_numpy(), begin.to_numpy() + n.to_numpy() - 1 + min_words)
+                table = table.filter(pa.array(~done))
+            key = table.column(0).to_numpy()
+            alike = key[1:] == key[:-1]
+            table = table.filter(pa.array(np.append(alike, False) | np.append(False, alike)) if len(key) else pa.array([], pa.bool_()))
+            if not len(table):
+                continue
+            key, ids, begin, _, left, right = (c.combine_chunks() for c in table.columns)
+            (left, to_left), (right, to_right) = _unpacked(left, width - 1), _unpacked(right, width - 1)
+            row, a, b = _runs(_repeats(key.to_numpy(), left, to_left, right, to_right))
+            start = (begin.to_numpy() + to_left - width + 1)[row]
+            yield _spans(ids.take(pa.array(row)), start + a, start + b + min_words)
 
     # Spans that are known go along under keys of their own, spread by document.
     keyed = kept.withColumn("key", F.coalesce("key", F.xxhash64("doc_id", "begin")))
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "doc_id long, start_word int, end_word int")
+    found = keyed.repartition("key").sortWithinPartitions("key", "right").mapInArrow(match, "doc_id long, start_word int, end_word int")
     if some:
-        found = found.unionAll(_crowded(crowd, tables, min_words))
+        found = found.unionAll(_crowded(crowd, tables, min_words, width))
     return merged(found)
 
 
-def _placed(begin: np.ndarray, n: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every packed passage of some suffixes: its suffix, its first word and its hash."""
-    wide = np.zeros((len(raw) // _KEPT, 8), dtype=np.uint8)
-    wide[:, :_KEPT] = raw.reshape(-1, _KEPT)
-    owner = np.repeat(np.arange(len(n)), n)
-    return owner, np.repeat(begin, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), wide.view(np.uint64).ravel()
+def _crowded(crowd: DataFrame, tables: Tables, min_words: int, width: int) -> DataFrame:
+    """Spans of the suffixes of keys that too many share: a row for each passage, so that no key has to fit one task."""
+    most = width - 1
 
+    def grown(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), most + 1), dtype=np.uint64)
+        for i in range(most):
+            out[:, i + 1] = X.mix(out[:, i] + codes[:, i])
+        return out
 
-def _crowded(crowd: DataFrame, tables: Tables, min_words: int) -> DataFrame:
-    """Spans of the suffixes of keys that too many share: a row for each passage, so that no key has to fit one task."""
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, _ = X.flat(batch.column(4))
-            owner, place, passage = _placed(batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64), raw)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(owner)) for i in range(2)), pa.array(passage.view(np.int64)), pa.array(place.astype(np.int32))], ["key", "doc_id", "passage", "start_word"])
+            (left, to_left), (right, to_right) = (_unpacked(batch.column(i), most) for i in (4, 5))
+            row, far = np.nonzero((np.arange(most + 1) <= to_left[:, None]) & (most - np.arange(most + 1) <= to_right[:, None]))
+            passage = X.mix(grown(left)[row, far] + X.mix(grown(right)[row, most - far] + far.astype(np.uint64)))
+            place = (batch.column(2).to_numpy() + to_left)[row] - far
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(2)), pa.array(passage.view(np.int64)), pa.array(place.astype(np.int32))], ["key", "doc_id", "passage", "start_word"])
 
     each = tables.save(crowd.mapInArrow(single, "key long, doc_id long, passage long, start_word int"))
     repeated = tables.save(each.groupBy("key", "passage").count().where("count > 1").drop("count"))
@@ -187,10 +226,10 @@ def merged(found: DataFrame) -> DataFrame:
     return each.mapInArrow(join, "doc_id long, start_word int, end_word int")
 
 
-def _batch(key, ids, begin, count, packed) -> pa.RecordBatch:
+def _batch(key, ids, begin, count, left, right) -> pa.RecordBatch:
     n = len(ids)
-    columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key), ids, pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), pa.nulls(n, pa.binary()) if packed is None else packed]
-    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "begin", "n", "passages"])
+    columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key), ids, pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.nulls(n, pa.binary()) if c is None else c for c in (left, right))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "begin", "n", "left", "right"])
 
 
 def _spans(ids, begin, end) -> pa.RecordBatch:
