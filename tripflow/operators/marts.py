@@ -86,6 +86,10 @@ def by_month(trips: DataFrame) -> DataFrame:
     return trips.groupBy(F.date_format("request_datetime", "yyyy-MM").alias("month")).agg(F.count("*").alias("trips"))
 
 
+def by_day(trips: DataFrame) -> DataFrame:
+    return trips.groupBy(F.date_format("request_datetime", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("trips"))
+
+
 def hotspots(slots: DataFrame, n: int = 20) -> DataFrame:
     """Zones by mean requests a slot, and how steady they are."""
     rows = slots.groupBy("zone_id").agg(F.count("*").alias("slots"), F.avg("requests_60m").alias("avg_requests"), F.stddev("requests_60m").alias("std_requests"))

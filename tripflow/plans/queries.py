@@ -603,9 +603,9 @@ def accessibility(spark, sf_dir):
 @query()
 def training_matrix(spark, sf_dir):
     gold = _gold(spark, sf_dir)
-    return features.training_set(grid.fill_grid(_grid(gold), gold), grid.ring_edges(spark), _area(), fixtures.weather(spark))
+    return rounded(features.training_set(grid.fill_grid(_grid(gold), gold), grid.ring_edges(spark), _area(), fixtures.weather(spark)))
 
 
 @query()
 def inference_matrix(spark, sf_dir):
-    return features.inference_matrix(_gold(spark, sf_dir), grid.ring_edges(spark), _area(), fixtures.weather(spark))
+    return rounded(features.inference_matrix(_gold(spark, sf_dir), grid.ring_edges(spark), _area(), fixtures.weather(spark)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -15,6 +16,16 @@ from ..schemas import KEYS
 DAY = ["year", "month", "day"]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; a local one only where that is unset and Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def append(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 

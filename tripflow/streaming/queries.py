@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, lifecycle
 from ..plans import fixtures
 from ..plans import queries as batch
+from ..sources.sinks import start_append, work_folder
 from . import jobs
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _trip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips as a stream, their times as instants."""
     path = f"{sf_dir}/lineitem.parquet"
@@ -32,7 +25,7 @@ def _trip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_slot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful sliding windows in update mode, upserted into a table by day."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     slots = jobs.slot_stream(cleaning.clean_trips(_trip_stream(spark, sf_dir)), delay="30 days")
     jobs.upsert_slots(slots, f"{folder}/gold", f"{folder}/state").awaitTermination()
     gold = spark.read.parquet(f"{folder}/gold").drop("slot_day").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
@@ -41,7 +34,7 @@ def stream_slot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated requests and pickups, joined as streams within the interval."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     requests = lifecycle.dedup(cleaning.valid_requests(_trip_stream(spark, sf_dir)).select("trip_id", "request_datetime", "PULocationID", "DOLocationID"), ["trip_id"], "request_datetime", "30 days")
     pickups = lifecycle.dedup(cleaning.valid_pickups(_trip_stream(spark, sf_dir)).select("trip_id", "pickup_datetime", "PULocationID"), ["trip_id"], "pickup_datetime", "30 days")
     joined = jobs.response_stream(requests, pickups).select("trip_id", "request_datetime", "pickup_datetime")
@@ -51,5 +44,20 @@ def stream_response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trip_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("request_datetime", "pickup_datetime")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_slot_metrics, stream_response_join)}
-ORACLE_SQL: dict[str, str] = {"stream_slot_metrics": batch.ORACLE_SQL["slot_metrics_all"], "stream_response_join": batch.ORACLE_SQL["response_join"]}
+def stream_complete_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses, themselves a join of streams, joined with dropoffs as a stream."""
+    folder = work_folder(spark)
+
+    def side(valid, ts: str, *columns: str) -> DataFrame:
+        return lifecycle.dedup(valid(_trip_stream(spark, sf_dir)).select("trip_id", ts, *columns), ["trip_id"], ts, "30 days")
+
+    response = jobs.response_stream(side(cleaning.valid_requests, "request_datetime", "PULocationID", "DOLocationID"), side(cleaning.valid_pickups, "pickup_datetime", "PULocationID"))
+    drops = side(cleaning.valid_dropoffs, "dropoff_datetime", "DOLocationID", "trip_miles", "trip_time")
+    joined = jobs.complete_stream(response, drops).select("trip_id", "pickup_datetime", "dropoff_datetime", "DOLocationID")
+    start_append(joined, f"{folder}/complete", f"{folder}/state", "complete").awaitTermination()
+    rows = spark.read.schema(joined.schema).parquet(f"{folder}/complete")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("pickup_datetime", "dropoff_datetime")})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_slot_metrics, stream_response_join, stream_complete_join)}
+ORACLE_SQL: dict[str, str] = {"stream_slot_metrics": batch.ORACLE_SQL["slot_metrics_all"], "stream_response_join": batch.ORACLE_SQL["response_join"], "stream_complete_join": batch.ORACLE_SQL["complete_join"]}
