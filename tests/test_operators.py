@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripflow.functions import calendar, clean, labels
@@ -127,3 +128,24 @@ def test_neighbours_and_grid(spark):
     got = {r.zone_id: (r.neighbor_requests_60m, r.neighbor_pickup_delay_mean, r.num_neighbors) for r in grid.neighbor_features(slots, edges).collect()}
     assert got == {1: (8, 4.0, 2), 2: (5, 10.0, 1), 3: (0, 0.0, 0), 9: (0, 0.0, 0)}
     assert grid.dense_grid(slots.select("zone_id").distinct(), cleaning.bounds(slots, "window_end")).count() == 8
+
+
+def test_exact_cuts_are_percentiles(spark):
+    """Whole and bounded ranking against Spark's own exact quantiles, with ties, few rows and no rows."""
+    p = F.array(*[F.lit(x) for x in history.PROBS])
+    skewed = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.pow((F.col("id") * 7919) % 30_011, F.lit(1.2))).alias("x"))
+    tied = spark.range(30_000).select((F.col("id") % 4).cast("double").alias("x"))
+    frames = [skewed, tied, skewed.limit(1), skewed.limit(2), skewed.limit(999), tied.union(spark.range(5).select(F.lit(None).cast("double").alias("x")))]
+    for frame in frames:
+        want = frame.agg(F.percentile("x", p).alias("_cuts")).first()[0]
+        assert history.exact_cuts(frame, "x").first()[0] == pytest.approx(want, rel=1e-12)
+    assert history.exact_cuts(skewed.limit(0), "x").first()[0] is None
+
+
+def test_repeated_keys_keep_the_greatest_row(spark):
+    new = spark.createDataFrame([(1, 10, 5, "old"), (1, 10, 9, "new"), (2, 10, 3, "one")], "zone_id int, window_end int, at int, v string")
+    old = spark.createDataFrame([(1, 10, 1, "gone"), (3, 10, 1, "kept")], new.schema)
+    for batch in (new, new.orderBy(F.desc("v"))):
+        got = sinks.merge_rows(old, batch, order=["at"])
+        assert got.columns == old.columns
+        assert sorted(map(tuple, got.collect())) == [(1, 10, 9, "new"), (2, 10, 3, "one"), (3, 10, 1, "kept")]

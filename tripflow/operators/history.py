@@ -28,23 +28,53 @@ def row_leads(df: DataFrame, columns: Sequence[str] = LEAD_COLS, steps: Sequence
 
 
 def time_lags(slots: DataFrame, columns: Sequence[str] = LAGGED, steps: Sequence[int] = LAG_STEPS, minutes: int = 15) -> DataFrame:
-    """Values at exactly ``step`` slots earlier, by time: a row's values go to the slots that lag on it."""
-    out = slots
-    for s in steps:
-        earlier = slots.select("zone_id", (F.col("window_end") + F.expr(f"INTERVAL {s * minutes} MINUTES")).alias("window_end"), *[F.col(c).alias(f"{c}_lag{s}") for c in columns])
-        out = out.join(earlier.dropDuplicates(KEYS), KEYS, "left")
-    return out
+    """Values at exactly ``step`` slots earlier, by time, in one join: a row's values go to the slots that lag on it.
+
+    Of a repeated (zone_id, window_end) each column's greatest value counts.
+    """
+    later = slots.select(*KEYS, *columns, F.explode(F.array(*[F.lit(s) for s in steps])).alias("_step"))
+    later = later.withColumn("window_end", F.col("window_end") + F.make_dt_interval(mins=F.col("_step") * minutes))
+    wide = later.groupBy(*KEYS).agg(*[F.max(F.when(F.col("_step") == s, F.col(c))).alias(f"{c}_lag{s}") for c in columns for s in steps])
+    return slots.join(wide, KEYS, "left")
 
 
 def future_value(df: DataFrame, c: str, steps: int = 4, name: str = "future_imbalance") -> DataFrame:
     return df.withColumn(name, F.lead(c, steps).over(by_zone()))
 
 
+def exact_cuts(df: DataFrame, c: str, probs: Sequence[float] = PROBS, margin: float = 1e-3, few: int = 10_000) -> DataFrame:
+    """One row (_cuts): the quantiles of percentile(), with no task that holds all values.
+
+    A sketch of the values bounds each cut from both sides by ``margin`` of the rows, ten times its own error; frames of under
+    ``few`` rows are ranked whole. Rows below the bounds are counted, and only values between them are ranked, equal ones as
+    one row with their count. df is read twice, so it should be a written table. No value: nulls.
+    """
+    side = lambda d: F.percentile_approx(c, F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs]), 10_000)
+    whole = lambda f: F.array(*[f(c)] * len(probs))
+    one = df.agg(F.count(c).alias("n"), side(-margin).alias("_lo"), side(margin).alias("_hi"), whole(F.min).alias("_min"), whole(F.max).alias("_max"))
+    lo, hi = [F.when(F.col("n") < few, F.col(w)).otherwise(F.col(s)) for w, s in (("_min", "_lo"), ("_max", "_hi"))]
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    cut = one.select("n", F.posexplode(F.arrays_zip(ps.alias("p"), lo.alias("lo"), hi.alias("hi"))).alias("i", "b")).select("i", (F.col("b.p") * (F.col("n") - 1)).alias("pos"), "b.lo", "b.hi")
+    values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
+    placed = values.join(F.broadcast(cut), F.col("v") <= F.col("hi"))
+    below = placed.groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("k"))), F.lit(0)).alias("_below"))
+    run = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.where("v >= lo").withColumn("_upto", F.sum("k").over(run)).join(F.broadcast(below), "i")
+    last = F.col("_below") + F.col("_upto") - 1
+    at = lambda r: F.max(F.when((r <= last) & (r > last - F.col("k")), F.col("v")))
+    found = near.groupBy("i", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b"))
+    ordered = found.agg(F.sort_array(F.collect_list(F.struct("i", value.cast("double").alias("cut")))).alias("_all"))
+    return ordered.select(F.when(F.size("_all") == len(probs), F.col("_all.cut")).alias("_cuts"))
+
+
 def labelled(df: DataFrame, c: str = "future_imbalance", probs: Sequence[float] = PROBS, closed: str = "right", exact: bool = True, name: str = "label_6class") -> DataFrame:
-    """Rows with a value, and their class by the value's own quantiles; the cut points are one row, broadcast."""
+    """Rows with a value, and their class by the value's own quantiles; the cut points are one row, broadcast.
+
+    df is read for its cuts and for its rows, so it should be a written table.
+    """
     some = df.na.drop(subset=[c])
-    p = F.array(*[F.lit(float(x)) for x in probs])
-    cuts = some.agg((F.percentile(c, p) if exact else F.percentile_approx(c, p)).alias("_cuts"))
+    cuts = exact_cuts(some, c, probs) if exact else some.agg(F.percentile_approx(c, F.array(*[F.lit(float(x)) for x in probs])).alias("_cuts"))
     classes = six_class(F.col(c), [F.col("_cuts")[i] for i in range(len(probs))], closed)
     return some.crossJoin(F.broadcast(cuts)).withColumn(name, classes).drop("_cuts")
 

@@ -26,7 +26,10 @@ def with_actuals(predictions: DataFrame, actuals: DataFrame, minutes: int = 60)
 
 
 def actual_classes(gold: DataFrame, targets: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
-    """(zone_id, window_end, actual_class) of gold at the target slots, classes cut by the targets' own quantiles of imbalance."""
+    """(zone_id, window_end, actual_class) of gold at the target slots, classes cut by the targets' own quantiles of imbalance.
+
+    The targets are slots of some hours, so the rows that one task ranks don't grow with the history.
+    """
     rows = gold.select(*KEYS, "imbalance").join(targets.select("window_end").distinct(), "window_end", "left_semi")
     cuts = rows.agg(F.percentile("imbalance", F.array(*[F.lit(float(p)) for p in probs])).alias("_cuts"))
     return rows.crossJoin(F.broadcast(cuts)).select(*KEYS, six_class(F.col("imbalance"), [F.col("_cuts")[i] for i in range(len(probs))]).alias("actual_class"))

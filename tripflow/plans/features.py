@@ -13,6 +13,7 @@ from ..operators.grid import neighbor_features, with_imbalance
 from ..operators.history import PROBS, future_value, labelled, latest_per, row_lags, snapshots, time_lags, weather_leads, weather_now
 from ..operators.slots import SLIDE, WINDOW, slot_metrics, trip_facts
 from ..schemas import FEATURES, KEYS, LAG_STEPS, LAGGED, LEAD_COLS, LEAD_STEPS
+from ..sources.sinks import written
 
 
 def gold(trips: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
@@ -31,10 +32,14 @@ def with_weather(slots: DataFrame, weather: DataFrame | None) -> DataFrame:
 
 
 def training_set(slots: DataFrame, edges: DataFrame, area: Column, weather: DataFrame | None = None, label_steps: int = 4, probs: Sequence[float] = PROBS, gridded: bool = True) -> DataFrame:
-    """80 features, future_imbalance and label_6class. gridded: lags by row on gap-free slots; else by time."""
+    """80 features, future_imbalance and label_6class. gridded: lags by row on gap-free slots; else by time.
+
+    The features are written once; cut points and rows are read from that table.
+    """
     rows = with_weather(base_features(slots, edges, area), weather)
     rows = row_lags(rows) if gridded else time_lags(rows)
-    return apply_contract(labelled(future_value(rows, "imbalance", label_steps), probs=probs), FEATURES, ("window_end", "future_imbalance", "label_6class"))
+    rows = written(future_value(rows, "imbalance", label_steps).where("future_imbalance IS NOT NULL"))
+    return apply_contract(labelled(rows, probs=probs), FEATURES, ("window_end", "future_imbalance", "label_6class"))
 
 
 def inference_matrix(slots: DataFrame, edges: DataFrame, area: Column, weather: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import cleaning, grid, history, lifecycle, marts, model, qualit
 from ..operators.slots import city_metrics, slot_metrics, trip_facts
 from ..schemas import COUNTS, CYCLES, KEYS, N_CLASSES, N_ZONES, STATS, WEATHER_COLS
 from ..sources.readers import parse_events
-from ..sources.sinks import encode_events, merge_rows
+from ..sources.sinks import encode_events, merge_rows, written
 from . import features, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,12 +94,18 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.gold(_trips(spark, sf_dir))
 
 
+def _gold_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Keys and these columns of gold, computed once from the trips: for queries that use gold several times."""
+    gold = _gold(spark, sf_dir)
+    return written(gold.select(*KEYS, *(columns or [c for c in gold.columns if c not in KEYS])))
+
+
 def _grid(gold: DataFrame) -> DataFrame:
     return grid.dense_grid(cleaning.distinct_keys(gold, ["zone_id"]), cleaning.bounds(gold, "window_end"))
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _gold(spark, sf_dir)
+def _filled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    gold = _gold_table(spark, sf_dir, *columns)
     return grid.fill_grid(_grid(gold), gold)
 
 
@@ -108,7 +114,7 @@ def _area():
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.predictions(_gold(spark, sf_dir))
+    return fixtures.predictions(_gold_table(spark, sf_dir, "requests_60m"))
 
 
 # Slot metrics.
@@ -311,19 +317,19 @@ def view_click_join(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT zone_id, window_end FROM grid")
 def dense_grid(spark, sf_dir):
-    return _grid(_gold(spark, sf_dir))
+    return _grid(written(_gold(spark, sf_dir).select(*KEYS)))
 
 
 @query(f"WITH {GRID}, {fixtures.DUCK_WEATHER} SELECT zone_id, window_end, requests_60m, pickup_60m, dropoff_60m, {_r('pickup_delay_mean', 'avg_fare', 'temperature_2m')}, cloud_cover FROM filled LEFT JOIN weather USING (zone_id, window_end)")
 def grid_metrics(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m", "pickup_60m", "dropoff_60m", "pickup_delay_mean", "avg_fare")
     return rounded(grid.fill_grid(_grid(gold), gold, fixtures.weather(spark)).select(*KEYS, "requests_60m", "pickup_60m", "dropoff_60m", "pickup_delay_mean", "avg_fare", "temperature_2m", "cloud_cover"))
 
 
 @query(f"""WITH {GOLD}, {EDGES}, n AS (SELECT e.zone_id, window_end, sum(requests_60m) AS s, avg(pickup_delay_mean) AS m FROM edges e JOIN gold g ON g.zone_id = e.neighbor_zone_id GROUP BY ALL), deg AS (SELECT zone_id, count(*) AS num_neighbors FROM edges GROUP BY ALL)
 SELECT zone_id, window_end, CAST(coalesce(s, 0) AS BIGINT) AS neighbor_requests_60m, round(coalesce(m, 0), 6) AS neighbor_pickup_delay_mean, coalesce(num_neighbors, 0) AS num_neighbors FROM gold LEFT JOIN n USING (zone_id, window_end) LEFT JOIN deg USING (zone_id)""")
 def neighbor_features(spark, sf_dir):
-    return rounded(grid.neighbor_features(_gold(spark, sf_dir), grid.ring_edges(spark)).select(*KEYS, "neighbor_requests_60m", "neighbor_pickup_delay_mean", "num_neighbors"))
+    return rounded(grid.neighbor_features(_gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean"), grid.ring_edges(spark)).select(*KEYS, "neighbor_requests_60m", "neighbor_pickup_delay_mean", "num_neighbors"))
 
 
 @query(f"WITH {GOLD} SELECT zone_id, window_end, round({_IMBALANCE}, 6) AS imbalance FROM gold")
@@ -346,13 +352,13 @@ def calendar_features(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT zone_id, window_end, lag(requests_60m, 92) OVER w AS requests_60m_lag92, lag(requests_60m, 668) OVER w AS requests_60m_lag668, round(lag(pickup_delay_mean, 92) OVER w, 6) AS pickup_delay_mean_lag92, round(lag(pickup_delay_mean, 668) OVER w, 6) AS pickup_delay_mean_lag668 FROM filled WINDOW w AS (PARTITION BY zone_id ORDER BY window_end)")
 def row_lags(spark, sf_dir):
-    lags = history.row_lags(_filled(spark, sf_dir), ["requests_60m", "pickup_delay_mean"])
+    lags = history.row_lags(_filled(spark, sf_dir, "requests_60m", "pickup_delay_mean"), ["requests_60m", "pickup_delay_mean"])
     return rounded(lags.select(*KEYS, *[c for c in lags.columns if "_lag" in c]))
 
 
 @query(f"WITH {GOLD} SELECT g.zone_id, g.window_end, a.requests_60m AS requests_60m_lag92, b.requests_60m AS requests_60m_lag668, round(a.pickup_delay_mean, 6) AS pickup_delay_mean_lag92, round(b.pickup_delay_mean, 6) AS pickup_delay_mean_lag668 FROM gold g LEFT JOIN gold a ON a.zone_id = g.zone_id AND a.window_end = g.window_end - INTERVAL '1380 minutes' LEFT JOIN gold b ON b.zone_id = g.zone_id AND b.window_end = g.window_end - INTERVAL '10020 minutes'")
 def time_lags(spark, sf_dir):
-    lags = history.time_lags(_gold(spark, sf_dir), ["requests_60m", "pickup_delay_mean"])
+    lags = history.time_lags(_gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean"), ["requests_60m", "pickup_delay_mean"])
     return rounded(lags.select(*KEYS, *[c for c in lags.columns if "_lag" in c]))
 
 
@@ -368,7 +374,7 @@ def weather_leads(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT zone_id, window_end, round(last_value(pickup_delay_mean IGNORE NULLS) OVER (PARTITION BY zone_id ORDER BY window_end ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS pickup_delay_mean FROM filled")
 def ffill_slots(spark, sf_dir):
-    return rounded(history.ffill(_filled(spark, sf_dir).select(*KEYS, "pickup_delay_mean"), ["pickup_delay_mean"]))
+    return rounded(history.ffill(_filled(spark, sf_dir, "pickup_delay_mean"), ["pickup_delay_mean"]))
 
 
 LABELED = f"""{GRID}, im AS (SELECT zone_id, window_end, {_IMBALANCE} AS imbalance FROM filled), fut AS (SELECT *, lead(imbalance, 4) OVER (PARTITION BY zone_id ORDER BY window_end) AS f FROM im), labelable AS (SELECT * FROM fut WHERE f IS NOT NULL),
@@ -376,8 +382,8 @@ cuts AS (SELECT quantile_cont(f, [0.2, 0.4, 0.6, 0.8, 0.95]) AS q FROM labelable
 
 
 def _labeled(spark, sf_dir):
-    slots = grid.with_imbalance(_filled(spark, sf_dir).select(*KEYS, "requests_60m", "pickup_delay_mean"), _area()).select(*KEYS, "imbalance")
-    return history.labelled(history.future_value(slots, "imbalance"))
+    slots = grid.with_imbalance(_filled(spark, sf_dir, "requests_60m", "pickup_delay_mean"), _area()).select(*KEYS, "imbalance")
+    return history.labelled(written(history.future_value(slots, "imbalance")))
 
 
 @query(f"WITH {LABELED} SELECT zone_id, window_end, round(f, 6) AS future_imbalance, label_6class FROM labeled")
@@ -393,23 +399,23 @@ def class_weights(spark, sf_dir):
 
 @query(f"WITH {GOLD}, o AS (SELECT zone_id, window_end, row_number() OVER (ORDER BY window_end, zone_id) AS r, count(*) OVER () AS n FROM gold) SELECT zone_id, window_end, r <= floor(n * 0.9) AS is_train FROM o")
 def time_split(spark, sf_dir):
-    return history.time_split(_gold(spark, sf_dir).select(*KEYS))
+    return history.time_split(written(_gold(spark, sf_dir).select(*KEYS)))
 
 
 @query(f"WITH {GOLD} SELECT zone_id, window_end, requests_60m FROM gold QUALIFY window_end = max(window_end) OVER (PARTITION BY zone_id)")
 def latest_per_zone(spark, sf_dir):
-    return history.latest_per(_gold(spark, sf_dir)).select(*KEYS, "requests_60m")
+    return history.latest_per(_gold_table(spark, sf_dir, "requests_60m")).select(*KEYS, "requests_60m")
 
 
 @query(f"WITH {GOLD}, l AS (SELECT max(window_end) AS m FROM gold) SELECT zone_id, window_end, s AS step, requests_60m FROM gold, l, (SELECT unnest([0, 92, 668]) AS s) WHERE window_end = m - s * INTERVAL '15 minutes'")
 def lag_snapshots(spark, sf_dir):
-    return history.snapshots(_gold(spark, sf_dir)).select(*KEYS, "step", "requests_60m")
+    return history.snapshots(_gold_table(spark, sf_dir, "requests_60m")).select(*KEYS, "step", "requests_60m")
 
 
 @query(f"""WITH {GOLD}, m AS (SELECT max(CAST(window_end AS DATE)) AS d FROM gold) SELECT zone_id, window_end, CASE WHEN CAST(window_end AS DATE) >= d - 1 THEN requests_60m + 1 ELSE requests_60m END AS requests_60m FROM gold, m""")
 def upsert_slots(spark, sf_dir):
     """The last two days rewritten over all but the last day."""
-    gold = _gold(spark, sf_dir).select(*KEYS, "requests_60m")
+    gold = _gold_table(spark, sf_dir, "requests_60m")
     last = gold.agg(F.max(F.to_date("window_end")).alias("d"))
     dated = gold.crossJoin(F.broadcast(last))
     day = F.to_date("window_end")
@@ -420,7 +426,7 @@ def upsert_slots(spark, sf_dir):
 
 @query(f"WITH {PREDICTIONS}, done AS (SELECT * FROM predictions WHERE window_end < (SELECT max(window_end) FROM gold)), g AS (SELECT window_end, count(DISTINCT zone_id) AS gold_zones FROM gold WHERE window_end = (SELECT max(window_end) FROM gold) GROUP BY 1) SELECT window_end, 'new_slot' AS reason, gold_zones, CAST(0 AS BIGINT) AS predicted_zones FROM g WHERE window_end > (SELECT max(window_end) FROM done)")
 def slots_to_score(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m")
     last = gold.agg(F.max("window_end").alias("m"))
     done = fixtures.predictions(gold).crossJoin(F.broadcast(last)).where("window_end < m").drop("m")
     return quality.slots_to_score(gold, done)
@@ -447,7 +453,7 @@ def argmax_class(spark, sf_dir):
 
 @query(f"WITH {PREDICTIONS} SELECT p.zone_id, p.window_end, p.window_end + INTERVAL '60 minutes' AS target_we, predicted_class, round({_IMBALANCE.replace('zone_id', 'p.zone_id')}, 6) AS imbalance FROM predictions p JOIN gold g ON g.zone_id = p.zone_id AND g.window_end = p.window_end + INTERVAL '60 minutes'")
 def prediction_actual(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean")
     actual = grid.with_imbalance(gold, _area()).select(*KEYS, "imbalance")
     return rounded(quality.with_actuals(fixtures.predictions(gold).select(*KEYS, "predicted_class"), actual).select(*KEYS, "target_we", "predicted_class", "imbalance"))
 
@@ -460,13 +466,13 @@ live AS (SELECT count(*) AS n, CASE WHEN count(*) >= 500 THEN avg((predicted_cla
 
 
 def _pairs(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean")
     return quality.scored_pairs(fixtures.predictions(gold), grid.with_imbalance(gold, _area()))
 
 
 @query(f"WITH {PAIRS} SELECT n, {_r('prod_accuracy', 'shadow_accuracy')} FROM live")
 def live_accuracy(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean")
     return rounded(quality.live_accuracy(fixtures.predictions(gold), grid.with_imbalance(gold, _area())))
 
 
@@ -474,7 +480,7 @@ def live_accuracy(spark, sf_dir):
 d AS (SELECT v.*, coalesce(shadow_accuracy, val) AS shadow, CASE WHEN shadow_accuracy IS NOT NULL THEN prod_accuracy ELSE coalesce(pval, 0) END AS production, shadow_accuracy IS NOT NULL AS is_live FROM v LEFT JOIN pv USING (model), live)
 SELECT model, version, CAST(age AS INT) AS age_days, CASE WHEN is_live THEN 'live' ELSE 'val_accuracy' END AS source, {_r('shadow', 'production')}, CASE WHEN age >= 14 THEN 'archive' WHEN age < 3 THEN 'wait' WHEN shadow >= production * 0.97 THEN 'promote' ELSE 'hold' END AS decision FROM d""")
 def promotion_decision(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean")
     p = fixtures.predictions(gold)
     live = quality.live_accuracy(p, grid.with_imbalance(gold, _area()))
     return rounded(quality.promotion_decision(fixtures.model_versions(p), live, p.agg(F.max("predicted_at").alias("now"))))
@@ -537,7 +543,7 @@ def confidence_by_slot(spark, sf_dir):
 
 @query(f"WITH {PREDICTIONS} SELECT round(date_diff('second', max(predicted_at), (SELECT max(window_end) FROM gold) + INTERVAL '20 minutes') / 60, 6) AS minutes FROM predictions")
 def freshness(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m")
     now = gold.agg((F.max("window_end") + F.expr("INTERVAL 20 MINUTES")).alias("now"))
     return rounded(marts.freshness(fixtures.predictions(gold), now))
 
@@ -553,7 +559,7 @@ _LABEL_CASE = "CASE predicted_class " + " ".join(f"WHEN {k} THEN '{v}'" for k, v
 @query(f"WITH {PREDICTIONS}, l AS (SELECT * FROM predictions {_LATEST}) SELECT zone_id, predicted_class IS NOT NULL AS has_prediction, {_LABEL_CASE} AS demand_label, round(pred_confidence, 3) AS confidence FROM (SELECT DISTINCT zone_id FROM gold) LEFT JOIN l USING (zone_id)")
 def zone_map_rows(spark, sf_dir):
     """The exported documents, read back."""
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir, "requests_60m")
     rows = marts.zone_map_rows(cleaning.distinct_keys(gold, ["zone_id"]), fixtures.predictions(gold))
     p = F.from_json("document", "properties struct<has_prediction:boolean, demand_label:string, confidence:double>")["properties"]
     return rows.select("zone_id", p.alias("p")).select("zone_id", "p.*")
@@ -602,10 +608,10 @@ def accessibility(spark, sf_dir):
 
 @query()
 def training_matrix(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = _gold_table(spark, sf_dir)
     return rounded(features.training_set(grid.fill_grid(_grid(gold), gold), grid.ring_edges(spark), _area(), fixtures.weather(spark)))
 
 
 @query()
 def inference_matrix(spark, sf_dir):
-    return rounded(features.inference_matrix(_gold(spark, sf_dir), grid.ring_edges(spark), _area(), fixtures.weather(spark)))
+    return rounded(features.inference_matrix(_gold_table(spark, sf_dir), grid.ring_edges(spark), _area(), fixtures.weather(spark)))

@@ -69,14 +69,14 @@ def zone_shares(spark, sf_dir):
 
 @query(f"WITH {GRID}, {fixtures.DUCK_WEATHER} SELECT zone_id, window_end, " + ", ".join(f"lead({c}, {s}) OVER w AS {c}_lead{s}" for c in ("temperature_2m", "cloud_cover") for s in LEAD_STEPS) + " FROM filled LEFT JOIN weather USING (zone_id, window_end) WINDOW w AS (PARTITION BY zone_id ORDER BY window_end)")
 def row_leads(spark, sf_dir):
-    rows = history.weather_now(base._filled(spark, sf_dir).select(*KEYS), fixtures.weather(spark), ["temperature_2m", "cloud_cover"])
+    rows = history.weather_now(base._filled(spark, sf_dir, "requests_60m").select(*KEYS), fixtures.weather(spark), ["temperature_2m", "cloud_cover"])
     leads = history.row_leads(rows, ["temperature_2m", "cloud_cover"])
     return leads.select(*KEYS, *[c for c in leads.columns if "_lead" in c])
 
 
 @query(f"WITH {PREDICTIONS}, t AS (SELECT DISTINCT window_end + INTERVAL '60 minutes' AS window_end FROM predictions WHERE predicted_class = 5) SELECT zone_id, window_end, requests_60m FROM gold SEMI JOIN t USING (window_end)")
 def target_slots(spark, sf_dir):
-    gold = base._gold(spark, sf_dir)
+    gold = base._gold_table(spark, sf_dir, "requests_60m")
     targets = fixtures.predictions(gold).where("predicted_class = 5").select((F.col("window_end") + F.expr("INTERVAL 60 MINUTES")).alias("window_end"))
     return history.rows_at(gold, targets, [*KEYS, "requests_60m"])
 
@@ -88,7 +88,7 @@ def adjacent_requests(spark, sf_dir):
     edges = trips.where("trip_time < 150 AND DOLocationID BETWEEN 1 AND 263").select(F.col("PULocationID").alias("zone_id"), F.col("DOLocationID").alias("neighbor_zone_id")).distinct()
     path = f"{sinks.work_folder(spark)}/edges"
     edges.write.option("header", True).csv(path)
-    return grid.neighbor_features(base._gold(spark, sf_dir), grid.adjacency(spark, path)).select(*KEYS, "neighbor_requests_60m", "num_neighbors")
+    return grid.neighbor_features(base._gold_table(spark, sf_dir, "requests_60m", "pickup_delay_mean"), grid.adjacency(spark, path)).select(*KEYS, "neighbor_requests_60m", "num_neighbors")
 
 
 @query(f"WITH {GOLD} SELECT zone_id, window_end, round(coalesce(pow(greatest(coalesce(pickup_delay_mean, 0), 0), 1.2) * requests_60m / CASE WHEN zone_id % 2 = 0 THEN 1.5 ELSE 1.0 END, 0), 6) AS imbalance FROM gold")
@@ -102,7 +102,7 @@ def mapped_area_imbalance(spark, sf_dir):
 @query(ORACLE_SQL["time_split"])
 def split_tables(spark, sf_dir):
     path = f"{sinks.work_folder(spark)}/split"
-    sinks.write_split(history.time_split(base._gold(spark, sf_dir).select(*KEYS)), path)
+    sinks.write_split(history.time_split(sinks.written(base._gold(spark, sf_dir).select(*KEYS))), path)
     return readers.read_table(spark, path).withColumn("is_train", F.col("is_train").cast("boolean"))
 
 
@@ -133,7 +133,7 @@ def drifting_files(spark, sf_dir):
 @query(ORACLE_SQL["zone_map_rows"])
 def zone_map_file(spark, sf_dir):
     """The map written as lines and read back."""
-    gold, path = base._gold(spark, sf_dir), f"{sinks.work_folder(spark)}/map"
+    gold, path = base._gold_table(spark, sf_dir, "requests_60m"), f"{sinks.work_folder(spark)}/map"
     sinks.write_zone_map(marts.zone_map_rows(cleaning.distinct_keys(gold, ["zone_id"]), fixtures.predictions(gold)), path)
     p = F.from_json("value", "id int, properties struct<has_prediction:boolean, demand_label:string, confidence:double>")
     return spark.read.text(path).select(p.alias("d")).select(F.col("d.id").alias("zone_id"), "d.properties.*")

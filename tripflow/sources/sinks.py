@@ -26,6 +26,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, as a table in the shared folder: for plans that use it several times, and to cut lineage."""
+    path = f"{work_folder(df.sparkSession)}/once"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
@@ -49,9 +56,18 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, name: str, trigg
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
-def merge_rows(existing: DataFrame, updates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """existing with rows of equal keys replaced by updates, and the other updates added. Repeated keys in updates: one row."""
-    new = updates.dropDuplicates(list(keys))
+def one_per_key(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ()) -> DataFrame:
+    """The row of each key that is greatest by ``order`` and then by all columns (none of them a map), whatever the order of arrival."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(list(keys))
+    rows = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate((*order, *rest))])).alias("_row"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"_row._{len(order) + rest.index(c)}").alias(c) for c in df.columns])
+
+
+def merge_rows(existing: DataFrame, updates: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ()) -> DataFrame:
+    """existing with rows of equal keys replaced by updates, and the other updates added. Repeated keys in updates: the row greatest by ``order``."""
+    new = one_per_key(updates, keys, order)
     return anti(existing, new.select(*keys)).unionByName(new, allowMissingColumns=True)
 
 
@@ -60,23 +76,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str] = KEYS, ts: str = "window_end", merge: Callable[[DataFrame, str, Sequence[str]], None] | None = None) -> None:
+def upsert(df: DataFrame, path: str, keys: Sequence[str] = KEYS, ts: str = "window_end", merge: Callable[[DataFrame, str, Sequence[str]], None] | None = None, order: Sequence[str] = ()) -> None:
     """Keyed upsert of a table partitioned by the day of ts.
 
     Only days that df touches are read and rewritten: their new content is staged beside the table, then replaces
-    those partitions. Running it again with the same rows changes nothing. One writer at a time. merge: a
-    table format's own MERGE, used in its place.
+    those partitions. Running it again with the same rows changes nothing; of a repeated key the row greatest by
+    ``order`` stays. A crash between the days leaves some of them replaced and the staged folder behind: the same call
+    again mends the table, and the folder may be deleted. One writer at a time. merge: a table format's own MERGE,
+    used in its place.
     """
     spark = df.sparkSession
     if merge:
         merge(df, path, keys)
         return
-    dated = df.dropDuplicates(list(keys)).withColumn("slot_day", F.to_date(ts)).persist()
+    dated = one_per_key(df, keys, order).withColumn("slot_day", F.to_date(ts)).persist()
     try:
         if exists(spark, path):
             old = spark.read.parquet(path)
             touched = old.join(F.broadcast(dated.select("slot_day").distinct()), "slot_day", "left_semi")
-            new = merge_rows(touched, dated, keys)
+            new = anti(touched, dated.select(*keys)).unionByName(dated, allowMissingColumns=True)
         else:
             new = dated
         staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
