@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, decontaminate, license_scan, line_dedup, pairwise_quality, ppm_language, quality_rules, rendezvous, simhash, suffix_dedup
-from ._spark import small_batches
+from . import bin_completion, cuckoo_index, decontaminate, fill_in_middle, license_scan, line_dedup, pairwise_quality, ppm_language, prefix_trie, quality_rules, rendezvous, simhash, suffix_dedup
+from ._spark import Tables, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo_index.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark, "trie")
+    turns, convs = prefix_trie.grafted(prefix_trie.numbered(_table(spark, sf_dir, "conversations"), tables), tables)
+    nodes, ends = prefix_trie.trie(turns, convs, tables)
+    found = nodes.join(prefix_trie.id_digests(ends), prefix_trie.NODE, "left").drop("a", "b")
+    return found.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_in_middle.restored(), 256)}
+    return made.withColumns(digests).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_rules, op3_line_dedup, op4_pairwise_quality, op5_suffix_dedup, op6_rendezvous_shards, op7_bin_completion, op8_decontaminate, op9_ppm_language, op10_simhash)
+    for f in (op1_license_scan, op2_quality_rules, op3_line_dedup, op4_pairwise_quality, op5_suffix_dedup, op6_rendezvous_shards, op7_bin_completion, op8_decontaminate, op9_ppm_language, op10_simhash, op11_cuckoo_dedup, op12_prefix_trie, op13_fill_in_middle)
 }
 
 
@@ -147,4 +165,45 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _op1_sql(), "op6_rendezvous_shards": _op6_sql(), "op8_decontaminate": _op8_sql()}
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)"""
+
+_OP12_SQL = r"""
+WITH RECURSIVE steps AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+said AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+turns AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS pos, d, words FROM said),
+lengths AS (SELECT c, count(*) AS own FROM turns GROUP BY c),
+drawn AS (SELECT c, own, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(c AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda s, x: xor(s >> 8, t[CAST((xor(s, x) & 255) + 1 AS BIGINT)])), 4294967295) % 4 AS h FROM lengths, steps),
+convs AS MATERIALIZED (SELECT drawn.c, h, base, least(h, coalesce(b.own, 0)) AS given FROM drawn LEFT JOIN lengths b ON b.c = base),
+rebuilt AS (
+  SELECT convs.c, pos - h + given AS pos, d, words FROM turns JOIN convs USING (c) WHERE pos >= h
+  UNION ALL SELECT convs.c, pos, d, words FROM turns JOIN convs ON turns.c = base WHERE pos < h),
+whole AS (SELECT c, list(d ORDER BY pos) AS ds, list(words ORDER BY pos) AS ws FROM rebuilt GROUP BY c),
+paths AS MATERIALIZED (
+  SELECT c, i AS depth, array_to_string(ds[1:i], ',') AS k, array_to_string(ds[1:i - 1], ',') AS up, ws[i] AS words, i = len(ds) AS ends FROM (SELECT *, unnest(range(1, len(ds) + 1)) AS i FROM whole)
+  UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM whole) FROM convs),
+nodes AS MATERIALIZED (SELECT depth, k, up, words, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM paths GROUP BY depth, k, up, words),
+children AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, k)),
+below AS (SELECT p.depth, p.k, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens FROM full_nodes u JOIN paths p ON p.c = u.conv_id AND p.depth <= u.depth GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below USING (depth, k) LEFT JOIN nodes q ON q.depth = f.depth - 1 AND q.k = f.up"""
+
+_OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+drawn AS (SELECT doc_id, t, string_split(t, chr(10)) AS parts, [CAST('0x' || x[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM d),
+sized AS (SELECT *, CAST(len(parts) - CAST(ends_with('x' || t, chr(10)) OR t = '' AS INT) AS BIGINT) AS n FROM drawn),
+cuts AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM sized),
+pieces AS (
+  SELECT doc_id, t, n, form, CASE WHEN a = n THEN t WHEN a = 0 THEN '' ELSE array_to_string(parts[1:a], chr(10)) || chr(10) END AS p,
+    CASE WHEN b = n THEN t WHEN b = 0 THEN '' ELSE array_to_string(parts[1:b], chr(10)) || chr(10) END AS pm FROM cuts),
+made AS (SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s FROM pieces)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM made"""
+
+ORACLE_SQL: dict[str, str] = {"op11_cuckoo_dedup": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_fill_in_middle": _OP13_SQL, "op1_license_scan": _op1_sql(), "op6_rendezvous_shards": _op6_sql(), "op8_decontaminate": _op8_sql()}
