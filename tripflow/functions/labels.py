@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Label and colour of each class, and those of none.
 LABELS = {0: "0 - None", 1: "1 - Very low", 2: "2 - Low", 3: "3 - Medium", 4: "4 - High", 5: "5 - Very high"}
 COLORS = {0: "#F3F4F6", 1: "#7DD3FC", 2: "#2563EB", 3: "#FACC15", 4: "#F97316", 5: "#B91C1C"}
-NO_LABEL, NO_COLOR = "No prediction", "#D1D5DB"
+NO_LABEL, UNKNOWN_LABEL, NO_COLOR = "No prediction", "Unknown", "#D1D5DB"
 
 
 def imbalance(delay: Column, requests: Column, area: Column) -> Column:
@@ -43,7 +43,8 @@ def _lookup(c: Column, values: Mapping[int, str], default: str) -> Column:
 
 
 def class_label(c: Column) -> Column:
-    return _lookup(c, LABELS, NO_LABEL)
+    """The class's label; that of an unknown class, or of none."""
+    return F.when(c.isNull(), NO_LABEL).otherwise(_lookup(c, LABELS, UNKNOWN_LABEL))
 
 
 def class_color(c: Column) -> Column:

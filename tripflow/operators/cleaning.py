@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_double, clean_int, clean_string, clean_timestamp
 from ..schemas import FEATURES, MONEY, N_ZONES, REQUIRED_WEATHER
 
+# Columns of the event tables and limits of valid trips.
 REQUEST = ["trip_id", "hvfhs_license_num", "dispatching_base_num", "originating_base_num", "PULocationID", "DOLocationID", "request_datetime", "wav_request_flag", "access_a_ride_flag", "shared_request_flag"]
 PICKUP = ["trip_id", "pickup_datetime", "on_scene_datetime", "PULocationID", "share_match_flag", "wav_match_flag"]
 DROPOFF = ["trip_id", "dropoff_datetime", "DOLocationID", "trip_miles", "trip_time", *MONEY]

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.labels import six_class
 from ..schemas import KEYS, LAGGED, LAG_STEPS, LEAD_COLS, LEAD_STEPS, WEATHER_COLS
+from ..sources.sinks import sized
 
 PROBS = [0.2, 0.4, 0.6, 0.8, 0.95]
 
@@ -46,26 +47,28 @@ def exact_cuts(df: DataFrame, c: str, probs: Sequence[float] = PROBS, margin: fl
     """One row (_cuts): the quantiles of percentile(), with no task that holds all values.
 
     A sketch of the values bounds each cut from both sides by ``margin`` of the rows, ten times its own error; frames of under
-    ``few`` rows are ranked whole. Rows below the bounds are counted, and only values between them are ranked, equal ones as
-    one row with their count. df is read twice, so it should be a written table. No value: nulls.
+    ``few`` rows are ranked whole. Rows below the bounds are counted where they are read, and only values between them are shuffled and
+    ranked, equal ones as one row with their count. df is read three times by this one column, so it should be a written table. No value: nulls.
     """
+    k = len(probs)
     side = lambda d: F.percentile_approx(c, F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs]), 10_000)
-    whole = lambda f: F.array(*[f(c)] * len(probs))
-    one = df.agg(F.count(c).alias("n"), side(-margin).alias("_lo"), side(margin).alias("_hi"), whole(F.min).alias("_min"), whole(F.max).alias("_max"))
-    lo, hi = [F.when(F.col("n") < few, F.col(w)).otherwise(F.col(s)) for w, s in (("_min", "_lo"), ("_max", "_hi"))]
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    cut = one.select("n", F.posexplode(F.arrays_zip(ps.alias("p"), lo.alias("lo"), hi.alias("hi"))).alias("i", "b")).select("i", (F.col("b.p") * (F.col("n") - 1)).alias("pos"), "b.lo", "b.hi")
-    values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
-    placed = values.join(F.broadcast(cut), F.col("v") <= F.col("hi"))
-    below = placed.groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("k"))), F.lit(0)).alias("_below"))
+    whole = lambda f: F.array(*[f(c)] * k)
+    one = df.agg(F.count(c).alias("n"), side(-margin).alias("lo"), side(margin).alias("hi"), whole(F.min).alias("min"), whole(F.max).alias("max"))
+    is_small = F.col("n") < few
+    limits = F.broadcast(one.select("n", F.when(is_small, F.col("min")).otherwise(F.col("lo")).alias("lo"), F.when(is_small, F.col("max")).otherwise(F.col("hi")).alias("hi")))
+    values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).crossJoin(limits)
+    below = values.agg(F.array(*[F.count_if(F.col("v") < F.col("lo")[i]) for i in range(k)]).alias("below"))
+    inside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: F.col("v").between(F.get("lo", i), F.get("hi", i)))
+    near = values.select("n", "v", F.explode(inside).alias("i")).groupBy("i", "v").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     run = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    near = placed.where("v >= lo").withColumn("_upto", F.sum("k").over(run)).join(F.broadcast(below), "i")
-    last = F.col("_below") + F.col("_upto") - 1
+    ranked = near.withColumn("upto", F.sum("k").over(run)).crossJoin(F.broadcast(below))
+    last = F.get("below", F.col("i")) + F.col("upto") - 1
+    pos = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("n") - 1)
     at = lambda r: F.max(F.when((r <= last) & (r > last - F.col("k")), F.col("v")))
-    found = near.groupBy("i", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+    found = ranked.groupBy("i").agg(at(F.floor(pos)).alias("a"), at(F.ceil(pos)).alias("b"), F.max(pos).alias("pos"))
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b"))
     ordered = found.agg(F.sort_array(F.collect_list(F.struct("i", value.cast("double").alias("cut")))).alias("_all"))
-    return ordered.select(F.when(F.size("_all") == len(probs), F.col("_all.cut")).alias("_cuts"))
+    return ordered.select(F.when(F.size("_all") == k, F.col("_all.cut")).alias("_cuts"))
 
 
 def labelled(df: DataFrame, c: str = "future_imbalance", probs: Sequence[float] = PROBS, closed: str = "right", exact: bool = True, name: str = "label_6class") -> DataFrame:
@@ -130,16 +133,30 @@ def weather_leads(slots: DataFrame, weather: DataFrame, columns: Sequence[str] =
     return slots.join(wide, KEYS, "left")
 
 
-def snapshots(gold: DataFrame, steps: Sequence[int] = (0, *LAG_STEPS), minutes: int = 15) -> DataFrame:
-    """Rows at the latest slot and so many slots before it, with their step."""
-    latest = gold.agg(F.max("window_end").alias("_latest"))
-    wanted = latest.select(F.explode(F.array(*[F.struct(F.lit(s).alias("step"), (F.col("_latest") - F.expr(f"INTERVAL {s * minutes} MINUTES")).alias("window_end")) for s in steps])).alias("w")).select("w.*")
-    return gold.join(F.broadcast(wanted), "window_end")
+def snapshots(gold: DataFrame, steps: Sequence[int] = (0, *LAG_STEPS), minutes: int = 15, latest: DataFrame | None = None) -> DataFrame:
+    """Rows at the latest slot and so many slots before it, with their step.
+
+    latest: one row (window_end) instead of a scan. Of a table partitioned by slot_day, only the days of these slots are read.
+    """
+    latest = gold.agg(F.max("window_end").alias("window_end")) if latest is None else latest
+    wanted = latest.select(F.explode(F.array(*[F.struct(F.lit(s).alias("step"), (F.col("window_end") - F.expr(f"INTERVAL {s * minutes} MINUTES")).alias("window_end")) for s in steps])).alias("w")).select("w.*")
+    return _at(gold, wanted, len(steps)).select(*gold.columns, "step")
 
 
 def rows_at(gold: DataFrame, targets: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return gold.select(*columns).join(targets.select("window_end").distinct(), "window_end", "left_semi")
+    """Rows at these slots; of a table partitioned by slot_day, only their days are read."""
+    return _at(gold, targets.select("window_end").distinct()).select(*columns)
 
 
-def latest_slot(gold: DataFrame) -> DataFrame:
-    return gold.agg(F.max("window_end").alias("window_end"))
+def _at(gold: DataFrame, slots: DataFrame, most: int | None = None) -> DataFrame:
+    """gold joined with slots. The day is a key too where gold is partitioned by it, so that Spark prunes partitions by the slots' days when the plan runs.
+
+    It does so only if the other side is filtered, so its slots are asked to be there. most: bound of its rows, if known.
+    """
+    slots = slots.where("window_end > TIMESTAMP_NTZ'1900-01-01 00:00:00'")
+    if most:
+        slots = F.broadcast(slots)
+    if "slot_day" not in gold.columns:
+        return gold.join(slots, "window_end")
+    slots = slots.withColumn("slot_day", F.to_date("window_end"))
+    return gold.join(slots if most else sized(slots), ["slot_day", "window_end"])

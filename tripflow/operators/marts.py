@@ -65,6 +65,7 @@ def zone_map_rows(zones: DataFrame, p: DataFrame) -> DataFrame:
     last = latest_predictions(p).select("zone_id", "predicted_class", "pred_confidence", "used_model", "model_version", "window_end")
     rows = zones.join(last, "zone_id", "left")
     has = F.col("predicted_class").isNotNull()
+    # The map's property names, stroke and opacities.
     properties = F.struct(
         F.col("zone_id").alias("LocationID"), has.alias("has_prediction"), F.col("predicted_class").cast("int").alias("predicted_class"), class_label(F.col("predicted_class")).alias("demand_label"),
         F.round("pred_confidence", 3).alias("confidence"), F.col("used_model").alias("model"), F.when(has, F.coalesce("model_version", F.lit("n/a"))).alias("model_version"),
@@ -73,6 +74,11 @@ def zone_map_rows(zones: DataFrame, p: DataFrame) -> DataFrame:
     return rows.select("zone_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("zone_id").alias("id"), *shape, properties.alias("properties"))).alias("document"))
 
 
+def map_properties(p: DataFrame) -> DataFrame:
+    """What the map says as a whole: zones with a latest prediction, and its slot."""
+    return latest_predictions(p).agg(F.count_distinct("zone_id").alias("prediction_count"), F.max("window_end").alias("latest_window"))
+
+
 def by_provider(trips: DataFrame) -> DataFrame:
     return trips.groupBy("hvfhs_license_num").agg(F.count("*").alias("trips"), F.sum("base_passenger_fare").alias("revenue"), F.avg("base_passenger_fare").alias("avg_fare"))
 

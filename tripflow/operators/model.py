@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -38,6 +37,12 @@ def fit(df: DataFrame, columns: Sequence[str] = FEATURES, label: str = "label_6c
     return Pipeline(stages=stages).fit(rows)
 
 
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as a scoring job finds it: written, replacing one that is there, and read back."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def _proba(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """rows plus proba: an array of N_CLASSES; classes that training never saw have 0."""
     inputs = model.stages[0].getInputCols()
@@ -109,8 +114,4 @@ def evaluate(df: DataFrame, label: str = "actual_class", prediction: str = "pred
     return rows.agg((F.sum("hit") / F.sum("actual")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("actual")) / F.sum("actual")).alias("weighted_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"))
 
 
-def ml_accuracy(predictions: DataFrame, label: str = "label_6class") -> float:
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy").evaluate(predictions)
-
-
 CONTRACTS = {"model_a": FEATURES, "model_b": FEATURES_WITHOUT_WEATHER}

@@ -12,7 +12,7 @@ from ..operators.cleaning import apply_contract, clean_trips, restrict
 from ..operators.grid import neighbor_features, with_imbalance
 from ..operators.history import PROBS, future_value, labelled, latest_per, row_lags, snapshots, time_lags, weather_leads, weather_now
 from ..operators.slots import SLIDE, WINDOW, slot_metrics, trip_facts
-from ..schemas import FEATURES, KEYS, LAG_STEPS, LAGGED, LEAD_COLS, LEAD_STEPS
+from ..schemas import FEATURES, LAG_STEPS, LAGGED, LEAD_COLS, LEAD_STEPS
 from ..sources.sinks import written
 
 
@@ -34,7 +34,7 @@ def with_weather(slots: DataFrame, weather: DataFrame | None) -> DataFrame:
 def training_set(slots: DataFrame, edges: DataFrame, area: Column, weather: DataFrame | None = None, label_steps: int = 4, probs: Sequence[float] = PROBS, gridded: bool = True) -> DataFrame:
     """80 features, future_imbalance and label_6class. gridded: lags by row on gap-free slots; else by time.
 
-    The features are written once; cut points and rows are read from that table.
+    The features are written once, by a job that runs while the plan is built; cut points and rows are read from that table.
     """
     rows = with_weather(base_features(slots, edges, area), weather)
     rows = row_lags(rows) if gridded else time_lags(rows)
@@ -55,7 +55,3 @@ def inference_matrix(slots: DataFrame, edges: DataFrame, area: Column, weather:
 def inference_latest(history: DataFrame, edges: DataFrame, area: Column, weather: DataFrame | None = None) -> DataFrame:
     """Features of each zone's latest row, lags by row over its history."""
     return apply_contract(latest_per(with_weather(row_lags(base_features(history, edges, area)), weather)))
-
-
-def output_keys() -> list[str]:
-    return KEYS

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.clean import slot_ts
-from ..operators import cleaning, grid, history, marts
-from ..operators.slots import slot_metrics, trip_facts
+from ..operators import cleaning, grid, history, lifecycle, marts, model
+from ..operators.slots import panes, slot_metrics, trip_facts, windows
 from ..schemas import CYCLES, FEATURES, KEYS, LAG_STEPS, LAGGED, LEAD_COLS, LEAD_STEPS, STATS, WEATHER_COLS
 from ..sources import readers, sinks
 from ..sources.weather import normalize_weather, read_weather
@@ -178,6 +180,180 @@ def repaired_slots(spark, sf_dir):
     return rounded(cleaning.restrict(spark.read.parquet(path).drop("slot_day")))
 
 
+# Panes, pruned reads, tables of several schemas, databases, models, maps.
+
+def _width(n: int) -> str:
+    """Requests and pickups of windows of n panes, in SQL."""
+    slots = lambda ts, columns: f"SELECT PULocationID AS zone_id, window_end, {columns} FROM (SELECT *, {base._slots(ts, n)} FROM clean) GROUP BY ALL"
+    pickups = f"count(*) AS pickup_60m, count(*) FILTER (WHERE request_datetime >= window_end - INTERVAL '{15 * n} minutes') AS matched_rp, avg({base._DELAY}) AS m, stddev_samp({base._DELAY}) AS s"
+    return (f"SELECT {15 * n} AS minutes, zone_id, window_end, coalesce(requests_60m, 0) AS requests_60m, coalesce(pickup_60m, 0) AS pickup_60m, coalesce(matched_rp, 0) AS matched_rp, round(m, 6) AS pickup_delay_mean, round(coalesce(s, 0), 6) AS pickup_delay_std "
+            f"FROM ({slots('request_datetime', 'count(*) AS requests_60m')}) FULL JOIN ({slots('pickup_datetime', pickups)}) USING (zone_id, window_end)")
+
+
+@query(f"WITH {CLEAN} " + " UNION ALL ".join(map(_width, (1, 2, 4))))
+def pane_windows(spark, sf_dir):
+    """Slots of 15, 30 and 60 minutes from one table of panes, which is all that is made of the trips themselves."""
+    groups = ("request", "pickup")
+    made = sinks.written(panes(trip_facts(cleaning.clean_trips(base._trips(spark, sf_dir))), groups=groups))
+    columns = [*KEYS, "requests_60m", "pickup_60m", "matched_rp", "pickup_delay_mean", "pickup_delay_std"]
+    widths = [windows(made, places=n, groups=groups).select(F.lit(15 * n).alias("minutes"), *columns) for n in (1, 2, 4)]
+    return rounded(cleaning.union_all(widths))
+
+
+def _slot_table(spark, sf_dir, *columns):
+    """Gold partitioned by slot_day, with the slot in seconds beside, as jobs write it."""
+    path = f"{sinks.work_folder(spark)}/gold"
+    gold = base._gold(spark, sf_dir)
+    sinks.upsert(gold.select(*KEYS, *columns, sinks.slot_seconds().alias("slot_s")), path)
+    return path
+
+
+@query(f"WITH {GOLD} SELECT max(window_end) AS window_end FROM gold")
+def footer_latest_slot(spark, sf_dir):
+    """The latest slot by the footers of the files: no row is read."""
+    return readers.latest_slot(spark, _slot_table(spark, sf_dir, "requests_60m"))
+
+
+@query(ORACLE_SQL["lag_snapshots"])
+def pruned_snapshots(spark, sf_dir):
+    """The latest slot, from footers, and its two lag slots, from their own three days."""
+    path = _slot_table(spark, sf_dir, "requests_60m")
+    return history.snapshots(readers.read_table(spark, path), latest=readers.latest_slot(spark, path)).select(*KEYS, "step", "requests_60m")
+
+
+@query(ORACLE_SQL["target_slots"])
+def pruned_targets(spark, sf_dir):
+    """Slots that predictions aim at, read from their days."""
+    gold = readers.read_table(spark, _slot_table(spark, sf_dir, "requests_60m"))
+    targets = fixtures.predictions(gold).where("predicted_class = 5").select((F.col("window_end") + F.expr("INTERVAL 60 MINUTES")).alias("window_end"))
+    return history.rows_at(gold, targets, [*KEYS, "requests_60m"])
+
+
+@query(f"WITH {GOLD} SELECT zone_id, window_end, requests_60m, CASE WHEN zone_id > 100 THEN round(pickup_delay_mean, 6) END AS pickup_delay_mean, CASE WHEN zone_id > 180 THEN zone_id % 7 END AS source FROM gold")
+def merged_appends(spark, sf_dir):
+    """Three appends to one table, each with a column more than the last, one of them with a column of another type."""
+    path = f"{sinks.work_folder(spark)}/merged"
+    gold = sinks.written(cleaning.with_event_day(base._gold(spark, sf_dir).select(*KEYS, "requests_60m", "pickup_delay_mean"), "window_end"))
+    sinks.append_merged(gold.where("zone_id <= 100").drop("pickup_delay_mean"), path, sinks.DAY)
+    sinks.append_merged(gold.where("zone_id > 100 AND zone_id <= 180").withColumn("requests_60m", F.col("requests_60m").cast("int")), path, sinks.DAY)
+    sinks.append_merged(gold.where("zone_id > 180").withColumns({"source": F.col("zone_id") % 7, "requests_60m": F.col("requests_60m").cast("string")}), path, sinks.DAY)
+    return rounded(readers.read_table(spark, path, merge=True).select(*KEYS, "requests_60m", "pickup_delay_mean", "source"))
+
+
+def _database(spark) -> dict[str, str]:
+    """JDBC options by spark.tripflow.jdbc.*, or a database inside Spark's own process where that is unset and there is no other process."""
+    url = spark.conf.get("spark.tripflow.jdbc.url", None)
+    if url:
+        return {"url": url, **{k: v for k in ("driver", "user", "password") if (v := spark.conf.get(f"spark.tripflow.jdbc.{k}", None))}}
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.tripflow.jdbc.url to a database that all executors reach")
+    return {"url": "jdbc:derby:memory:tripflow;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@query(ORACLE_SQL["prediction_upsert"])
+def prediction_jdbc(spark, sf_dir):
+    """prediction_upsert through a database: staged in parallel, merged by key, read back in ranges of zones."""
+    rows = sinks.written(base._predictions(spark, sf_dir).withColumns({f"shadow_proba_{i}": F.lit(None).cast("double") for i in range(6)}))
+    jdbc = {**_database(spark), "dbtable": f"predictions_{uuid.uuid4().hex[:12]}"}
+    kinds = {"int": "INTEGER", "string": "VARCHAR(40)", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE PRECISION"}
+    columns = ", ".join(f'"{c}" {kinds[t]}{" NOT NULL" if c in KEYS else ""}' for c, t in rows.dtypes)
+    sinks.execute(spark, jdbc, [f'CREATE TABLE {jdbc["dbtable"]} ({columns}, PRIMARY KEY ("zone_id", "window_end"))'])
+    last = rows.agg(F.date_sub(F.max(F.to_date("window_end")), 1).alias("_from"))
+    again = rows.crossJoin(F.broadcast(last)).where("to_date(window_end) >= _from").drop("_from").withColumn("predicted_class", (5 - F.col("predicted_class")).cast("int"))
+    for batch in (rows, again, again):
+        sinks.upsert_jdbc(batch, jdbc)
+    found = sinks.written(readers.read_predictions(spark, jdbc=jdbc))
+    sinks.execute(spark, jdbc, [f'DROP TABLE {jdbc["dbtable"]}'])
+    return rounded(found)
+
+
+@query(f"WITH {fixtures.DUCK_TRIPS} SELECT CAST(PULocationID AS BIGINT) AS \"PULocationID\", CAST(DOLocationID AS BIGINT) AS \"DOLocationID\", request_datetime, shared_match_flag AS share_match_flag, shared_request_flag AS share_request_flag, round(base_passenger_fare, 6) AS base_passenger_fare, trip_time FROM trips WHERE {cleaning.VALID_STATS}")
+def projected_trips(spark, sf_dir):
+    """Trips written as the source's files are, read by the fixed schema, projected to 22 columns, valid ones only."""
+    path = f"{sinks.work_folder(spark)}/source"
+    trips = base._trips(spark, sf_dir)
+    sinks.write_training(trips.select(*[c for c in trips.columns if c != "trip_id"]), path)
+    found = readers.project_trips(readers.read_trips(spark, path))
+    return rounded(cleaning.valid_stats(found).select("PULocationID", "DOLocationID", "request_datetime", "share_match_flag", "share_request_flag", "base_passenger_fare", "trip_time"))
+
+
+@query(f"WITH {fixtures.DUCK_TRIPS}, {base._R} SELECT count(*) AS n_unmatched FROM r WHERE trip_id NOT IN (SELECT trip_id FROM response)")
+def unmatched_requests(spark, sf_dir):
+    t = base._trips(spark, sf_dir)
+    requests = lifecycle.dedup(cleaning.valid_requests(t).select("trip_id", "request_datetime"), ["trip_id"], "request_datetime")
+    return lifecycle.unmatched(requests, base._response(spark, sf_dir))
+
+
+@query(f"WITH {fixtures.DUCK_TRIPS}, twice AS (SELECT trip_id FROM trips UNION ALL SELECT trip_id FROM trips WHERE PULocationID % 50 = 0 UNION ALL SELECT trip_id FROM trips WHERE PULocationID % 100 = 0) SELECT trip_id, count(*) AS n FROM twice GROUP BY 1 HAVING count(*) > 1")
+def repeated_trips(spark, sf_dir):
+    """Trips of some zones given twice, and of some three times, found by their key."""
+    t = base._trips(spark, sf_dir).select("trip_id", "PULocationID")
+    return cleaning.duplicate_keys(t.unionAll(t.where("PULocationID % 50 = 0")).unionAll(t.where("PULocationID % 100 = 0")), ["trip_id"])
+
+
+_FLAGS = f"""weather_flags AS (SELECT g.zone_id, g.window_end, a.zone_id IS NOT NULL AND b.zone_id IS NOT NULL AND c.zone_id IS NOT NULL AND d.zone_id IS NOT NULL AS ok FROM labeled g LEFT JOIN weather a USING (zone_id, window_end)
+LEFT JOIN weather b ON b.zone_id = g.zone_id AND b.window_end = g.window_end + INTERVAL '15 minutes' LEFT JOIN weather c ON c.zone_id = g.zone_id AND c.window_end = g.window_end + INTERVAL '30 minutes' LEFT JOIN weather d ON d.zone_id = g.zone_id AND d.window_end = g.window_end + INTERVAL '45 minutes')"""
+
+
+@query(f"""WITH {LABELED}, {fixtures.DUCK_WEATHER}, {_FLAGS}, o AS (SELECT *, row_number() OVER (ORDER BY window_end, zone_id) AS r, count(*) OVER () AS n FROM weather_flags), v AS (SELECT * FROM o WHERE r > floor(n * 0.9)),
+s AS (SELECT count(*) FILTER (WHERE NOT ok) AS n_skipped FROM v)
+SELECT CASE WHEN ok THEN 'model_a' ELSE 'model_b' END AS used_model, count(*) AS n, count(*) FILTER (WHERE ok) AS n_shadow, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_unlike, any_value(n_skipped) AS n_skipped, CASE WHEN ok THEN 80 ELSE 55 END AS n_features, 1.0 AS importance FROM v, s GROUP BY ok""")
+def trained_scores(spark, sf_dir):
+    """Two models, with and without weather, fitted by class weights on the first nine tenths of slots, saved, loaded and applied to the last tenth.
+
+    Per model: rows, rows with a shadow class, rows whose probabilities aren't six shares of one, rows that the loaded model scores unlike the fitted one, rows that
+    model_a alone would skip, features of the contract, and the sum of their importances.
+    """
+    folder = sinks.work_folder(spark)
+    gold = base._gold_table(spark, sf_dir)
+    rows = features.training_set(grid.fill_grid(base._grid(gold), gold), grid.ring_edges(spark), base._area(), fixtures.weather(spark))
+    rows = sinks.written(history.time_split(rows))
+    train, rest = model.with_class_weight(rows.where("is_train")), rows.where("NOT is_train")
+    fitted = {name: model.fit(train, columns, trees=2, depth=3) for name, columns in model.CONTRACTS.items()}
+    loaded = {name: model.saved(m, f"{folder}/{name}") for name, m in fitted.items()}
+    score = lambda m: model.score(rest, m["model_a"], m["model_b"], m["model_a"], "1", "1", F.lit("2025-01-19 10:00:00").cast("timestamp"))
+    probas = [f"proba_{i}" for i in range(6)]
+    sound = (F.least(*probas) >= 0) & (F.abs(sum(F.col(p).cast("double") for p in probas) - 1) < 1e-5)
+    other = score(fitted).select(*KEYS, F.struct("predicted_class", "shadow_predicted_class", *probas).alias("other"))
+    both = score(loaded).join(other, KEYS)
+    unlike = F.struct("predicted_class", "shadow_predicted_class", *probas) != F.col("other")
+    out = both.groupBy("used_model").agg(F.count("*").alias("n"), F.count("shadow_predicted_class").alias("n_shadow"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("n_wrong"), F.count_if(unlike).alias("n_unlike"))
+    shares = cleaning.union_all([model.importance(m).agg(F.sum("share").alias("importance")).select(F.lit(name).alias("used_model"), F.lit(len(model.CONTRACTS[name])).alias("n_features"), "importance") for name, m in loaded.items()])
+    return rounded(out.crossJoin(F.broadcast(model.skipped(rest))).join(F.broadcast(shares), "used_model"))
+
+
+@query(f"WITH {PREDICTIONS}, l AS (SELECT * FROM predictions {base._LATEST}) SELECT zone_id, predicted_class IS NOT NULL AS has_prediction, {base._LABEL_CASE} AS demand_label, round(pred_confidence, 3) AS confidence, 'Polygon' AS shape, round(zone_id % 20 * 0.05 - 74.3, 6) AS lon, round(floor(zone_id / 20) * 0.05 + 40.4, 6) AS lat FROM (SELECT DISTINCT zone_id FROM gold) LEFT JOIN l USING (zone_id)")
+def zone_map_geometry(spark, sf_dir):
+    """Zones of one nested document over many lines, exploded, joined with the latest predictions and exported with their geometry."""
+    folder, gold = sinks.work_folder(spark), base._gold_table(spark, sf_dir, "requests_60m")
+    x, y = F.col("zone_id") % 20 * 0.05 - 74.3, F.floor(F.col("zone_id") / 20) * 0.05 + 40.4
+    ring = F.array(*[F.array(x + dx, y + dy) for dx, dy in ((0.0, 0.0), (0.04, 0.0), (0.04, 0.04), (0.0, 0.04), (0.0, 0.0))])
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(F.col("zone_id").cast("string").alias("LocationID"), F.lit("zone").alias("zone")).alias("properties"))
+    # At most one feature a zone, of which there are some hundreds.
+    document = cleaning.distinct_keys(gold, ["zone_id"]).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features")), {"pretty": "true"}).alias("value"))
+    document.write.text(f"{folder}/zones")
+    zones = readers.read_zone_features(spark, f"{folder}/zones")
+    sinks.write_zone_map(marts.zone_map_rows(zones, fixtures.predictions(gold)), f"{folder}/map")
+    # A feature's geometry is written as it was read: a text of its own.
+    p = F.from_json("value", "id int, geometry string, properties struct<has_prediction:boolean, demand_label:string, confidence:double>")
+    shape = F.from_json("d.geometry", "type string, coordinates array<array<array<double>>>")
+    found = spark.read.text(f"{folder}/map").select(p.alias("d")).select("d", shape.alias("g"))
+    corner = F.col("g.coordinates")[0][0]
+    return rounded(found.select(F.col("d.id").alias("zone_id"), "d.properties.*", F.col("g.type").alias("shape"), corner[0].alias("lon"), corner[1].alias("lat")))
+
+
+@query(f"WITH {PREDICTIONS} SELECT count(DISTINCT zone_id) AS prediction_count, max(window_end) AS latest_window FROM predictions {base._LATEST}")
+def map_properties(spark, sf_dir):
+    return marts.map_properties(base._predictions(spark, sf_dir))
+
+
+@query(f"WITH {GOLD}, {fixtures.DUCK_WEATHER} SELECT zone_id, window_end, round(coalesce(CASE WHEN zone_id % 3 = 0 THEN requests_60m - 50.0 END, temperature_2m), 6) AS temperature_2m, round(precipitation, 6) AS precipitation FROM gold LEFT JOIN weather USING (zone_id, window_end)")
+def own_weather(spark, sf_dir):
+    """Slots that have a measure of their own keep it; the rest is the table's."""
+    slots = base._gold(spark, sf_dir).select(*KEYS, F.when(F.col("zone_id") % 3 == 0, F.col("requests_60m") - 50.0).alias("temperature_2m"))
+    return rounded(history.weather_now(slots, fixtures.weather(spark), ["temperature_2m", "precipitation"]))
+
+
 _W = ", ".join(f"round({c}, 6) AS {c}" if c not in ("cloud_cover", "weather_code") else c for c in WEATHER_COLS)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import union_all
-from ..schemas import EVENT, TRIP
+from ..schemas import EVENT, TRIP, TRIP_PROJECTION
 
 
 def read_events(spark: SparkSession, source: str, options: Mapping[str, str] | None = None, streaming: bool = False, max_per_trigger: int | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def read_events(spark: SparkSession, source: str, options: Mapping[str, str] | N
     return reader.options(**options).text(source).select(F.col("value").alias("json_str"), F.col("_metadata.file_modification_time").alias("source_ts"))
 
 
-def parse_events(raw: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
+def parse_events(raw: DataFrame, schema: T.StructType | str = EVENT) -> DataFrame:
     """Payload columns; a text that isn't JSON gives a row of nulls."""
     return raw.select(F.from_json("json_str", schema).alias("d")).select("d.*")
 
@@ -39,8 +40,13 @@ def day_filter(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where(F.col("year").isin(*years) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def read_table(spark: SparkSession, path: str, streaming: bool = False, time_range: tuple[str, str, str] | None = None, max_files: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet table, as a stream with a file cap per trigger or as a batch restricted to (column, from, to)."""
+def read_table(spark: SparkSession, path: str, streaming: bool = False, time_range: tuple[str, str, str] | None = None, max_files: int | None = None, schema: T.StructType | None = None, merge: bool = False) -> DataFrame:
+    """A Parquet table, as a stream with a file cap per trigger or as a batch restricted to (column, from, to).
+
+    merge: the columns of all files, where later appends have brought some; reads every footer, so a known schema is cheaper.
+    """
+    if merge and not schema:
+        schema = spark.read.option("mergeSchema", "true").parquet(path).schema
     if streaming:
         reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
         return (reader.option("maxFilesPerTrigger", str(max_files)) if max_files else reader).parquet(path)
@@ -53,18 +59,52 @@ def read_table(spark: SparkSession, path: str, streaming: bool = False, time_ran
     return df
 
 
+def file_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose count, min and max of numbers and dates are read from the files' footers, without their rows.
+
+    Only Spark's newer reader pushes aggregates down, so this table alone is read by it.
+    """
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(key, ",".join(x for x in before.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def latest_slot(spark: SparkSession, path: str, ts: str = "window_end") -> DataFrame:
+    """One row (window_end): the latest slot of a table, from the footers' statistics of its slot_s (seconds since 1970) or, in a table without it, from a scan of ts."""
+    table = file_statistics(spark, path)
+    if "slot_s" not in table.columns:
+        return spark.read.parquet(path).agg(F.max(ts).alias("window_end"))
+    return table.agg(F.max("slot_s").alias("s")).select((F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s"))).alias("window_end"))
+
+
 def within(df: DataFrame, c: str, limits: DataFrame) -> DataFrame:
     """Rows whose c lies in the one-row frame (lo, hi) of another frame's bounds; nothing is collected."""
     return df.join(F.broadcast(limits), F.col(c).between(F.col("lo"), F.col("hi"))).select(*[df[x] for x in df.columns])
 
 
 def read_trips(spark: SparkSession, *paths: str) -> DataFrame:
+    """Trip files, folders or patterns of them, by the columns of TRIP; what a file lacks is null."""
     return spark.read.schema(TRIP).parquet(*paths)
 
 
+def project_trips(trips: DataFrame) -> DataFrame:
+    """The 22 columns that the batch plans use, zones as long, the two shared-ride flags under their short names."""
+    def column(c: str) -> Column:
+        kind = "bigint" if c.endswith("LocationID") else "string" if c.startswith("share_") else dict(trips.dtypes).get(c, "string")
+        return F.col(c.replace("share_", "shared_")).cast(kind).alias(c)
+
+    return trips.select(*[column(c) for c in TRIP_PROJECTION])
+
+
 def schema_groups(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """(schema, n_files, files): files by their schema; only footers are read."""
-    rows = [(f, spark.read.parquet(f).schema.simpleString()) for f in files]
+    with ThreadPoolExecutor(16) as pool:  # a footer is a small read; only its latency counts
+        rows = list(pool.map(lambda f: (f, spark.read.parquet(f).schema.simpleString()), files))
     return spark.createDataFrame(rows, "file string, schema string").groupBy("schema").agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("file")).alias("files"))
 
 
@@ -93,7 +133,7 @@ def first_non_empty(sources: Sequence[Callable[[], DataFrame]]) -> DataFrame:
 def read_predictions(spark: SparkSession, path: str | None = None, jdbc: Mapping[str, str] | None = None, n_partitions: int = 8) -> DataFrame:
     """Predictions from a Parquet table, or over JDBC in ranges of zone_id."""
     if jdbc:
-        options = {"partitionColumn": "zone_id", "lowerBound": "1", "upperBound": "264", "numPartitions": str(n_partitions)}
+        options = {"partitionColumn": "zone_id", "lowerBound": "1", "upperBound": "264", "numPartitions": str(n_partitions), "preferTimestampNTZ": "true"}
         return spark.read.format("jdbc").options(**options, **jdbc).load()
     return spark.read.parquet(path)
 

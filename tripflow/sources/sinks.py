@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +20,7 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder in the one that spark.checkpoint.dir names; a local one only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -33,10 +33,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, and as it is beyond. Counts no further, and at once."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def append(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def append_merged(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
+    """Appends rows whose columns may differ from the table's: new ones are added, absent ones stay null, and those of other types are cast.
+
+    A value that the table's type can't hold is an error, not a null. Read the table with ``merge``.
+    """
+    spark = df.sparkSession
+    have = {f.name.lower(): f for f in spark.read.option("mergeSchema", "true").parquet(path).schema} if exists(spark, path) else {}
+    fitted = [F.col(c).cast(have[c.lower()].dataType).alias(have[c.lower()].name) if c.lower() in have else F.col(c) for c in df.columns]
+    append(df.select(*fitted), path, partitions)
+
+
 def fan_out(batch: DataFrame, batch_id: int, tables: Mapping[str, str], routes: Callable[[DataFrame, str], DataFrame] = route) -> None:
     """One micro-batch of events to a table per kind, read once. Each batch overwrites its own part, so a repeat is harmless."""
     batch = batch.persist()
@@ -106,12 +122,9 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str] = KEYS, ts: str = "wind
         dated.unpersist()
 
 
-def delta_merge(df: DataFrame, table: str, keys: Sequence[str] = KEYS) -> None:
-    """MERGE for catalogs whose tables support it."""
-    view = f"updates_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(view)
-    on = " AND ".join(f"t.{k} <=> s.{k}" for k in keys)
-    df.sparkSession.sql(f"MERGE INTO {table} t USING {view} s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+def slot_seconds(ts: str = "window_end") -> Column:
+    """Seconds since 1970 of a time of day and year, whatever the session's zone: numbers have statistics in footers that times lack."""
+    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def create_if_absent(df: DataFrame, path: str) -> None:
@@ -160,6 +173,41 @@ def write_zone_map(rows: DataFrame, path: str) -> None:
     rows.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_predictions_jdbc(df: DataFrame, jdbc: Mapping[str, str]) -> None:
-    """Appends to a staging table; the database upserts from it."""
-    df.write.format("jdbc").mode("append").options(**jdbc).save()
+def execute(spark: SparkSession, jdbc: Mapping[str, str], statements: Sequence[str]) -> None:
+    """Statements in one transaction of a database, from the driver."""
+    jvm = spark.sparkContext._jvm
+    if "driver" in jdbc:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(jdbc["driver"])
+    options = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in jdbc:
+            options.setProperty(k, jdbc[k])
+    connection = jvm.java.sql.DriverManager.getConnection(jdbc["url"], options)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            statement = connection.createStatement()
+            statement.execute(text)
+            statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def upsert_jdbc(df: DataFrame, jdbc: Mapping[str, str], keys: Sequence[str] = KEYS, order: Sequence[str] = ()) -> None:
+    """Keyed upsert of a database table (option dbtable) with a primary key: rows go to a staging table in parallel, then one MERGE takes them over.
+
+    Repeating it changes nothing. A crash before the MERGE leaves the table as it was and a staging table behind.
+    """
+    table, staged = jdbc["dbtable"], f"staged_{uuid.uuid4().hex[:12]}"
+    rows = one_per_key(df, keys, order)
+    name = lambda c: f'"{c}"'
+    execute(df.sparkSession, jdbc, [f"CREATE TABLE {staged} AS SELECT {', '.join(map(name, rows.columns))} FROM {table} WITH NO DATA"])
+    rows.write.format("jdbc").mode("append").options(**{**jdbc, "dbtable": staged}).save()
+    on, rest = " AND ".join(f"t.{name(k)} = s.{name(k)}" for k in keys), [c for c in rows.columns if c not in keys]
+    merge = (f"MERGE INTO {table} t USING {staged} s ON {on} WHEN MATCHED THEN UPDATE SET {', '.join(f'{name(c)} = s.{name(c)}' for c in rest)} "
+             f"WHEN NOT MATCHED THEN INSERT ({', '.join(map(name, rows.columns))}) VALUES ({', '.join(f's.{name(c)}' for c in rows.columns)})")
+    execute(df.sparkSession, jdbc, [merge, f"DROP TABLE {staged}"])

@@ -6,12 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schemas import LAG_STEPS, N_ZONES, WEATHER, WEATHER_COLS
+from ..schemas import LAG_STEPS, N_ZONES, WEATHER, WEATHER_COLS, WEATHER_TYPES
 from .readers import first_non_empty
 
-_RAW = T.StructType([T.StructField({"zone_id": "LocationID", "window_end": "datetime"}.get(f.name, f.name), f.dataType) for f in WEATHER.fields])
+_RAW = WEATHER.replace("zone_id", "LocationID").replace("window_end", "datetime")
 
 
 def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +23,7 @@ def normalize_weather(df: DataFrame, zones: int = N_ZONES) -> DataFrame:
     out = df.withColumnsRenamed(names)
     if not {"zone_id", "window_end"} <= set(out.columns):
         return df.sparkSession.createDataFrame([], WEATHER)
-    types = {f.name: f.dataType for f in WEATHER.fields}
-    measures = [(F.col(c).try_cast("double").cast(types[c]) if c in out.columns else F.lit(None).cast(types[c])).alias(c) for c in WEATHER_COLS]
+    measures = [(F.col(c).try_cast("double").cast(WEATHER_TYPES[c]) if c in out.columns else F.lit(None).cast(WEATHER_TYPES[c])).alias(c) for c in WEATHER_COLS]
     keys = [F.col("zone_id").try_cast("double").cast("int").alias("zone_id"), F.col("window_end").try_cast("timestamp_ntz").alias("window_end")]
     return out.select(*keys, *measures).where(F.col("zone_id").between(1, zones) & F.col("window_end").isNotNull())
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.clean import metric_name, progress_epoch
@@ -17,10 +21,10 @@ class ProgressListener(StreamingQueryListener):
     """Appends each progress report to a table, and keeps which queries are active."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.active = spark, path, set()
+        self.spark, self.path, self.active, self.ended = spark, path, set(), set()
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
-        self.active.add(str(event.id))
+        self.active.add(str(event.runId))
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         progress_rows(self.spark, [event.progress.json]).write.mode("append").parquet(self.path)
@@ -29,7 +33,31 @@ class ProgressListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        self.active.discard(str(event.id))
+        self.active.discard(str(event.runId))
+        self.ended.add(str(event.runId))
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all reports of an ended query are written: its end is told after them."""
+        end = time.monotonic() + seconds
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > end:
+                raise TimeoutError("the listener wasn't told of the query's end")
+            time.sleep(0.05)
+
+
+@contextmanager
+def listening(spark: SparkSession, path: str) -> Iterator[ProgressListener]:
+    """A listener to all queries that run meanwhile."""
+    listener = ProgressListener(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def progress_rows(spark: SparkSession, reports: list[str | dict]) -> DataFrame:
@@ -47,8 +75,3 @@ def summary(progress: DataFrame) -> DataFrame:
 def operation_ms(progress: DataFrame) -> DataFrame:
     rows = progress.select("name", "batchId", F.explode("durationMs").alias("operation", "ms"))
     return rows.withColumn("operation", metric_name("operation"))
-
-
-def active_queries(spark: SparkSession) -> DataFrame:
-    rows = [(q.name, str(q.id), str(q.runId), int(q.isActive)) for q in spark.streams.active]
-    return spark.createDataFrame(rows, "name string, id string, run_id string, active int")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, lifecycle
+from ..operators.slots import trip_facts
 from ..plans import fixtures
 from ..plans import queries as batch
-from ..sources.sinks import start_append, work_folder
-from . import jobs
+from ..sources.readers import read_table
+from ..sources.sinks import DAY, append, encode_events, start_append, work_folder, written
+from . import jobs, progress
 
 
 def _trip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,23 @@ def _trip_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/lineitem.parquet"
     # As a pattern: a file stream takes a folder or a pattern, not the name of one file.
     lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
-    trips = fixtures.trips_of(lines)
-    return trips.select(*[F.col(c).cast("timestamp").alias(c) if c.endswith("_datetime") else F.col(c) for c in trips.columns])
+    return _instants(fixtures.trips_of(lines))
+
+
+def _instants(df: DataFrame, kind: str = "timestamp") -> DataFrame:
+    """df with its times as instants, or back as times of day and year (timestamp_ntz)."""
+    return df.withColumns({c: F.col(c).cast(kind) for c, t in df.dtypes if t.startswith("timestamp")})
+
+
+def _trip_table(spark: SparkSession, sf_dir: str, folder: str, files: int) -> str:
+    """Clean trips as a table of so many files, for streams that take some files a batch."""
+    path = f"{folder}/trips"
+    _instants(cleaning.clean_trips(fixtures.trips(spark, sf_dir))).repartition(files, "trip_id").write.parquet(path)
+    return path
+
+
+def _gold_of(spark: SparkSession, path: str) -> DataFrame:
+    return batch.rounded(_instants(cleaning.restrict(spark.read.parquet(path).drop("slot_day")), "timestamp_ntz"))
 
 
 def stream_slot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +45,7 @@ def stream_slot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark)
     slots = jobs.slot_stream(cleaning.clean_trips(_trip_stream(spark, sf_dir)), delay="30 days")
     jobs.upsert_slots(slots, f"{folder}/gold", f"{folder}/state").awaitTermination()
-    gold = spark.read.parquet(f"{folder}/gold").drop("slot_day").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
-    return batch.rounded(cleaning.restrict(gold))
+    return _gold_of(spark, f"{folder}/gold")
 
 
 def stream_response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +75,109 @@ def stream_complete_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("pickup_datetime", "dropoff_datetime")})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_slot_metrics, stream_response_join, stream_complete_join)}
-ORACLE_SQL: dict[str, str] = {"stream_slot_metrics": batch.ORACLE_SQL["slot_metrics_all"], "stream_response_join": batch.ORACLE_SQL["response_join"], "stream_complete_join": batch.ORACLE_SQL["complete_join"]}
+def stream_restarted_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a stream that is stopped half way, between two micro-batches, and resumed from its checkpoint; state in RocksDB."""
+    folder = work_folder(spark)
+    path = _trip_table(spark, sf_dir, folder, 4)
+    with jobs.state_settings(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        slots = lambda: jobs.slot_stream(read_table(spark, path, streaming=True, max_files=2), delay="30 days")
+        # The second batch would begin an hour later, so the query stops between the two.
+        jobs.stop_after(jobs.upsert_slots(slots(), f"{folder}/gold", f"{folder}/state", trigger="1 hour"), batches=1)
+        jobs.upsert_slots(slots(), f"{folder}/gold", f"{folder}/state").awaitTermination()
+    return _gold_of(spark, f"{folder}/gold")
+
+
+_SPAN = 432_000  # seconds of a part: trips arrive in parts by the time of their end, and some of them a part later
+_LATE = "PULocationID % 7 = 0 AND day(dropoff_datetime) % 5 = 0"
+
+
+def _arrivals(trips: DataFrame) -> DataFrame:
+    """arrival: the part that a trip comes in."""
+    start = F.unix_timestamp(F.lit(fixtures.START).cast("timestamp"))
+    return trips.withColumn("arrival", F.floor((F.unix_timestamp("dropoff_datetime") - start) / _SPAN) + F.expr(f"CASE WHEN {_LATE} THEN 1 ELSE 0 END"))
+
+
+def stream_late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day: requests in the slots of a stream with a watermark of five minutes, requests in the repaired slots, and slots mended.
+
+    Trips come in parts, each taken by a new start from the same checkpoint. Rows within the watermark change their windows again; those
+    beyond it are dropped by the stream, and the days of the windows that they missed are then made anew from all trips.
+    """
+    folder = work_folder(spark)
+    gold = f"{folder}/gold"
+    _arrivals(_instants(cleaning.clean_trips(fixtures.trips(spark, sf_dir)))).write.partitionBy("arrival").parquet(f"{folder}/trips")
+    trips = spark.read.parquet(f"{folder}/trips")
+    last = trips.agg(F.max("arrival")).first()[0]
+    marks = [None]  # the watermark that each part meets
+    for i in range(0 if last is None else last + 1):
+        append(trips.where(F.col("arrival") == i).drop("arrival"), f"{folder}/arrived")
+        arrived = read_table(spark, f"{folder}/arrived", streaming=True, schema=trips.drop("arrival").schema)
+        query = jobs.upsert_slots(jobs.slot_stream(arrived), gold, f"{folder}/state")
+        query.awaitTermination()
+        marks.append(jobs.watermark_of(query) or marks[-1])
+    requests = lambda: cleaning.restrict(spark.read.parquet(gold)).select("zone_id", "window_end", "requests_60m")
+    before = written(requests().withColumnRenamed("requests_60m", "before"))
+    mark = F.get(F.array(*[F.lit(m).cast("timestamp") for m in marks]), F.col("arrival").cast("int"))
+    times = F.explode(F.array("request_datetime", "pickup_datetime", "dropoff_datetime"))
+    jobs.repair_days(trips, gold, jobs.late_days(trips.select(times.alias("ts"), mark.alias("watermark")), "watermark"))
+    slots = requests().join(before, ["zone_id", "window_end"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    days = slots.groupBy(F.to_date("window_end").alias("day")).agg(F.sum("before").alias("requests_before"), F.sum("requests_60m").alias("requests_after"), F.count_if(F.col("before") != F.col("requests_60m")).alias("mended"))
+    return days.where("requests_after > 0")
+
+
+def stream_static_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of pickups joined, batch by batch, with those days of a table of requests that the batch needs."""
+    folder = work_folder(spark)
+    trips = _instants(fixtures.trips(spark, sf_dir))
+    requests = lifecycle.dedup(cleaning.valid_requests(trips).select("trip_id", "request_datetime", "PULocationID", "DOLocationID"), ["trip_id"], "request_datetime")
+    append(cleaning.with_event_day(requests, "request_datetime").repartition(*DAY), f"{folder}/requests", DAY)
+    pickups = cleaning.valid_pickups(trips).select("trip_id", "pickup_datetime", "PULocationID")
+    pickups.repartitionByRange(4, "pickup_datetime").write.parquet(f"{folder}/pickups")
+    stream = lifecycle.dedup(read_table(spark, f"{folder}/pickups", streaming=True, max_files=1), ["trip_id"], "pickup_datetime", "30 days")
+    jobs.static_enrich(stream, f"{folder}/requests", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _instants(spark.read.parquet(f"{folder}/out").select("trip_id", "request_datetime", "pickup_datetime"), "timestamp_ntz")
+
+
+def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages taken some files a batch to a table per kind; the last batch runs twice under its id, as after a crash, and adds nothing."""
+    folder = work_folder(spark)
+    encode_events(fixtures.trips(spark, sf_dir)).select(F.col("value").alias("json_str")).repartition(6).write.parquet(f"{folder}/raw")
+    tables = {kind: f"{folder}/{kind}" for kind in ("request", "pickup", "dropoff")}
+    take = lambda: jobs.ingest(read_table(spark, f"{folder}/raw", streaming=True, max_files=2), tables, f"{folder}/state").awaitTermination()
+    take()
+    jobs.repeat_last_batch(spark, f"{folder}/state")
+    take()
+    counts = [spark.read.parquet(path).groupBy(F.lit(kind).alias("kind"), *DAY).agg(F.count("*").alias("n")) for kind, path in tables.items()]
+    return cleaning.union_all(counts)
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read and rows of state of a running query, by the reports that its listener has written."""
+    folder = work_folder(spark)
+    slots = jobs.slot_stream(cleaning.clean_trips(_trip_stream(spark, sf_dir)), delay="30 days")
+    with progress.listening(spark, f"{folder}/reports") as listener:
+        query = slots.writeStream.queryName("progress").format("noop").outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.wait(query)
+    reports = progress.summary(progress.read(spark, f"{folder}/reports")).where(F.col("runId") == str(query.runId))
+    return reports.groupBy("name").agg(F.sum("input_rows").alias("input_rows"), F.max_by("state_rows", "batchId").alias("state_rows"))
+
+
+_LATE_SQL = f"""WITH {batch.CLEAN}, a AS (SELECT *, CAST(floor(date_diff('second', TIMESTAMP '{fixtures.START}', dropoff_datetime) / {_SPAN}) AS BIGINT) + CASE WHEN {_LATE} THEN 1 ELSE 0 END AS arrival FROM clean),
+marks AS (SELECT p.arrival, max(a.dropoff_datetime) - INTERVAL '5 minutes' AS mark FROM (SELECT DISTINCT arrival FROM a) p LEFT JOIN a ON a.arrival < p.arrival GROUP BY 1),
+pairs AS (SELECT PULocationID AS zone_id, arrival, {batch._slots('request_datetime')} FROM a),
+slots AS (SELECT zone_id, window_end, count(*) AS n, count(*) FILTER (WHERE mark IS NULL OR window_end > mark) AS before FROM pairs JOIN marks USING (arrival) GROUP BY ALL)
+SELECT CAST(window_end AS DATE) AS day, CAST(sum(before) AS BIGINT) AS requests_before, CAST(sum(n) AS BIGINT) AS requests_after, count(*) FILTER (WHERE before <> n) AS mended FROM slots GROUP BY 1"""
+
+_STATE_SQL = f"""WITH {batch.CLEAN}, facts AS (SELECT PULocationID AS zone, request_datetime AS t FROM clean UNION ALL SELECT PULocationID, pickup_datetime FROM clean UNION ALL SELECT DOLocationID, dropoff_datetime FROM clean UNION ALL SELECT PULocationID, dropoff_datetime FROM clean WHERE {cleaning.VALID_STATS}),
+state AS (SELECT DISTINCT zone, {batch._slots('t')} FROM facts)
+SELECT 'progress' AS name, (SELECT count(*) FROM lineitem) AS input_rows, (SELECT count(*) FROM state) AS state_rows"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (stream_slot_metrics, stream_response_join, stream_complete_join, stream_restarted_slots, stream_late_repair, stream_static_enrich, stream_fan_out, stream_progress)
+}
+ORACLE_SQL: dict[str, str] = {
+    "stream_slot_metrics": batch.ORACLE_SQL["slot_metrics_all"], "stream_response_join": batch.ORACLE_SQL["response_join"], "stream_complete_join": batch.ORACLE_SQL["complete_join"],
+    "stream_restarted_slots": batch.ORACLE_SQL["slot_metrics_all"], "stream_late_repair": _LATE_SQL, "stream_static_enrich": batch.ORACLE_SQL["response_join"],
+    "stream_fan_out": batch.ORACLE_SQL["event_route"], "stream_progress": _STATE_SQL,
+}
