@@ -1,4 +1,4 @@
-"""Cuckoo index, prefix trie and fill-in-middle against brute force, on small fixtures and the smallest tables."""
+"""Cuckoo index, prefix trie and fill-in-middle against brute force, on small fixtures and the smallest tables; wrong spans and bounds of samples."""
 
 import glob
 import hashlib
@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.llm import cuckoo_index, fill_in_middle, prefix_trie, queries
+from tripflow.llm import cuckoo_index, fill_in_middle, pairwise_quality, ppm_language, prefix_trie, queries, suffix_dedup
 from tripflow.llm._spark import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +207,25 @@ def test_chunks_follow_content():
     chunks = [data[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
     repeats = sum(len(c) * (n - 1) for c, n in Counter(chunks).items())
     assert repeats > 0.9 * len(body)
+
+
+# Passages that differ in one word, and samples of rows whose ids say nothing.
+
+@pytest.mark.parametrize("hot", [100_000, 1_000])
+def test_no_spans_where_nothing_repeats(spark, hot):
+    """49 words that all texts share and one of their own: no passage of 50 words occurs twice."""
+    shared = " ".join(f"w{i}" for i in range(49))
+    for text in (F.concat(F.lit(shared + " own"), F.col("id")), F.concat(F.lit("own"), F.col("id"), F.lit(" " + shared))):
+        docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+        assert suffix_dedup.spans(docs, hot_rows=hot).count() == 0
+
+
+def test_samples_of_rows_without_ids(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    assert 850 < ppm_language.drawn(rows).count() < 1_150
+    same = rows.withColumn("text", F.lit("one text"))
+    assert ppm_language.drawn(same).count() <= 1 and ppm_language.drawn(same, 20_000).count() == 1
+    repeated = rows.withColumn("doc_id", F.lit(7).cast("long"))
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    assert 850 < pairwise_quality.drawn(repeated, labels, 1_000).count() < 1_150
+    assert pairwise_quality.drawn(rows, labels).count() == 0

@@ -113,13 +113,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(labelled: DataFrame, rows_per_language: int = 1000) -> Trees:
-    """labelled: doc_id, text, lang of the rows to learn from."""
+def drawn(labelled: DataFrame, rows_per_language: int = 1000) -> DataFrame:
+    """lang and text of about so many rows of each language, by a hash of doc_id and text, so that null and repeated ids are drawn row by row.
+
+    Rows equal in both are drawn together, as one.
+    """
     rows = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(rows_per_language)) / F.col("count") * 2**31).alias("limit"))
     # The shares meet the rows before any shuffle if there are few languages, so texts stay where they are read.
-    picked = rows.join(sized(share, LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.col("limit")).select("lang", "text")
+    picked = rows.join(sized(share, LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)) < F.col("limit"))
+    return picked.groupBy("lang", "doc_id", F.sha2("text", 256)).agg(F.any_value("text").alias("text")).select("lang", "text")
+
+
+def train(labelled: DataFrame, rows_per_language: int = 1000) -> Trees:
+    """labelled: doc_id, text, lang of the rows to learn from, of which drawn() takes some."""
+    picked = drawn(labelled, rows_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,14 +2,14 @@
 
 Suffixes start at words. Only those at minimisers are kept: in every ``width`` consecutive starts the one whose four words
 hash least, so two equal passages of ``min_words`` keep the same suffixes wherever they stand. A suffix's first
-min_words - width + 1 words make its key. Each further word to the right, and each word to the left, has a code of 24 bits
-that depends on all words between it and the suffix's start too, so that equal codes mean equal words up to there. Spark deals
-suffixes by key and sorts them by key and codes to the right: a suffix array of each key, its words in the order of their
+min_words - width + 1 words make its key. Each further word to the right, and each word to the left, has a code of 16 bits
+that depends on all words between it and the suffix's start too: codes say which passages to compare. Each passage that the suffix
+stands for has 32 bits of a hash of its own words beside, which decide. Spark deals suffixes by key and sorts them by key and codes to the right: a suffix array of each key, its words in the order of their
 codes (any total order of words serves). Neighbours are compared code by code; the length of their common prefix tells for
 every depth which suffixes agree that far right. Matches are then extended to the left, word by word, among
 those that still agree on enough words to the right. Overlapping repeats of a document join to maximal spans.
 
-A passage is taken for equal wrongly only if keys of 64 bits collide, or a word at the passage's edge by 24 bits.
+Passages of one key that differ are taken for equal only if both a 16-bit code at their edge and their 32-bit hashes collide.
 
 Wholly equal suffixes inside one Arrow batch are matched there and only one of them is sorted with the rest, so a passage that a
 third of all rows hold reaches the sort once per batch. Keys are counted first: a phrase that starts more than ``hot_rows``
@@ -31,7 +31,7 @@ from ._spark import Tables, key_runs, released, sized
 
 #: Crowded keys that may be broadcast (8 bytes each).
 BROADCAST_KEYS = 1_000_000
-_CODE = 3  # bytes of a word's code
+_CODE, _CHECK = 2, 4  # bytes of a word's code and of a passage's hash
 
 
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -64,37 +64,48 @@ def _packed(codes: np.ndarray, extent: np.ndarray) -> pa.Array:
 
 def _unpacked(column: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of each row, padded to ``most``, and their number."""
+    return _matrix(column, np.uint16, most)
+
+
+def _matrix(column: pa.Array, kind: type, most: int) -> tuple[np.ndarray, np.ndarray]:
     raw, edges = X.flat(column)
-    extent = np.diff(edges) // _CODE
-    wide = np.zeros((len(raw) // _CODE, 4), dtype=np.uint8)
-    wide[:, :_CODE] = raw.reshape(-1, _CODE)
-    out = np.zeros((len(extent), most), dtype=np.uint32)
-    out[np.arange(most) < extent[:, None]] = wide.view(np.uint32).ravel()
+    extent = np.diff(edges) // np.dtype(kind).itemsize
+    out = np.zeros((len(extent), most), dtype=kind)
+    out[np.arange(most) < extent[:, None]] = np.frombuffer(raw.tobytes(), kind)
     return out, extent
 
 
 def _suffixes(data: np.ndarray, offsets: np.ndarray, min_words: int, width: int) -> tuple[np.ndarray, ...]:
-    """Of each kept suffix: row, first passage that it stands for, their number, key, hash of all its words; then codes and extent to the left and right."""
+    """Of each kept suffix: row, first passage that it stands for, their number, key, hash of all its words; codes and extent to the left and right. Last, hashes of all passages, in the suffixes' order."""
     starts, ends, first = X.spans(data, offsets, X.NOT_SPACE)
     word = X.span_hash(data, starts, ends)
     begin, row = X.grams_in_rows(first, min_words)
     most = width - 1
     if not len(begin):
         none, codes = np.empty(0, np.int64), np.empty((0, most, _CODE), np.uint8)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), codes, none, codes, none
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), codes, none, codes, none, np.empty(0, np.uint32)
     anchor = minimisers(X.gram_hash(word, 4), width)[begin]
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     count = np.diff(np.append(new, len(begin)))
+    checks = _passage_hash(word, begin, min_words)
     row, begin, anchor = row[new], begin[new], anchor[new]
     key = X.gram_hash(word, min_words - most)[anchor]
     to_left, to_right = anchor - begin, most - (anchor - begin) + count - 1
     left, left_hash = _codes_of(word, anchor - 1, -1, key, to_left, most)
     right, right_hash = _codes_of(word, anchor + min_words - most, 1, key, to_right, most)
     whole = X.mix(left_hash + X.mix(right_hash + (to_left * width + to_right).astype(np.uint64)))
-    return row, begin - first[row], count, key, whole, left, to_left, right, to_right
+    return row, begin - first[row], count, key, whole, left, to_left, right, to_right, checks
+
+
+def _passage_hash(word: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of a hash of the n words from each begin on."""
+    power, inverse = X._powers(len(word) + 1)
+    total = np.zeros(len(word) + 1, dtype=np.uint64)
+    np.cumsum(X.mix(word) * power[:-1], dtype=np.uint64, out=total[1:])
+    return (X.mix((total[begin + n] - total[begin]) * inverse[begin]) >> np.uint64(32)).astype(np.uint32)
 
 
-def _repeats(key: np.ndarray, left: np.ndarray, to_left: np.ndarray, right: np.ndarray, to_right: np.ndarray) -> np.ndarray:
+def _repeats(key: np.ndarray, left: np.ndarray, to_left: np.ndarray, right: np.ndarray, to_right: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """Of suffixes in order, whether the passage that begins width - 1 - j words left of the suffix is a neighbour's too, for j from 0 to width - 1."""
     most = right.shape[1]
     same = (np.arange(most) < np.minimum(to_right[1:], to_right[:-1])[:, None]) & (right[1:] == right[:-1])
@@ -108,7 +119,7 @@ def _repeats(key: np.ndarray, left: np.ndarray, to_left: np.ndarray, right: np.n
             grown = X.mix(grown + left[:, i - 1])
         at = np.flatnonzero((to_left >= i) & (to_right >= most - i))
         agree = np.cumsum(common < most - i)[at]
-        both = X.mix(grown[at] + X.mix(agree.astype(np.uint64)))
+        both = X.mix(grown[at] + X.mix(agree.astype(np.uint64) << np.uint64(32) | checks[at, to_left[at] - i]))
         order = np.argsort(both, kind="stable")
         twice = both[order][1:] == both[order][:-1]
         out[at[order[1:][twice]], most - i] = out[at[order[:-1][twice]], most - i] = True
@@ -133,22 +144,24 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int =
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            parts = []
+            parts: list[tuple] = []
             for lo, _, data, offsets in X.blocks(batch.column(1)):
                 row, *rest = _suffixes(data, offsets, min_words, width)
                 parts.append((row + lo, *rest))
             if not parts:
                 continue
-            row, begin, count, key, whole, left, to_left, right, to_right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row, begin, count, key, whole, left, to_left, right, to_right, checks = (np.concatenate(x) for x in zip(*parts, strict=True))
             # Suffixes equal in all words that they carry repeat each other: known here, as spans with key null. One of them goes on.
             _, once, which, copies = np.unique(whole ^ key, return_index=True, return_inverse=True, return_counts=True)
             known = np.flatnonzero(copies[which] > 1)
             if len(known):
-                yield _batch(None, ids.take(pa.array(row[known])), begin[known], count[known], None, None)
+                yield _batch(None, ids.take(pa.array(row[known])), begin[known], count[known], None, None, None)
             once.sort()
-            yield _batch(key[once].view(np.int64), ids.take(pa.array(row[once])), begin[once], count[once], _packed(left[once], to_left[once]), _packed(right[once], to_right[once]))
+            edges = np.append(0, np.cumsum(count * _CHECK)).astype(np.int32)
+            hashes = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(checks.tobytes())]).take(pa.array(once))
+            yield _batch(key[once].view(np.int64), ids.take(pa.array(row[once])), begin[once], count[once], _packed(left[once], to_left[once]), _packed(right[once], to_right[once]), hashes)
 
-    schema = "key long, doc_id long, begin int, n int, left binary, right binary"
+    schema = "key long, doc_id long, begin int, n int, left binary, right binary, checks binary"
     kept = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: released(keep(batches)), schema)
     tables = Tables(docs.sparkSession, "suffixes")
     hot = tables.save(kept.where("key is not null").groupBy("key").count().where(F.col("count") > hot_rows).select("key"))
@@ -169,9 +182,9 @@ def spans(docs: DataFrame, min_words: int = 50, width: int = 32, hot_rows: int =
             table = table.filter(pa.array(np.append(alike, False) | np.append(False, alike)) if len(key) else pa.array([], pa.bool_()))
             if not len(table):
                 continue
-            key, ids, begin, _, left, right = (c.combine_chunks() for c in table.columns)
+            key, ids, begin, _, left, right, checks = (c.combine_chunks() for c in table.columns)
             (left, to_left), (right, to_right) = _unpacked(left, width - 1), _unpacked(right, width - 1)
-            row, a, b = _runs(_repeats(key.to_numpy(), left, to_left, right, to_right))
+            row, a, b = _runs(_repeats(key.to_numpy(), left, to_left, right, to_right, _matrix(checks, np.uint32, width)[0]))
             start = (begin.to_numpy() + to_left - width + 1)[row]
             yield _spans(ids.take(pa.array(row)), start + a, start + b + min_words)
 
@@ -196,8 +209,10 @@ def _crowded(crowd: DataFrame, tables: Tables, min_words: int, width: int) -> Da
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (left, to_left), (right, to_right) = (_unpacked(batch.column(i), most) for i in (4, 5))
+            checks = _matrix(batch.column(6), np.uint32, most + 1)[0]
             row, far = np.nonzero((np.arange(most + 1) <= to_left[:, None]) & (most - np.arange(most + 1) <= to_right[:, None]))
-            passage = X.mix(grown(left)[row, far] + X.mix(grown(right)[row, most - far] + far.astype(np.uint64)))
+            own = checks[row, to_left[row] - far].astype(np.uint64)
+            passage = X.mix(grown(left)[row, far] + X.mix(grown(right)[row, most - far] + (own << np.uint64(8) | far.astype(np.uint64))))
             place = (batch.column(2).to_numpy() + to_left)[row] - far
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(2)), pa.array(passage.view(np.int64)), pa.array(place.astype(np.int32))], ["key", "doc_id", "passage", "start_word"])
 
@@ -226,10 +241,10 @@ def merged(found: DataFrame) -> DataFrame:
     return each.mapInArrow(join, "doc_id long, start_word int, end_word int")
 
 
-def _batch(key, ids, begin, count, left, right) -> pa.RecordBatch:
+def _batch(key, ids, begin, count, *codes) -> pa.RecordBatch:
     n = len(ids)
-    columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key), ids, pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.nulls(n, pa.binary()) if c is None else c for c in (left, right))]
-    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "begin", "n", "left", "right"])
+    columns = [pa.nulls(n, pa.int64()) if key is None else pa.array(key), ids, pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.nulls(n, pa.binary()) if c is None else c for c in codes)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "begin", "n", "left", "right", "checks"])
 
 
 def _spans(ids, begin, end) -> pa.RecordBatch:
