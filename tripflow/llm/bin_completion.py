@@ -258,14 +258,16 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = tables.save(pieces(docs, capacity, end_id, vocabulary)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # Numbered as they are written, so that wholly equal rows spread over the buckets, too.
+    numbered = pieces(docs, capacity, end_id, vocabulary).withColumn("row", F.monotonically_increasing_id())
+    cut = tables.save(numbered).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").count()
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     # At most one pattern ends each length's count, and a pattern has at most sqrt(2 * capacity) different lengths.
     layout = spark.createDataFrame(places(plan(by_length, capacity)), "length long, low long, high long, base long, m long, at long")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = cut.withColumn("n", F.row_number().over(inside)).join(begins, ["length", "bucket"]).withColumn("rank", F.col("begin") + F.col("n") - 1)
     l = F.broadcast(layout).alias("l")
     found = ranked.alias("r").join(l, (F.col("r.length") == F.col("l.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
