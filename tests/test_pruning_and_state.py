@@ -58,7 +58,7 @@ def test_panes_are_windows(spark):
     trips = fixtures.trips(spark, SF).where("PULocationID <= 40")
     trips = trips.withColumn("tips", F.when(F.col("trip_miles") < 5, None).otherwise(F.col("tips"))).withColumn("pickup_datetime", F.expr("CASE WHEN PULocationID < 9 THEN request_datetime + INTERVAL 7 SECONDS ELSE pickup_datetime END"))
     facts = trip_facts(trips)
-    groups = ("request", "pickup", "pickup_recent", "dropoff", "dropoff_recent", "stats", "stats_spread")
+    groups = ("request", "pickup", "pickup_recent", "dropoff", "dropoff_recent", "stats")
     for window, slide, n, by in (("60 minutes", "15 minutes", 4, ("zone_id",)), ("120 minutes", "30 minutes", 4, ()), ("30 minutes", "5 minutes", 6, ("zone_id",)), ("1 hour", "1 hour", 1, ())):
         direct = facts.withColumn("window", F.window("ts", window, slide)).groupBy(*by, "window").agg(*[c for g in groups for c in metric_columns(slide)[g]])
         direct = direct.select(*by, F.col("window.end").alias("window_end"), *[c for c in direct.columns if c not in (*by, "window")])

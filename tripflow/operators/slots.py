@@ -80,7 +80,6 @@ def _kinds(groups: Sequence[str]) -> list[str]:
 
 
 GROUPS = ("request", "pickup", "dropoff", "stats")
-_SPREAD = ["congestion_surcharge", "airport_fee"]
 #: Whether a fact's request lies in the window depends on the pane's place there, so these are counted for every place.
 _PLACED = {"pickup": ["matched_rp"], "dropoff": ["matched_rd"], "dropoff_recent": ["matched_rd_same_zone"]}
 
@@ -94,9 +93,6 @@ def panes(facts: DataFrame, slide: str = SLIDE, places: int = 4, groups: Sequenc
         before = [F.col("request_ts") >= F.col("pane.start") - F.make_dt_interval(secs=F.lit(o * _seconds(slide))) for o in range(places)]
         return [F.count(F.when((F.col("kind") == kind) & b & more, 1)).alias(f"{name}_{o}") for o, b in enumerate(before)]
 
-    def moments(c: str) -> Column:
-        return F.struct(F.count(c).cast("double").alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2")).alias(f"{c}_moments")
-
     columns = {
         "request": [F.count(_of("request")).alias("requests_60m"), total("request", "wav").alias("wav_req"), total("request", "aar").alias("aar_req"), total("request", "share").alias("share_req"), total("request", "uber").alias("uber_req")],
         "pickup": [F.count(_of("pickup")).alias("pickup_60m"), F.count(delay).alias("delay_n"), F.sum(delay).alias("delay_sum"), F.sum(delay * delay).alias("delay_squares"), *placed("pickup", "matched_rp"), total("pickup", "wav").alias("wav_match"), total("pickup", "share").alias("share_match")],
@@ -104,7 +100,6 @@ def panes(facts: DataFrame, slide: str = SLIDE, places: int = 4, groups: Sequenc
         "dropoff": [F.count(_of("dropoff")).alias("dropoff_60m"), *placed("dropoff", "matched_rd")],
         "dropoff_recent": placed("dropoff", "matched_rd_same_zone", F.col("same_zone") == 1),
         "stats": [f(c).alias(f"{n}_{part}") for n, c in STATS.items() for part, f in (("sum", F.sum), ("n", F.count))],
-        "stats_spread": [moments(c) for c in _SPREAD],
     }
     kinds = _kinds(groups)
     mine = facts if len(kinds) == 4 else facts.where(F.col("kind").isin(kinds))
@@ -131,15 +126,6 @@ def windows(of: DataFrame, slide: str = SLIDE, places: int = 4, groups: Sequence
     n = F.sum("delay_n")
     summed = lambda *names: [F.sum(c).alias(c) for c in names]
 
-    def merged(c: str) -> Column:
-        """The standard deviation of all panes' values, from their moments; a window has ``places`` panes at most."""
-        def add(x: Column, y: Column) -> Column:
-            n, d = x["n"] + y["n"], y["mean"] - x["mean"]
-            return F.when(y["n"] == 0, x).when(x["n"] == 0, y).otherwise(F.struct(n.alias("n"), (x["mean"] + d * y["n"] / n).alias("mean"), (x["m2"] + y["m2"] + d * d * x["n"] * y["n"] / n).alias("m2")))
-
-        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mean", "m2")])
-        return F.aggregate(F.collect_list(f"{c}_moments"), zero, add, lambda x: F.when(x["n"] > 1, F.sqrt(x["m2"] / (x["n"] - 1)))).alias(f"std_{c}")
-
     columns = {
         "request": summed("requests_60m", "wav_req", "aar_req", "share_req", "uber_req"),
         "pickup": [*summed("pickup_60m"), F.try_divide(F.sum("delay_sum"), n).alias("pickup_delay_mean"), F.when(n > 1, F.sqrt(squares.cast("double") / n / (n - 1))).otherwise(0.0).alias("pickup_delay_std"), *summed("matched_rp", "wav_match", "share_match")],
@@ -147,7 +133,6 @@ def windows(of: DataFrame, slide: str = SLIDE, places: int = 4, groups: Sequence
         "dropoff": summed("dropoff_60m", "matched_rd"),
         "dropoff_recent": summed("dropoff_15m", "matched_rd_same_zone"),
         "stats": [F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(c) for c in STATS],
-        "stats_spread": [merged(c) for c in _SPREAD],
     }
     return rows.groupBy(*by, "window_end").agg(*[c for g in groups for c in columns[g]])
 
@@ -155,10 +140,10 @@ def windows(of: DataFrame, slide: str = SLIDE, places: int = 4, groups: Sequence
 def slot_metrics(facts: DataFrame, window: str = WINDOW, slide: str = SLIDE, groups: Sequence[str] = GROUPS, by: Sequence[str] = ("zone_id",)) -> DataFrame:
     """One row per key and slot with any fact of these groups; counts are 0 and means null where a group has none.
 
-    Of a stream, or where the window isn't a multiple of the slide, facts are aggregated by windows at once.
+    Of a stream, for spreads of amounts, or where the window isn't a multiple of the slide, facts are aggregated by windows at once.
     """
     places, rest = divmod(_seconds(window), _seconds(slide))
-    if not facts.isStreaming and not rest:
+    if not facts.isStreaming and not rest and "stats_spread" not in groups:
         return windows(panes(facts, slide, places, groups, by), slide, places, groups, by)
     columns, kinds = metric_columns(slide), _kinds(groups)
     mine = facts if len(kinds) == 4 else facts.where(F.col("kind").isin(kinds))
