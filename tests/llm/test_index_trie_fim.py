@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.llm import cuckoo_index, fill_in_middle, pairwise_quality, ppm_language, prefix_trie, queries, suffix_dedup
+from tripflow.llm import cuckoo_index, fill_in_middle, license_scan, pairwise_quality, ppm_language, prefix_trie, queries, suffix_dedup
 from tripflow.llm._spark import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +229,50 @@ def test_samples_of_rows_without_ids(spark):
     labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
     assert 850 < pairwise_quality.drawn(repeated, labels, 1_000).count() < 1_150
     assert pairwise_quality.drawn(rows, labels).count() == 0
+
+
+# Licence notices inside other text.
+
+def slow_runs(text, templates, t=0.8):
+    """Kept runs (license, start, end, dice) by all pairs of starts and ends."""
+    grams = lambda w: {" ".join(w[i : i + 2]) for i in range(len(w) - 1)}
+    w = re.findall("[a-z0-9]+", (text or "").lower())
+    runs = set()
+    for name, body in templates:
+        want = grams(re.findall("[a-z0-9]+", body.lower()))
+        for s in range(len(w)):
+            found = []
+            for e in range(s + 2, min(len(w), s + len(want) * 3 // 2 + 1) + 1):
+                have = grams(w[s:e])
+                if " ".join(w[s : s + 2]) in want and " ".join(w[e - 2 : e]) in want:
+                    found.append((-2 * len(have & want) / (len(have) + len(want)), e))
+            if found and min(found)[0] <= -t:
+                runs.add((name, s, min(found)[1], -min(found)[0]))
+    order = lambda x: (-x[3], x[1] - x[2], x[0], x[1])
+    return {x for x in runs if not any(order(y) < order(x) and y[1] < x[2] and x[1] < y[2] for y in runs)}
+
+
+def test_all_runs(spark):
+    rng = random.Random(6)
+    templates = {"A": ["use of this source code is governed by a style license", "licensed under the a license"], "B": ["licensed under the b license", "licensed under the b license version two of it"]}
+    flat = [(k, t) for k, ts in templates.items() for t in ts]
+    words = sorted({w for _, t in flat for w in t.split()}) + ["x", "y"]
+    texts = [*ODD, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    for _, t in flat * 12:  # notices with words put in, left out and repeated, one after the other
+        w = t.split()
+        for _ in range(rng.randint(0, 2)):
+            w.insert(rng.randint(0, len(w)), rng.choice(words))
+        texts.append(" ".join([*rng.choices(words, k=rng.randint(0, 5)), *w, *(w if rng.random() < 0.4 else []), *rng.choices(words, k=3)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.window_dice, r.n_windows) for r in license_scan.scan(docs, templates, windows=True).where("n_windows > 0").collect()}
+    want = defaultdict(list)
+    for i, text in enumerate(texts):
+        for name, *_, dice in slow_runs(text, flat):
+            want[i, name].append(dice)
+    assert got == {k: (max(v), len(v)) for k, v in want.items()} and len(got) > 30
+
+
+def test_a_notice_with_words_put_in(spark):
+    text = "As said in its files, use of this source code is (as amended here) governed by a BSD-style license that can be found in the LICENSE file. And so on."
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), windows=True).collect()
+    assert [(r.license, r.window_dice, r.n_windows, r.n_units) for r in found] == [("BSD-3-Clause", 2 * 18 / 41, 1, 0)]

@@ -1,11 +1,16 @@
 """Licence scans by Dice coefficient over word bigrams, with DataFrame functions only.
 
-A text is lower-cased and other characters than a-z and 0-9 become spaces. Its units are its lines and itself; with
-``windows`` also every run of a template's number of words that has one of the template's anchors where the template has it, so notices
-that wrap over lines or stand inside a longer one are found. A unit's set of word bigrams (or its single word) is held against each
-template's. Dice >= t needs set sizes within t / (2 - t) of each other, so a unit meets only the templates whose admissible sizes hold its own.
+A text is lower-cased and other characters than a-z and 0-9 become spaces. Its units are its lines and itself. A unit's set of word
+bigrams (or its single word) is held against each template's. Dice >= t needs set sizes within t / (2 - t) of each other, so a unit meets only the
+templates whose admissible sizes hold its own.
 
-It needs, too, that so many of a template's bigrams are in the unit that one of its anchors is: the longest bigrams, as many as
+With ``windows`` runs of words are held against the templates, too, so notices that wrap over lines, stand inside a longer text or have words
+put in are found: all runs that begin and end with one of the template's bigrams (any other match is one of these with words around it that
+only lower its Dice) and are no longer than the admissible size. Of the runs that begin at one word the best one counts, the shorter of equal
+ones. A run doesn't count beside one that overlaps it and is better: of greater Dice, then longer, then of the first licence by name, then earlier.
+A template of one word matches that word.
+
+Dice >= t needs, too, that so many of a template's bigrams are there that one of its anchors is: the longest bigrams, as many as
 can be missing and one more. One search for all anchors tells which texts can have a match at all; the others are not cut up.
 
 Null or wordless texts have no units. A unit counts for its best licence, ties to the first by name; per document and licence the
@@ -24,6 +29,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._spark import Tables
 
@@ -85,16 +91,15 @@ class Template(NamedTuple):
     license: str
     words: list[str]
     grams: list[str]
-    anchors: list[tuple[str, int]]  # with places
+    anchors: list[str]
+    needed: int  # bigrams of the template that a match has at least
 
     @classmethod
     def of(cls, license: str, text: str, threshold: Fraction) -> Template:
         w = re.findall("[a-z0-9]+", text.lower())
-        placed = [" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 1))]
-        grams = list(dict.fromkeys(placed))
+        grams = list(dict.fromkeys(" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 1))))
         needed = math.ceil(threshold / (2 - threshold) * len(grams))
-        rare = set(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1])
-        return cls(license, w, grams, [(g, i) for i, g in enumerate(placed) if g in rare])
+        return cls(license, w, grams, sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed + 1], needed)
 
 
 def known(templates: Sequence[Mapping[str, Sequence[str]]], threshold: float) -> list[Template]:
@@ -107,7 +112,7 @@ def known(templates: Sequence[Mapping[str, Sequence[str]]], threshold: float) ->
 def anchor_pattern(templates: Sequence[Template]) -> str:
     """A pattern of lower-case text that has one of the templates' anchors."""
     by_letter: dict[str, list[str]] = {}
-    for g in sorted({g for t in templates for g, _ in t.anchors}):
+    for g in sorted({g for t in templates for g in t.anchors}):
         by_letter.setdefault(g[0], []).append(g[1:].replace(" ", "[^a-z0-9]+"))
     return "(?<![a-z0-9])(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in by_letter.items()) + ")(?![a-z0-9])"
 
@@ -133,45 +138,68 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, th
     """
     found = known([templates, *([texts] if texts else [])], threshold)
     low, high = (Fraction(str(threshold)) / (2 - Fraction(str(threshold)))).as_integer_ratio()
-    sizes = [(t.license, t.grams, -(-len(t.grams) * low // high), len(t.grams) * high // low, len(t.words)) for t in found]
-    rows = _literal(sizes, "license string, t array<string>, lo int, hi int, n int")
+    sizes = [(t.license, t.grams, -(-len(t.grams) * low // high), len(t.grams) * high // low) for t in found]
+    rows = _literal(sizes, "license string, t array<string>, lo int, hi int")
     lower = F.lower("text")
     body = F.regexp_replace(lower, "[^a-z0-9\n]+", " ")
     whole = F.trim(F.regexp_replace(body, "[ \n]+", " "))
     # Written, so that the search for anchors runs once: few texts have any.
-    near = Tables(docs.sparkSession, "licences").save(docs.where(lower.rlike(anchor_pattern(found)) if found else F.lit(False)).select("doc_id", body.alias("body"), whole.alias("whole")))
+    near = Tables(docs.sparkSession, "licences").save(docs.where(lower.rlike(anchor_pattern(found)) if found else F.lit(False)).select("doc_id", F.monotonically_increasing_id().alias("row"), body.alias("body"), whole.alias("whole")))
     units = F.when(F.contains("body", F.lit("\n")), F.concat(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), F.array("whole"))).otherwise(F.array("whole"))
     grams = near.select("doc_id", F.explode(units).alias("w")).where("w <> ''").select("doc_id", F.explode(F.array(bigrams(F.col("w")))).alias("u"))
     best = grams.select("doc_id", _best(F.col("u"), rows, lambda x: F.size("u").between(x["lo"], x["hi"])).alias("b")).where(F.col("b.o") <= -threshold)
     out = best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max(-F.col("b.o")).alias("dice"), F.count("*").alias("n_units"))
     if not windows:
         return out
-    # A generated column is computed once a row; an expression would be, once a lambda call.
-    split = near.select("doc_id", F.explode(F.array(F.split("whole", " "))).alias("w"))
-    runs = split.select("doc_id", F.explode(_runs(F.col("w"), found)).alias("r")).select("doc_id", "r.*")
-    inside = runs.select("doc_id", _best(F.col("u"), rows, lambda x: x["n"] == F.col("n")).alias("b")).where(F.col("b.o") <= -threshold)
-    more = inside.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max(-F.col("b.o")).alias("window_dice"), F.count("*").alias("n_windows"))
+    inside = _best_runs(_runs(near, found, [hi for *_, hi in sizes], threshold), max([hi for *_, hi in sizes], default=0) + 1)
+    more = inside.groupBy("doc_id", "license").agg(F.max("dice").alias("window_dice"), F.count("*").alias("n_windows"))
     both = out.withColumns({"window_dice": F.lit(None).cast("double"), "n_windows": F.lit(0).cast("long")}).unionByName(more.withColumns({"dice": F.lit(None).cast("double"), "n_units": F.lit(0).cast("long")}))
     return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("n_units").alias("n_units"), F.max("window_dice").alias("window_dice"), F.sum("n_windows").alias("n_windows"))
 
 
-def _runs(w: Column, templates: Sequence[Template]) -> Column:
-    """Of a text's words: (n, u) of the different runs that an anchor proposes, n words long with bigrams u."""
-    anchors = _literal(sorted({(g, q, len(t.words)) for t in templates for g, q in t.anchors}), "g string, q int, n int")
-    alone = any(len(t.words) == 1 for t in templates)
-    names = sorted({g for t in templates for g, _ in t.anchors})
-    last = F.size(w) - (1 if alone else 2)
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-    def gram(p: Column) -> list[Column]:
-        pair = F.concat_ws(" ", F.slice(w, p + 1, 2))
-        return [pair, F.element_at(w, p + 1)] if alone else [pair]
-
-    hits = F.filter(F.flatten(F.transform(places, lambda p: F.array(*[F.struct(p.alias("p"), g.alias("g")) for g in gram(p)]))), lambda h: h["g"].isin(names))
-
-    def proposed(h: Column) -> Column:
-        fits = F.filter(anchors, lambda a: (a["g"] == h["g"]) & (h["p"] >= a["q"]) & (h["p"] - a["q"] + a["n"] <= F.size(w)))
-        return F.transform(fits, lambda a: F.struct((h["p"] - a["q"]).alias("s"), a["n"].alias("n")))
-
-    runs = F.array_distinct(F.flatten(F.transform(hits, proposed)))
-    return F.transform(runs, lambda r: F.struct(r["n"].alias("n"), _grams(F.slice(w, r["s"] + 1, r["n"])).alias("u")))
+def _runs(near: DataFrame, templates: Sequence[Template], longest: Sequence[int], threshold: float) -> DataFrame:
+    """(row, doc_id, license, start, end, dice): of each template and each word where a run may begin, the best run if it matches."""
+    spark = near.sparkSession
+    rows = [(i, t.license, t.grams, len(t.grams), t.needed, most) for i, (t, most) in enumerate(zip(templates, longest, strict=True)) if len(t.words) > 1]
+    known_ = spark.range(1).select(F.explode(_literal(rows, "id int, license string, t array<string>, n int, needed int, most int")).alias("k")).select("k.*")
+    # A generated column is computed once a row; an expression would be, once a lambda call.
+    split = near.select("row", "doc_id", F.explode(F.array(F.split("whole", " "))).alias("w"))
+    n = F.size("w") - 1
+    pairs = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = split.where("size(w) > 1").select("row", "doc_id", F.posexplode(pairs).alias("p", "g"))
+    # Where the same bigram stood before: in a run from s on, it is new if that is before s.
+    grams = grams.withColumn("before", F.coalesce(F.lag("p").over(Window.partitionBy("row", "g").orderBy("p")), F.lit(-1)))
+    hits = grams.join(F.broadcast(known_.select("id", "license", "n", "needed", "most", F.explode("t").alias("g"))), "g")  # the templates' bigrams are parameters
+    keys = ["row", "doc_id", "id", "license", "n", "needed", "most"]
+    enough = hits.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("hits"), F.count_if(F.col("before") < 0).alias("m")).where("m >= needed")
+    whole = grams.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "before"))), lambda x: x["before"]).alias("before"))
+    found = enough.join(whole, "row").withColumn("is_hit", F.transform(F.sequence(F.lit(0), F.size("before") - 1), lambda p: F.array_contains("hits", p)))
+
+    def best(start: Column) -> Column:
+        def step(x: Column, p: Column) -> Column:
+            new = (F.get("before", p) < start).cast("int")
+            u, h = x["u"] + new, x["h"] + F.when(F.get("is_hit", p), new).otherwise(0)
+            dice = F.when(F.get("is_hit", p), 2.0 * h / (u + F.col("n"))).otherwise(0.0)
+            ahead = dice > x["dice"]
+            return F.struct(u.alias("u"), h.alias("h"), F.when(ahead, dice).otherwise(x["dice"]).alias("dice"), F.when(ahead, p + 2).otherwise(x["end"]).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("u"), F.lit(0).alias("h"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
+        stop = F.least(start + F.col("most") - 1, F.size("before") - 1)
+        return F.aggregate(F.sequence(start, stop), zero, step, lambda x: F.struct(start.alias("start"), x["end"].alias("end"), x["dice"].alias("dice")))
+
+    runs = found.select("row", "doc_id", "license", F.explode(F.filter(F.transform("hits", best), lambda r: r["dice"] >= threshold)).alias("r")).select("row", "doc_id", "license", "r.*")
+    single = {w: t.license for t in reversed(templates) for w in t.words if len(t.words) == 1}
+    words = split.select("row", "doc_id", F.posexplode("w").alias("start", "g")).where(F.col("g").isin(list(single)))
+    names = F.create_map(*[F.lit(x) for pair in (single or {"": ""}).items() for x in pair])
+    alone = words.select("row", "doc_id", F.element_at(names, F.col("g")).alias("license"), "start", (F.col("start") + 1).alias("end"), F.lit(1.0).alias("dice"))
+    return (runs.unionByName(alone) if single else runs).distinct()
+
+
+def _best_runs(runs: DataFrame, longest: int) -> DataFrame:
+    """The runs that no better one overlaps. They meet by stretches of a text as long as the longest run, so only near ones are compared."""
+    order = F.struct(-F.col("dice"), F.col("start") - F.col("end"), "license", "start")
+    runs = runs.withColumn("order", order).withColumn("stretch", F.floor(F.col("start") / longest))
+    other = runs.select("row", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("order").alias("_order"), F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"))
+    worse = (F.col("_order") < F.col("order")) & (F.col("_start") < F.col("end")) & (F.col("start") < F.col("_end"))
+    r, o = runs.alias("r"), other.alias("o")
+    return r.join(o, (F.col("r.row") == F.col("o.row")) & (F.col("r.stretch") == F.col("o.stretch")) & worse, "left_anti")

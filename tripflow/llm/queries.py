@@ -99,13 +99,10 @@ def _op1_sql() -> str:
     def grams(w: str) -> str:
         return f"list_distinct(CASE WHEN len({w}) > 1 THEN [x[1] || ' ' || x[2] FOR x IN list_zip({w}[1:len({w}) - 1], {w}[2:len({w})])] ELSE {w} END)"
 
-    templates = license_scan.known([license_scan.TEMPLATES, license_scan.TEXTS], 0.8)
     known = ", ".join(f"({text(k)}, {text(t)})" for each in (license_scan.TEMPLATES, license_scan.TEXTS) for k, ts in each.items() for t in ts)
-    anchors = ", ".join(f"({text(g)}, {q}, {n})" for g, q, n in sorted({(g, q, len(t.words)) for t in templates for g, q in t.anchors}))
     dice = "2.0::DOUBLE * len(list_intersect(u, t)) / (len(u) + len(t))"
     return f"""
-WITH known AS (SELECT license, len(w) AS n, {grams("w")} AS t FROM (SELECT license, string_split({normal("template")}, ' ') AS w FROM (VALUES {known}) v(license, template))),
-anchors AS (SELECT * FROM (VALUES {anchors}) v(g, q, n)),
+WITH known AS (SELECT license, row_number() OVER () AS id, {grams("w")} AS t FROM (SELECT license, string_split({normal("template")}, ' ') AS w FROM (VALUES {known}) v(license, template))),
 docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT r, doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS body,
@@ -115,14 +112,18 @@ sets AS MATERIALIZED (SELECT r, doc_id, unit, {grams("w")} AS u FROM split),
 hits AS (SELECT r, doc_id, unit, license, {dice} AS dice FROM sets JOIN known ON len(u) * 3 >= len(t) * 2 AND len(u) * 2 <= len(t) * 3),
 best AS (SELECT *, row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, license) AS n FROM hits WHERE dice >= 0.8),
 whole AS MATERIALIZED (SELECT r, doc_id, string_split(w, ' ') AS w FROM (SELECT r, doc_id, {normal("text")} AS w FROM docs)),
-pairs AS (SELECT r, p, w[p + 1] || ' ' || w[p + 2] AS g, len(w) AS words FROM (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM whole)),
-runs AS MATERIALIZED (SELECT DISTINCT r, p - q AS s, n FROM pairs JOIN anchors USING (g) WHERE p >= q AND p - q + n <= words),
-run_sets AS (SELECT r, doc_id, s, n, {grams("v")} AS u FROM (SELECT r, doc_id, s, n, w[s + 1:s + n] AS v FROM runs JOIN whole USING (r))),
-run_hits AS (SELECT r, doc_id, s, n, license, {dice} AS dice FROM run_sets JOIN known USING (n)),
-run_best AS (SELECT *, row_number() OVER (PARTITION BY r, s, n ORDER BY dice DESC, license) AS k FROM run_hits WHERE dice >= 0.8),
+pairs AS MATERIALIZED (SELECT r, p, g, coalesce(lag(p) OVER (PARTITION BY r, g ORDER BY p), -1) AS before FROM (SELECT r, p, w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM whole))),
+hits_of AS (SELECT r, id, license, p, before, n FROM pairs JOIN (SELECT id, license, len(t) AS n, unnest(t) AS g FROM known) USING (g)),
+near AS MATERIALIZED (SELECT * FROM hits_of SEMI JOIN (SELECT r, id FROM hits_of WHERE before < 0 GROUP BY r, id, n HAVING count(*) * 3 >= n * 2) USING (r, id)),
+ends AS (SELECT a.r, a.id, a.license, a.n, a.p AS s, b.p AS e FROM near a JOIN near b ON a.r = b.r AND a.id = b.id AND b.p >= a.p AND (b.p - a.p + 1) * 2 <= a.n * 3),
+counted AS (SELECT r, id, license, n, s, e, (SELECT count(*) FROM near h WHERE h.r = ends.r AND h.id = ends.id AND h.p BETWEEN s AND e AND h.before < s) AS h,
+  (SELECT count(*) FROM pairs u WHERE u.r = ends.r AND u.p BETWEEN s AND e AND u.before < s) AS u FROM ends),
+firsts AS (SELECT r, id, license, s, e + 2 AS e, 2.0::DOUBLE * h / (u + n) AS dice, row_number() OVER (PARTITION BY r, id, s ORDER BY 2.0::DOUBLE * h / (u + n) DESC, e) AS k FROM counted),
+run_hits AS MATERIALIZED (SELECT DISTINCT r, license, s, e, dice FROM firsts WHERE k = 1 AND dice >= 0.8),
+run_best AS (SELECT * FROM run_hits x ANTI JOIN run_hits y ON x.r = y.r AND y.s < x.e AND x.s < y.e AND (-y.dice, y.s - y.e, y.license, y.s) < (-x.dice, x.s - x.e, x.license, x.s)),
 found AS (
   SELECT doc_id, license, dice, 1 AS n_units, NULL AS window_dice, 0 AS n_windows FROM best WHERE n = 1
-  UNION ALL SELECT doc_id, license, NULL, 0, dice, 1 FROM run_best WHERE k = 1)
+  UNION ALL SELECT doc_id, license, NULL, 0, dice, 1 FROM run_best JOIN whole USING (r))
 SELECT doc_id, license, max(dice) AS dice, CAST(sum(n_units) AS BIGINT) AS n_units, max(window_dice) AS window_dice, CAST(sum(n_windows) AS BIGINT) AS n_windows
 FROM found GROUP BY doc_id, license"""
 
