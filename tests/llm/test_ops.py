@@ -271,7 +271,13 @@ def test_line_dedup_cases(spark):
     assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == [0, 1]
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     again = frame(spark, ["p q r", "p q r"]).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
-    assert [r.n_dropped for r in line_dedup.dedup_lines(again).collect()] == [0, 0]
+    assert sorted((r.n_dropped, r.text) for r in line_dedup.dedup_lines(again).collect()) == [(0, "p q r"), (1, "")]
+    same = [(1, "a line here\n\nand one more"), (1, "a line here\n\nand one more"), (2, "and one more\nown"), (1, "a line here\n\nand one more"), (3, " \n"), (3, " \n"), (3, None), (3, None)]
+    same += [(9, "copy of many")] * 40
+    for rows in (same, same[::-1]):
+        left = Counter((r.doc_id, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+        assert left == Counter({(1, 0, "a line here\n\nand one more"): 1, (1, 2, ""): 2, (2, 1, "own"): 1, (3, 0, " \n"): 2, (3, 0, None): 2, (9, 0, "copy of many"): 1, (9, 1, ""): 39})
+    assert Counter(r.doc_id for r in line_dedup.without_duplicates(spark.createDataFrame(same, "doc_id long, text string")).collect()) == Counter({1: 1, 2: 1, 3: 4, 9: 1})
 
 
 def test_minhash_recall():

@@ -12,8 +12,8 @@ block by block: a task counts shared shingles by matrix products and yields the
 no pair becomes a row. Every two lines that share a band are so compared or of one class already. Of each
 class the first line by (doc_id, text hash, line number) stays.
 
-Lines without a word stay where they are. Null texts stay null. Rows equal in doc_id and text count as one document
-(each keeps the line); a null doc_id comes first. Line keys are 64-bit hashes.
+Lines without a word stay where they are. Null texts stay null. Of rows equal in doc_id and text, one keeps its lines as said and the others
+lose all lines that have a word; a null doc_id comes first. Line keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -413,10 +413,8 @@ def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]
     return signed.select("doc_id", "text_hash", "pos", "key"), classes
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, marks): per document, a mark of (line number, line) for each line that an earlier one of its class replaces."""
-    tables = Tables(docs.sparkSession, "lines")
-    occurrences, classes = line_classes(docs, tables)
+def dropped_lines(occurrences: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, text_hash, want): per document, a mark of (line number, line) for each line that an earlier one of its class replaces."""
     place = F.struct("doc_id", "text_hash", "pos")
     by_key = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # Written, so that a class of many different lines may be split in the join.
@@ -424,14 +422,45 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     firsts = sized(tables.save(rooted.groupBy("root").agg(F.min("first").alias("kept"))), BROADCAST_ROWS)
     keys = tables.save(rooted.join(firsts, "root").select("key", "kept"))
     drops = occurrences.join(sized(keys, BROADCAST_ROWS), "key").where(~place.eqNullSafe(F.col("kept")))
-    return tables.save(drops.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "key")).alias("want")))
+    return tables.save(_marks(drops))
+
+
+def _marks(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "key")).alias("want"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    return lists.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "want": "_want"})
+
+
+def _copies(docs: DataFrame, occurrences: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
+    """docs without the further rows of those equal in doc_id and text, and those rows with marks of all their lines; None if there are none."""
+    twice = docs.where("text is not null").groupBy(*_document()).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = tables.save(twice.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
+    if twice.isEmpty():
+        return docs, None
+    some = sized(twice, BROADCAST_ROWS)
+    lists = _listed(_marks(occurrences.join(some, (F.col("text_hash") == some["_hash"]) & F.col("doc_id").eqNullSafe(some["_id"]), "left_semi")))
+    lists = tables.save(lists.select("_id", "_hash", F.col("_want").alias("_all")))
+    # Numbered as they are written: nothing else tells these rows apart.
+    rows = tables.save(docs.join(lists, _of(lists)).withColumn("_row", F.monotonically_increasing_id()))
+    first = rows.groupBy("_id", "_hash").agg(F.min("_row").alias("_row")).select("_row")
+    keepers, others = (rows.join(first, "_row", how) for how in ("left_semi", "left_anti"))
+    # Equal rows without a line that has a word need no marks and stay among the rest.
+    rest = docs.join(lists.select("_id", "_hash"), _of(lists), "left_anti")
+    return rest.unionByName(keepers.select(*docs.columns)), others.select(*docs.columns, F.col("_all").alias("_want"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its columns, text without the dropped lines, plus n_lines and n_dropped; columns that were so named are replaced."""
     docs = docs.drop("n_lines", "n_dropped")
-    drops = dropped_lines(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "want": "_want"})
+    tables = Tables(docs.sparkSession, "lines")
+    occurrences, classes = line_classes(docs, tables)
+    drops = _listed(dropped_lines(occurrences, classes, tables))
+    docs, copies = _copies(docs, occurrences, tables)
     joined = docs.join(sized_lists(drops, "_want", BROADCAST_ROWS), _of(drops), "left").drop("_id", "_hash")
+    if copies is not None:
+        joined = joined.unionByName(copies)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index("text")
 
