@@ -27,13 +27,13 @@ def plan(df):
 
 
 def files_read(df):
-    """(files, rows) that the scans of a collected frame have read."""
+    """(files, rows) that the file scans of a collected frame have read."""
     found = {"numFiles": 0, "numOutputRows": 0}
 
     def walk(node):
-        if node.nodeName().startswith("Scan"):
+        if node.metrics().contains("numFiles"):
             for k in found:
-                found[k] += node.metrics().apply(k).value() if node.metrics().contains(k) else 0
+                found[k] += node.metrics().apply(k).value()
         if "AdaptiveSparkPlan" in node.nodeName():
             walk(node.executedPlan())
         if node.nodeName().endswith("QueryStage"):
