@@ -249,6 +249,41 @@ def test_line_dedup_compares_all_pairs_of_a_band(spark):
     assert {r.doc_id for r in got} <= {10_000 + i for i in twins} and len(got) == shares >= 95
 
 
+def template_lines(n, seed, vary=13):
+    """Lines of one template, every 25th of them with a twin of similarity 0.8 or more."""
+    rng = random.Random(seed)
+
+    def filler(k):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    head = " ".join(filler(6) for _ in range(15))
+    lines = [head + chr(0x4E00 + i) + filler(vary) for i in range(n)]
+    return lines + [x[:-12] + filler(12).upper() for x in lines[::25]]
+
+
+@pytest.mark.parametrize("block", [3, 40, 1024])
+def test_prefix_blocks_lose_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    rng = random.Random(block)
+    lines = template_lines(150, 4) + template_lines(60, 5, 2) + ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    lines += [x[: rng.randrange(len(x) // 2, len(x))] + "é" * rng.randrange(3) for x in lines[:200]] + ["x", "x y", "", "z" * 5000]
+    lines = sorted(set(lines))
+    sets = [slow_shingles(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = [(i, i, x) for i, x in enumerate(lines)]
+    dealt = line_dedup.prefix_blocks(spark.createDataFrame(rows, "key long, root long, line string"), Tables(spark, "test"))
+    ties = dealt.repartition(5, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(line_dedup._across, line_dedup.EDGE).distinct().collect()
+    assert len(pairs) > 100 and closure([(r.a, r.b) for r in ties]) == closure(pairs)
+
+
+def test_prefix_blocks_send_rows_about_linear_in_a_template_band(spark):
+    sent = []
+    for n in (5_000, 20_000):
+        rows = [(i, i, x) for i, x in enumerate(template_lines(n, 6, 16))]
+        sent.append(line_dedup.prefix_blocks(spark.createDataFrame(rows, "key long, root long, line string").repartition(8), Tables(spark, "test")).count())
+    assert 0 < sent[1] <= 5 * sent[0]
+
+
 def test_block_comparison_is_exact():
     rng = random.Random(23)
     base = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(6)]

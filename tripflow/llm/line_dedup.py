@@ -7,9 +7,8 @@ Lines between have both, and lines of similarity 0.8 or more always have one kin
 
 Equal lines count as one; a task signs them once, so a line that is everywhere reaches its bands once a task. Lines of one band are first tied to the band's least line and to the next one, and a distributed
 union-find makes classes of the ties that exact Jaccard similarity confirms. Bands that still hold lines of several
-classes are then compared in all their pairs, by blocks of at most about a thousand lines that are held against each other
-block by block: a task counts shared shingles by matrix products and yields the ties of classes, so
-no pair becomes a row. Every two lines that share a band are so compared or of one class already. Of each
+classes are then compared in all their pairs: a task counts shared shingles by matrix products and yields the ties of classes, so
+no pair becomes a row. Lines of bands of over about a thousand are dealt by their rarest shingles first, by a prefix-filtered join that loses no pair (`prefix_blocks`). Every two lines that share a band are so compared or of one class already. Of each
 class the first line by (doc_id, text hash, line number) stays.
 
 Lines without a word stay where they are. Null texts stay null. Of rows equal in doc_id and text, one keeps its lines as said and the others
@@ -37,6 +36,8 @@ CLASSIC_TO, BINNED_FROM = 160, 128
 BLOCK_LINES, BLOCK_SIZE, LISTED = 1_024, 1 << 19, 24
 #: Rows of a key list that may be broadcast (16 to 40 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Slots in which the shingles of crowded bands' lines are counted (a power of 2; eight bytes each, in every task).
+COUNTS = 1 << 18
 #: Keys that a task remembers to have signed (a power of 2; eight bytes each).
 SEEN = 1 << 18
 _LOW = np.uint64((1 << 52) - 1)
@@ -366,6 +367,69 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
+def _token_sets(lines: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By some thousand lines: place of the first, and of each different shingle its line, hash and the lines' set sizes."""
+    for lo, hi, data, offsets in X.blocks(lines):
+        for at in range(0, hi - lo, 4096):
+            part = offsets[at : min(at + 4096, hi - lo) + 1]
+            codes, size = _sets(data[part[0] : part[-1]], part - part[0])
+            yield lo + at, (codes >> np.uint64(52)).astype(np.int64), codes & _LOW, size
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line) -> (slot, n): a task's different shingles of each line, counted in COUNTS slots of their hash."""
+    counts = np.zeros(COUNTS, dtype=np.int64)
+    for batch in batches:
+        for _, _, token, _ in _token_sets(batch.column(0)):
+            counts += np.bincount((token & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, root, line) -> (token, own, key, root, bytes): a line's rarest shingles, own 0 those of its shorter prefix and 1 those of the longer."""
+    for batch in batches:
+        bytes_ = pc.binary_length(batch.column(2)).to_numpy()
+        for lo, line, token, size in _token_sets(batch.column(2)):
+            order = np.lexsort((token, counts[(token & np.uint64(COUNTS - 1)).astype(np.int64)], line))
+            line, token = line[order], token[order]
+            place = np.arange(len(line)) - (np.cumsum(size) - size)[line]
+            for own, part in enumerate((9, 5)):
+                mine = place <= size[line] // part
+                at = pa.array(line[mine] + lo)
+                sides = [pa.array(token[mine].view(np.int64)), pa.array(np.full(int(mine.sum()), own, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*sides, batch.column(0).take(at), batch.column(1).take(at), pa.array(bytes_).take(at)], ["token", "own", "key", "root", "bytes"])
+
+
+def _blocks(rows: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_LINES), F.ceil(size / BLOCK_SIZE)).cast("int")
+
+
+def prefix_blocks(lines: DataFrame, tables: Tables) -> DataFrame:
+    """(key, root, line) -> (band, i, j, own, root, line): groups for _across in which every two lines of similarity SIMILARITY or more meet.
+
+    A prefix-filtered set join. Of two such lines the shorter set has at least 8/9 of its shingles in common with the other, the longer one
+    4/5; so by any order of shingles the first common one is among the first n // 9 + 1 of the shorter and n // 5 + 1 of the longer. Shingles go by rarity (counted over all the
+    lines in COUNTS slots; any counts give right results), so what a template repeats is in few short prefixes. A shingle's lines with it in
+    the short prefix (own 0) meet those with it in the long one (own 1), in blocks; texts are sent only to shingles of several classes.
+    """
+    found = lines.select("line").mapInArrow(_token_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTS, dtype=np.int64)  # at most COUNTS rows, however many lines
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    prefixes = tables.save(lines.select("key", "root", "line").mapInArrow(lambda batches: _prefixes(batches, counts), "token long, own int, key long, root long, bytes int"))
+    short, bytes_ = F.col("own") == 0, F.col("bytes").cast("long")
+
+    def side(which: Column) -> Column:
+        return _blocks(F.count_if(which), F.sum(F.when(which, bytes_))).alias("m")
+
+    met = prefixes.groupBy("token").agg(side(short).alias("m0"), side(~short).alias("m1"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = met.where("m0 > 0 and m1 > 0 and lo <> hi").select("token", "m0", "m1")
+    placed = prefixes.join(met, "token").withColumn("mine", F.when(short, F.pmod(F.xxhash64("key"), "m0")).otherwise(F.pmod(F.xxhash64("key"), "m1")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(short, F.col("m1")).otherwise(F.col("m0")) - 1)))
+    i, j = F.when(short, F.col("mine")).otherwise(F.col("other")), F.when(short, F.col("other")).otherwise(F.col("mine"))
+    return placed.select(F.col("token").alias("band"), i.alias("i"), j.alias("j"), "own", "root", "key").join(lines.select("key", "line"), "key").drop("key")
+
+
 def _document() -> tuple[Column, Column]:
     """What tells rows apart, here as in dropped_lines: doc_id and the text's hash, for doc_ids may repeat or be null."""
     return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")
@@ -401,11 +465,14 @@ def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]
     mixed = classed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
     mixed = tables.save(mixed.select("band"))
     apart = tables.save(classed.join(sized(mixed, BROADCAST_ROWS), "band").join(texts, "key"))
-    blocks = apart.groupBy("band").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_LINES}), ceil(sum(octet_length(line)) / {BLOCK_SIZE})) as int)").alias("m")).where("m > 1")
-    spread = apart.join(sized(tables.save(blocks), BROADCAST_ROWS), "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    spread = spread.withColumn("own", F.expr("cast(pmod(xxhash64(key), m) as int)")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
-    spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "line")
-    more = tables.save(spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, EDGE).distinct())
+    crowded = apart.groupBy("band").agg(_blocks(F.count("*"), F.sum(F.octet_length("line"))).alias("m")).where("m > 1").select("band")
+    crowded = sized(tables.save(crowded), BROADCAST_ROWS)
+    nothing = F.lit(0)
+    grouped = apart.join(crowded, "band", "left_anti").select("band", nothing.alias("i"), nothing.alias("j"), nothing.alias("own"), "root", "line")
+    hot = tables.save(apart.join(crowded, "band", "left_semi").select("key", "root", "line").dropDuplicates(["key"]))
+    if not hot.isEmpty():
+        grouped = grouped.unionAll(prefix_blocks(hot, tables))
+    more = tables.save(grouped.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, EDGE).distinct())
     if not more.isEmpty():
         # The classes so far are links, too, and fewer than all ties.
         links = classes.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").unionAll(more)
