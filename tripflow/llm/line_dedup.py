@@ -8,7 +8,8 @@ Lines between have both, and lines of similarity 0.8 or more always have one kin
 Equal lines count as one; a task signs them once, so a line that is everywhere reaches its bands once a task. Lines of one band are first tied to the band's least line and to the next one, and a distributed
 union-find makes classes of the ties that exact Jaccard similarity confirms. Bands that still hold lines of several
 classes are then compared in all their pairs: a task counts shared shingles by matrix products and yields the ties of classes, so
-no pair becomes a row. Lines of bands of over about a thousand are dealt by their rarest shingles first, by a prefix-filtered join that loses no pair (`prefix_blocks`). Every two lines that share a band are so compared or of one class already. Of each
+no pair becomes a row. Bands of over about a thousand lines are dealt in blocks that meet
+each other, or, where that sends fewer rows, by their lines' rarest shingles in a prefix-filtered join (`prefix_blocks`); neither loses a pair. Every two lines that share a band are so compared or of one class already. Of each
 class the first line by (doc_id, text hash, line number) stays.
 
 Lines without a word stay where they are. Null texts stay null. Of rows equal in doc_id and text, one keeps its lines as said and the others
@@ -405,8 +406,8 @@ def _blocks(rows: Column, size: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK_LINES), F.ceil(size / BLOCK_SIZE)).cast("int")
 
 
-def prefix_blocks(lines: DataFrame, tables: Tables) -> DataFrame:
-    """(key, root, line) -> (band, i, j, own, root, line): groups for _across in which every two lines of similarity SIMILARITY or more meet.
+def prefix_blocks(lines: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
+    """(key, root, line) -> (band, i, j, own, root, line), and how many: groups for _across in which every two lines of similarity SIMILARITY or more meet.
 
     A prefix-filtered set join. Of two such lines the shorter set has at least 8/9 of its shingles in common with the other, the longer one
     4/5; so by any order of shingles the first common one is among the first n // 9 + 1 of the shorter and n // 5 + 1 of the longer. Shingles go by rarity (counted over all the
@@ -422,12 +423,13 @@ def prefix_blocks(lines: DataFrame, tables: Tables) -> DataFrame:
     def side(which: Column) -> Column:
         return _blocks(F.count_if(which), F.sum(F.when(which, bytes_))).alias("m")
 
-    met = prefixes.groupBy("token").agg(side(short).alias("m0"), side(~short).alias("m1"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    met = met.where("m0 > 0 and m1 > 0 and lo <> hi").select("token", "m0", "m1")
-    placed = prefixes.join(met, "token").withColumn("mine", F.when(short, F.pmod(F.xxhash64("key"), "m0")).otherwise(F.pmod(F.xxhash64("key"), "m1")).cast("int"))
+    met = prefixes.groupBy("token").agg(side(short).alias("m0"), side(~short).alias("m1"), F.count_if(short).alias("n0"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = tables.save(met.where("m0 > 0 and m1 > 0 and lo <> hi").select("token", "m0", "m1", "n0", "n"))
+    rows = met.agg(F.expr("sum(n0 * m1 + (n - n0) * m0)")).first()[0] or 0
+    placed = prefixes.join(met, "token").withColumn("mine", F.when(short, F.pmod(F.xxhash64("key"), "m0")).otherwise(F.pmod(F.xxhash64("key"), "m1")).cast("int")).drop("n0", "n")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(short, F.col("m1")).otherwise(F.col("m0")) - 1)))
     i, j = F.when(short, F.col("mine")).otherwise(F.col("other")), F.when(short, F.col("other")).otherwise(F.col("mine"))
-    return placed.select(F.col("token").alias("band"), i.alias("i"), j.alias("j"), "own", "root", "key").join(lines.select("key", "line"), "key").drop("key")
+    return placed.select(F.col("token").alias("band"), i.alias("i"), j.alias("j"), "own", "root", "key").join(lines.select("key", "line"), "key").drop("key"), rows
 
 
 def _document() -> tuple[Column, Column]:
@@ -465,13 +467,20 @@ def line_classes(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]
     mixed = classed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 3 and lo <> hi")
     mixed = tables.save(mixed.select("band"))
     apart = tables.save(classed.join(sized(mixed, BROADCAST_ROWS), "band").join(texts, "key"))
-    crowded = apart.groupBy("band").agg(_blocks(F.count("*"), F.sum(F.octet_length("line"))).alias("m")).where("m > 1").select("band")
-    crowded = sized(tables.save(crowded), BROADCAST_ROWS)
-    nothing = F.lit(0)
-    grouped = apart.join(crowded, "band", "left_anti").select("band", nothing.alias("i"), nothing.alias("j"), nothing.alias("own"), "root", "line")
-    hot = tables.save(apart.join(crowded, "band", "left_semi").select("key", "root", "line").dropDuplicates(["key"]))
-    if not hot.isEmpty():
-        grouped = grouped.unionAll(prefix_blocks(hot, tables))
+    blocks = tables.save(apart.groupBy("band").agg(F.count("*").alias("n"), _blocks(F.count("*"), F.sum(F.octet_length("line"))).alias("m")).where("m > 1"))
+    known = sized(blocks.select("band", "m"), BROADCAST_ROWS)
+    grouped = apart.join(known, "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    # Each line of a crowded band would go to each of its blocks: only as long as that are fewer rows than by shingles.
+    sent = blocks.agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    if sent:
+        hot = tables.save(apart.join(known, "band", "left_semi").select("key", "root", "line").dropDuplicates(["key"]))
+        by_shingles, rows = prefix_blocks(hot, tables)
+        if rows < sent:
+            grouped = grouped.where("m = 1")
+    grouped = grouped.withColumn("own", F.expr("cast(pmod(xxhash64(key), m) as int)")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
+    grouped = grouped.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "line")
+    if sent and rows < sent:
+        grouped = grouped.unionAll(by_shingles)
     more = tables.save(grouped.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across, EDGE).distinct())
     if not more.isEmpty():
         # The classes so far are links, too, and fewer than all ties.
