@@ -43,6 +43,7 @@ COUNTS = 1 << 18
 SEEN = 1 << 18
 _LOW = np.uint64((1 << 52) - 1)
 _SEED = np.random.default_rng(23).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_SEED32 = list(zip((_SEED >> np.uint64(32)).astype(np.uint32), _SEED.astype(np.uint32), strict=True))
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -109,9 +110,10 @@ def bands(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         mine, count = hashes[np.repeat(few, n)], n[few]
         starts = np.cumsum(count) - count
         minima = np.empty((len(count), slots), dtype=np.uint64)
-        for i, seed in enumerate(_SEED):
-            # The upper half of a product with an odd number is hash enough for a minimum.
-            minima[:, i] = np.minimum.reduceat((mine ^ (seed >> np.uint64(7))) * seed, starts)
+        mine = (mine >> np.uint64(32)).astype(np.uint32)  # 32 bits order a line's shingles, and are multiplied several at a time
+        for i, (mask, odd) in enumerate(_SEED32):
+            # A product with an odd number is hash enough for a minimum.
+            minima[:, i] = np.minimum.reduceat((mine ^ mask) * odd, starts)
         put(np.flatnonzero(few), minima, 0, at[:-1][few])
     if many.any():
         mine, rows = hashes[np.repeat(many, n)], np.flatnonzero(many)
