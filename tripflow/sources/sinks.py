@@ -162,11 +162,14 @@ def encode_events(trips: DataFrame) -> DataFrame:
 
 
 def write_events(messages: DataFrame, target: str, options: Mapping[str, str] | None = None) -> None:
-    """Messages to a Kafka topic (target "kafka:topic") or to text files."""
+    """Messages to a Kafka topic (target "kafka:topic") or to text files.
+
+    Files are compressed, as JSON of repeated names takes many times the disk of its source. A compressed file is read by one task, so each ends at a million lines.
+    """
     if target.startswith("kafka:"):
         messages.write.format("kafka").options(topic=target.removeprefix("kafka:"), **dict(options or {})).save()
     else:
-        messages.select("value").write.mode("append").text(target)
+        messages.select("value").write.mode("append").options(**{"compression": "gzip", "maxRecordsPerFile": "1000000", **dict(options or {})}).text(target)
 
 
 def write_zone_map(rows: DataFrame, path: str) -> None:
