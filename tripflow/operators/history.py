@@ -43,32 +43,36 @@ def future_value(df: DataFrame, c: str, steps: int = 4, name: str = "future_imba
     return df.withColumn(name, F.lead(c, steps).over(by_zone()))
 
 
-def exact_cuts(df: DataFrame, c: str, probs: Sequence[float] = PROBS, margin: float = 1e-3, few: int = 10_000) -> DataFrame:
-    """One row (_cuts): the quantiles of percentile(), with no task that holds all values.
+def exact_cuts(df: DataFrame, c: str, probs: Sequence[float] = PROBS, margin: float = 1e-3, few: int = 10_000, by: Sequence[str] = (), discrete: bool = False) -> DataFrame:
+    """One row (_cuts), or one of each group of ``by`` (by, _cuts) that has a value: the quantiles of percentile(), with no task that holds all values.
 
-    A sketch of the values bounds each cut from both sides by ``margin`` of the rows, ten times its own error; frames of under
+    A sketch of the values bounds each cut from both sides by ``margin`` of the rows, ten times its own error; frames or groups of under
     ``few`` rows are ranked whole. Rows below the bounds are counted where they are read, and only values between them are shuffled and
-    ranked, equal ones as one row with their count. df is read three times by this one column, so it should be a written table. No value: nulls.
+    ranked, equal ones as one row with their count. df is read three times by these columns, so it should be a written table. No value: nulls.
+    discrete: the least value that so large a share of the rows doesn't exceed, instead of one between two values.
     """
-    k = len(probs)
-    side = lambda d: F.percentile_approx(c, F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs]), 10_000)
-    whole = lambda f: F.array(*[f(c)] * k)
-    one = df.agg(F.count(c).alias("n"), side(-margin).alias("lo"), side(margin).alias("hi"), whole(F.min).alias("min"), whole(F.max).alias("max"))
+    k, group = len(probs), ["_by"] if by else []
+    df = df.select(F.col(c).alias("v"), *([F.struct(*by).alias("_by")] if by else []))  # as one column, null keys are equal
+    side = lambda d: F.percentile_approx("v", F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs]), 10_000)
+    whole = lambda f: F.array(*[f("v")] * k)
+    beside = lambda left, right: left.join(right, "_by") if by else left.crossJoin(F.broadcast(right))
+    one = df.groupBy(*group).agg(F.count("v").alias("n"), side(-margin).alias("lo"), side(margin).alias("hi"), whole(F.min).alias("min"), whole(F.max).alias("max"))
     is_small = F.col("n") < few
-    limits = F.broadcast(one.select("n", F.when(is_small, F.col("min")).otherwise(F.col("lo")).alias("lo"), F.when(is_small, F.col("max")).otherwise(F.col("hi")).alias("hi")))
-    values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).crossJoin(limits)
-    below = values.agg(F.array(*[F.count_if(F.col("v") < F.col("lo")[i]) for i in range(k)]).alias("below"))
+    limits = one.select(*group, "n", F.when(is_small, F.col("min")).otherwise(F.col("lo")).alias("lo"), F.when(is_small, F.col("max")).otherwise(F.col("hi")).alias("hi"))
+    values = beside(df.where(F.col("v").isNotNull()), limits)
+    below = values.groupBy(*group).agg(F.array(*[F.count_if(F.col("v") < F.col("lo")[i]) for i in range(k)]).alias("below"))
     inside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: F.col("v").between(F.get("lo", i), F.get("hi", i)))
-    near = values.select("n", "v", F.explode(inside).alias("i")).groupBy("i", "v").agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    run = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("upto", F.sum("k").over(run)).crossJoin(F.broadcast(below))
+    near = values.select(*group, "n", "v", F.explode(inside).alias("i")).groupBy(*group, "i", "v").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    run = Window.partitionBy(*group, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = beside(near.withColumn("upto", F.sum("k").over(run)), below)
     last = F.get("below", F.col("i")) + F.col("upto") - 1
-    pos = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("n") - 1)
+    of_all = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i"))
+    pos = F.greatest(F.ceil(of_all * F.col("n")) - 1, F.lit(0)).cast("double") if discrete else of_all * (F.col("n") - 1)
     at = lambda r: F.max(F.when((r <= last) & (r > last - F.col("k")), F.col("v")))
-    found = ranked.groupBy("i").agg(at(F.floor(pos)).alias("a"), at(F.ceil(pos)).alias("b"), F.max(pos).alias("pos"))
+    found = ranked.groupBy(*group, "i").agg(at(F.floor(pos)).alias("a"), at(F.ceil(pos)).alias("b"), F.max(pos).alias("pos"))
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b"))
-    ordered = found.agg(F.sort_array(F.collect_list(F.struct("i", value.cast("double").alias("cut")))).alias("_all"))
-    return ordered.select(F.when(F.size("_all") == k, F.col("_all.cut")).alias("_cuts"))
+    ordered = found.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("i", value.cast("double").alias("cut")))).alias("_all"))
+    return ordered.select(*[F.col(f"_by.{b}").alias(b) for b in by], F.when(F.size("_all") == k, F.col("_all.cut")).alias("_cuts"))
 
 
 def labelled(df: DataFrame, c: str = "future_imbalance", probs: Sequence[float] = PROBS, closed: str = "right", exact: bool = True, name: str = "label_6class") -> DataFrame:
