@@ -45,10 +45,10 @@ def slots_in_range(spark, sf_dir):
 
 @query(f"WITH {CLEAN} SELECT PULocationID, count(*) AS n, round(quantile_disc(driver_pay, 0.5), 6) AS median FROM clean GROUP BY 1")
 def approximate_medians(spark, sf_dir):
-    """Medians of bounded memory: exact while a zone has fewer trips than the sketch's accuracy of 10,000."""
-    trips = cleaning.clean_trips(base._trips(spark, sf_dir))
-    cuts = cleaning.quantiles(trips, "driver_pay", [0.5], exact=False, by=["PULocationID"])
-    return rounded(cuts.join(cleaning.count_where(trips, "true", ["PULocationID"]), "PULocationID").select("PULocationID", "n", F.col("cuts")[0].alias("median")))
+    """Medians of bounded memory, exact however many trips a zone has: sketches only tell which values are ranked."""
+    trips = sinks.written(cleaning.clean_trips(base._trips(spark, sf_dir)).select("PULocationID", "driver_pay"))
+    cuts = history.exact_cuts(trips, "driver_pay", [0.5], by=["PULocationID"], discrete=True)
+    return rounded(cuts.join(cleaning.count_where(trips, "true", ["PULocationID"]), "PULocationID").select("PULocationID", "n", F.col("_cuts")[0].alias("median")))
 
 
 @query(f"WITH {CLEAN} SELECT strftime(request_datetime, '%Y-%m') AS month, count(*) AS trips FROM clean GROUP BY 1")
