@@ -146,7 +146,7 @@ def event_files(spark, sf_dir):
     """Messages written as text files and read by the event reader."""
     path = f"{sinks.work_folder(spark)}/events"
     sinks.write_events(sinks.encode_events(base._trips(spark, sf_dir)), path)
-    events = readers.parse_events(readers.read_events(spark, path))
+    events = readers.parse_events(readers.read_events(spark, path), base._fields("trip_id", "event_type", "event_time", "PULocationID", "DOLocationID"))
     zone = F.when(F.col("event_type") == "dropoff", F.col("DOLocationID")).otherwise(F.col("PULocationID"))
     return events.select("trip_id", "event_type", base.clean_timestamp("event_time").cast("timestamp_ntz").alias("event_time"), zone.alias("zone"))
 
