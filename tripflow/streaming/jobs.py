@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ..operators.lifecycle import DROPOFF_WITHIN, PICKUP_WITHIN, completed, dedu
 from ..operators.slots import SLIDE, WINDOW, slot_metrics, trip_facts
 from ..session import SETTINGS
 from ..sources.readers import parse_events, read_table
-from ..sources.sinks import DAY, fan_out, sized, upsert, written
+from ..sources.sinks import DAY, fan_out, upsert
 
 WATERMARKS = {"request": "20 minutes", "pickup": "5 minutes", "slots": "5 minutes"}
 
@@ -75,18 +76,24 @@ def late_days(facts: DataFrame, watermark: str, window: str = WINDOW, slide: str
     return windows.where(f"w.end <= {watermark}").select(F.to_date("w.end").alias("date")).distinct()
 
 
+def near_days(facts: DataFrame, days: set[date], window: str = WINDOW) -> DataFrame:
+    """Facts of windows that end on one of the days. Days in a row are one range, and times are compared as they are."""
+    kind, near = dict(facts.dtypes)["ts"], F.lit(False)
+    starts, ends = sorted(d for d in days if d - timedelta(1) not in days), sorted(d + timedelta(1) for d in days if d + timedelta(1) not in days)
+    for lo, hi in zip(starts, ends, strict=True):
+        near |= (F.col("ts") >= F.lit(lo).cast(kind) - F.expr(f"INTERVAL {window}")) & (F.col("ts") < F.lit(hi).cast(kind))
+    return facts.where(near)
+
+
 def repair_days(trips: DataFrame, path: str, days: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> None:
     """Recomputes all slots that end on these days (column date) from batch trips, rows past any watermark included.
 
-    Only facts of those days, and of the days that one window before them reaches, are aggregated.
+    Only facts of those days, and of one window before them, are aggregated. The days are fetched, as the repair is planned with them.
+    Facts are filtered, not trips: a filter on trips that are themselves derived would derive their times once more for each bound.
     """
-    wanted = written(days.select("date").distinct())
-    day, back = F.to_date("ts"), F.to_date(F.col("ts") + F.expr(f"INTERVAL {window}"))
-    near = trip_facts(trips).withColumn("_days", F.array(day, back))
-    # One row: the days of a repair.
-    near = near.join(F.broadcast(wanted.agg(F.collect_set("date").alias("_wanted"))), F.arrays_overlap("_days", "_wanted"), "left_semi").drop("_days")
-    slots = slot_metrics(near, window, slide)
-    upsert(slots.join(sized(wanted.withColumnRenamed("date", "_day")), F.to_date("window_end") == F.col("_day"), "left_semi"), path)
+    wanted = {r.date for r in days.where("date IS NOT NULL").select("date").distinct().collect()}
+    slots = slot_metrics(near_days(trip_facts(trips), wanted, window), window, slide)
+    upsert(slots.where(F.to_date("window_end").isin(sorted(wanted))), path)
 
 
 def static_enrich(stream: DataFrame, requests_path: str, path: str, checkpoint: str, within: str = PICKUP_WITHIN, trigger: str | None = None) -> StreamingQuery:
