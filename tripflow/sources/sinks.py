@@ -92,6 +92,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A folder under another name, whose parent is made where it lacks. No file is copied where the file system renames."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = files.Path(path), files.Path(to)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def upsert(df: DataFrame, path: str, keys: Sequence[str] = KEYS, ts: str = "window_end", merge: Callable[[DataFrame, str, Sequence[str]], None] | None = None, order: Sequence[str] = ()) -> None:
     """Keyed upsert of a table partitioned by the day of ts.
 
