@@ -14,6 +14,8 @@ from ..operators.cleaning import anti, route
 from ..schemas import KEYS
 
 DAY = ["year", "month", "day"]
+#: An option of Parquet: a dictionary of ids that hardly repeat is built in vain.
+UNIQUE_ID = ("parquet.enable.dictionary#trip_id", "false")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -68,7 +70,7 @@ def fan_out(batch: DataFrame, batch_id: int, tables: Mapping[str, str], routes:
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, name: str, trigger: str | None = None, partitions: Sequence[str] = ()) -> StreamingQuery:
     """trigger: a processing time such as "10 seconds"; None: all that is available, then stop."""
-    writer = stream.writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).option("path", path).format("parquet").partitionBy(*partitions)
+    writer = stream.writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).option("path", path).option(*UNIQUE_ID).format("parquet").partitionBy(*partitions)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
@@ -92,6 +94,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     """A folder under another name, whose parent is made where it lacks. No file is copied where the file system renames."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -141,6 +141,19 @@ def repeat_last_batch(spark: SparkSession, checkpoint: str) -> None:
     files.delete(last, False)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    """Settings of queries that are started inside."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def state_settings(spark: SparkSession, partitions: int = 16, batches: int = 20) -> Iterator[None]:
     """Settings of queries with state, for those started inside: state in RocksDB, outside the heap.
@@ -151,11 +164,5 @@ def state_settings(spark: SparkSession, partitions: int = 16, batches: int = 20)
         "spark.sql.shuffle.partitions": str(partitions), "spark.sql.streaming.minBatchesToRetain": str(batches), "spark.sql.streaming.multipleWatermarkPolicy": "min",
         "spark.sql.streaming.stateStore.providerClass": SETTINGS["spark.sql.streaming.stateStore.providerClass"], "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, wanted):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
