@@ -63,7 +63,7 @@ def fan_out(batch: DataFrame, batch_id: int, tables: Mapping[str, str], routes:
             return
         for kind, path in tables.items():
             rows = routes(batch, kind).withColumn("batch_id", F.lit(batch_id))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *DAY).parquet(path)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("batch_id", *DAY).parquet(path)
     finally:
         batch.unpersist()
 
